@@ -8,3 +8,10 @@ Layers, bottom up:
 * ``operators``   DataFrame-in / DataFrame-out building blocks
 * ``plans``       the reports, the load, the forecast and the segmentation
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions run by Python workers travel with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

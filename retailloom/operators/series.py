@@ -122,17 +122,15 @@ def seasonal_naive(
 def future_weeks(train: DataFrame, periods: int = TEST_WEEKS, by: Sequence[str] = ()) -> DataFrame:
     """The weeks of ``train`` followed by the next ``periods`` Mondays."""
     last = train.groupBy(*by).agg(F.max("week").alias("_last"))
-    ahead = last.where(F.col("_last").isNotNull()).select(
-        *by,
-        F.explode(
-            F.sequence(
-                F.date_add(F.to_date("_last"), 7),
-                F.date_add(F.to_date("_last"), 7 * periods),
-                F.expr("interval 7 days"),
-            )
-        )
-        .cast("timestamp_ntz")
-        .alias("week"),
+    mondays = F.sequence(
+        F.date_add(F.to_date("_last"), 7),
+        F.date_add(F.to_date("_last"), 7 * periods),
+        F.expr("interval 7 days"),
+    )
+    ahead = (
+        last.where(F.col("_last").isNotNull())
+        .select(*by, F.explode(mondays).alias("week"))
+        .withColumn("week", F.col("week").cast("timestamp_ntz"))
     )
     return train.select(*by, "week").unionByName(ahead)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,10 +53,32 @@ def load_audit(sales: DataFrame) -> DataFrame:
     )
 
 
+# Quoted text and comments, in which a question mark is no marker, or a marker.
+_MARKER = re.compile(
+    r"""'(?:[^'\\]|\\.)*' | "(?:[^"\\]|\\.)*" | `[^`]*` | --[^\n]* | /\*.*?\*/ | (?P<marker>\?)""",
+    re.VERBOSE | re.DOTALL,
+)
+
+
 def run_query(
     spark: SparkSession, sql: str, params: Sequence = (), sales: DataFrame | None = None
 ) -> DataFrame:
-    """Run SQL over ``sales`` with ``?`` markers bound by position."""
+    """Run SQL over ``sales`` with ``?`` markers bound by position.
+
+    The markers are named before binding: Spark 4.1 assigns a list of five or more
+    values to the wrong markers.
+    """
     if sales is not None:
         sales.createOrReplaceTempView("sales")
-    return spark.sql(sql, args=list(params)) if params else spark.sql(sql)
+    if not params:
+        return spark.sql(sql)
+    position = count()
+
+    def named(match: re.Match) -> str:
+        return f":p{next(position)}" if match["marker"] else match[0]
+
+    text = _MARKER.sub(named, sql)
+    markers = next(position)
+    if markers != len(params):
+        raise ValueError(f"{markers} markers for {len(params)} values")
+    return spark.sql(text, args={f"p{i}": value for i, value in enumerate(params)})
