@@ -175,7 +175,7 @@ filtered AS (
 TOP = """,
 country_totals AS (
     SELECT Country, SUM(Revenue) AS revenue FROM sales
-    GROUP BY 1 ORDER BY revenue DESC, Country LIMIT 8
+    GROUP BY 1 ORDER BY revenue DESC, SUM(Quantity) DESC, Country LIMIT 8
 ),
 products AS (
     SELECT s.Country, s.Description AS product, SUM(s.Revenue) AS revenue, SUM(s.Quantity) AS units
@@ -421,19 +421,21 @@ weeks AS (
            CAST(SUM(Revenue) AS DOUBLE) AS revenue
     FROM sales GROUP BY 1, 2
 ),
+edges AS (SELECT Country, MIN(week) AS lo, MAX(week) AS hi FROM weeks GROUP BY 1),
 placed AS (
-    SELECT *, row_number() OVER (PARTITION BY Country ORDER BY week) AS n,
-           COUNT(*) OVER (PARTITION BY Country) AS total FROM weeks
+    SELECT w.*, row_number() OVER (PARTITION BY w.Country ORDER BY week) AS n,
+           COUNT(*) OVER (PARTITION BY w.Country) AS total
+    FROM weeks w JOIN edges e ON e.Country = w.Country AND w.week > e.lo AND w.week < e.hi
 ),
 missed AS (
     SELECT a.Country, a.revenue, b.revenue AS prediction
-    FROM placed a JOIN placed b ON b.Country = a.Country AND b.n = a.n - 52 AND b.n > 1
-    WHERE a.n < a.total AND a.n > 1 AND a.n > a.total - 1 - 13
+    FROM placed a LEFT JOIN placed b ON b.Country = a.Country AND b.n = a.n - 52
+    WHERE a.n > a.total - 13
 )
 SELECT Country, 'Seasonal naive (52w)' AS model,
        ROUND(AVG(abs(revenue - prediction)), 6) AS "MAE",
        ROUND(AVG(abs((revenue - prediction) / NULLIF(revenue, 0))) * 100, 6) AS "MAPE_%",
-       CAST(0 AS DOUBLE) AS "MAE_vs_baseline_%"
+       CASE WHEN COUNT(prediction) > 0 THEN CAST(0 AS DOUBLE) END AS "MAE_vs_baseline_%"
 FROM missed GROUP BY 1""",
         ),
         "rfm": _query(rfm, "SELECT * FROM rfm ORDER BY customer_id"),

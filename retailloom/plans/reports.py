@@ -141,8 +141,10 @@ def top_products_by_country(sales: DataFrame, markets: int = 8, ranks: int = 5)
     """The leading products of each of the biggest markets.
 
     One scan feeds everything: the sales are summed per (country, product) once, and the
-    country totals, the share denominators and the ranking all read that result. The
-    totals keep one row per chosen market, so joining them moves no products.
+    country totals, the share denominators and the ranking all read that shuffle. Both
+    readers use every column of it, or pruning would make them two different shuffles; that
+    is why units break ties between markets. The totals keep one row per chosen market,
+    so joining them moves no products.
     Equal revenue shares a rank, so a market can show more than ``ranks`` rows.
     """
     by_product = sales.groupBy("Country", "Description").agg(
@@ -158,8 +160,13 @@ def top_products_by_country(sales: DataFrame, markets: int = 8, ranks: int = 5)
         .agg(
             F.sum("product_revenue").alias("country_revenue"),
             F.sum(F.when(named, F.col("product_revenue"))).alias("named_revenue"),
+            F.sum("units_sold").alias("country_units"),
+        )
+        .orderBy(
+            F.col("country_revenue").desc_nulls_last(),
+            F.col("country_units").desc_nulls_last(),
+            F.col("Country").asc_nulls_last(),
         )
-        .orderBy(F.col("country_revenue").desc_nulls_last(), F.col("Country").asc_nulls_last())
         .limit(markets)
         .select(F.col("Country").alias("market"), "named_revenue")
         .where(F.col("market").isNotNull())
