@@ -1,0 +1,117 @@
+from datetime import datetime, timedelta
+
+import pytest
+
+from retailloom.operators import series
+from retailloom.plans import forecasting
+
+MONDAY = datetime(2018, 1, 1)
+
+
+@pytest.fixture
+def weeks(spark):
+    def make(values, skip=()):
+        rows = [
+            (MONDAY + timedelta(weeks=i), float(v))
+            for i, v in enumerate(values)
+            if i not in skip
+        ]
+        return spark.createDataFrame(rows, "week timestamp_ntz, revenue double")
+
+    return make
+
+
+def test_weeks_start_on_monday(sales_frame):
+    sales = sales_frame(
+        [
+            {"Invoice": str(i), "InvoiceDate": MONDAY + timedelta(days=i, hours=5)}
+            for i in range(28)
+        ]
+    )
+    rows = series.complete_weeks(sales).orderBy("week").collect()
+    assert [r.week for r in rows] == [MONDAY + timedelta(weeks=1), MONDAY + timedelta(weeks=2)]
+    assert {float(r.revenue) for r in rows} == {35.0}
+
+
+def test_edges_are_trimmed_in_each_series(sales_frame):
+    sales = sales_frame(
+        [
+            {"Invoice": f"{c}{i}", "Country": c, "InvoiceDate": MONDAY + timedelta(weeks=i)}
+            for c, n in (("A", 5), ("B", 2), ("C", 1))
+            for i in range(n)
+        ]
+    )
+    rows = series.complete_weeks(sales, ["Country"]).collect()
+    assert sorted((r.Country, (r.week - MONDAY).days // 7) for r in rows) == [
+        ("A", 1), ("A", 2), ("A", 3)
+    ]
+
+
+def test_split_is_by_time(weeks):
+    rows = series.holdout_split(weeks(range(20))).orderBy("week").collect()
+    assert [r.split for r in rows] == ["train"] * 7 + ["test"] * 13
+
+
+def test_seasonal_lag_by_row_and_by_calendar(weeks):
+    frame = weeks(range(60), skip={3})
+    by_row = {r.revenue: r.prediction for r in series.seasonal_naive(frame).collect()}
+    by_week = {
+        r.revenue: r.prediction for r in series.seasonal_naive(frame, mode="calendar").collect()
+    }
+    # The gap lies between week 54 and the one 52 rows before it.
+    assert by_row[54] == 1 and by_week[54] == 2
+    assert by_row[59] == 7 and by_week[59] == 7
+    assert by_row[55] == 2 and by_week[55] is None
+    with pytest.raises(ValueError):
+        series.seasonal_naive(frame, mode="other")
+
+
+def test_future_weeks(weeks):
+    rows = sorted(r.week for r in series.future_weeks(weeks(range(4)), 3).collect())
+    assert rows == [MONDAY + timedelta(weeks=i) for i in range(7)]
+
+
+def test_baseline_needs_history(weeks):
+    short = weeks(range(52))
+    with pytest.raises(Exception, match="needs 52 rows of history"):
+        forecasting.naive_predictions(short).collect()
+    loose = forecasting.naive_predictions(short, strict=False).collect()
+    assert len(loose) == 13 and all(r.prediction is None for r in loose)
+    assert forecasting.naive_predictions(weeks(range(65))).count() == 13
+
+
+def test_accuracy_and_peak(spark):
+    rows = [
+        (MONDAY, 100.0, forecasting.NAIVE, 90.0),
+        (MONDAY, 100.0, "m", 95.0),
+        (MONDAY + timedelta(weeks=1), 200.0, forecasting.NAIVE, 230.0),
+        (MONDAY + timedelta(weeks=1), 200.0, "m", 190.0),
+        (MONDAY + timedelta(weeks=2), 200.0, forecasting.NAIVE, 200.0),
+        (MONDAY + timedelta(weeks=2), 200.0, "m", 200.0),
+        (MONDAY + timedelta(weeks=3), 0.0, forecasting.NAIVE, 0.0),
+        (MONDAY + timedelta(weeks=3), 0.0, "m", 5.0),
+    ]
+    frame = spark.createDataFrame(
+        rows, "week timestamp_ntz, revenue double, model string, prediction double"
+    )
+    scores = {r.model: r for r in forecasting.accuracy(frame).collect()}
+    naive, model = scores[forecasting.NAIVE], scores["m"]
+    assert naive["MAE"] == 10 and model["MAE"] == 5
+    # The week without revenue has no percentage error.
+    assert naive["MAPE_%"] == pytest.approx((0.1 + 0.15) / 3 * 100)
+    assert naive["MAE_vs_baseline_%"] == 0 and model["MAE_vs_baseline_%"] == 50
+    peak = forecasting.peak_week(frame, {"naive": forecasting.NAIVE, "m": "m"}).first()
+    assert (peak.week, peak.actual, peak.naive, peak.m) == (rows[2][0], 200, 230, 190)
+
+
+def test_published_improvement(spark):
+    """The arithmetic of the comparison on published errors."""
+    frame = spark.createDataFrame(
+        [
+            (MONDAY, 1e6, forecasting.NAIVE, 1e6 - 55166.17838461756),
+            (MONDAY, 1e6, "other", 1e6 - 45551.81645226967),
+        ],
+        "week timestamp_ntz, revenue double, model string, prediction double",
+    )
+    scores = {r.model: r for r in forecasting.accuracy(frame).collect()}
+    assert scores["other"]["MAE_vs_baseline_%"] == pytest.approx(17.428000658876066, abs=1e-6)
