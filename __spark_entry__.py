@@ -195,6 +195,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "peak_week": on_sales(
             lambda sales: forecasting.peak_week(_naive(sales), {"naive": forecasting.NAIVE})
         ),
+        "peak_week_comparison": on_sales(
+            lambda sales: forecasting.peak_week(
+                forecasting.compare(weekly(sales)),
+                {"naive": forecasting.NAIVE, "additive": forecasting.ADDITIVE},
+            )
+        ),
         "naive_metrics_by_country": on_sales(
             lambda sales: _metrics(_naive(sales, ("Country",), strict=False), ("Country",))
         ),

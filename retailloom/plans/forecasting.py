@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from retailloom.operators import series
 from retailloom.operators.forecast import additive_forecast
+from retailloom.sources import warehouse
 
 NAIVE = "Seasonal naive (52w)"
 ADDITIVE = "Trend + yearly seasonality"
@@ -111,3 +112,7 @@ def compare(weekly: DataFrame, by: Sequence[str] = (), strict: bool = True) -> D
     return naive_predictions(weekly, by=by, strict=strict).unionByName(
         additive_predictions(weekly, by=by)
     )
+
+
+def write_results(metrics: DataFrame, folder: str) -> None:
+    warehouse.write_csv(metrics.orderBy("model"), f"{folder}/forecast_metrics")

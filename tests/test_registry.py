@@ -31,6 +31,7 @@ def test_every_oracle_has_a_query():
         "forecast_additive",
         "forecast_comparison",
         "forecast_comparison_by_country",
+        "peak_week_comparison",
         "k_selection",
         "k_selection_euclidean",
         "segments",
@@ -56,6 +57,9 @@ def test_forecasts(spark):
     assert QUERIES["forecast_additive"](spark, SF_DIR).count() == 13
     rows = QUERIES["forecast_comparison"](spark, SF_DIR).collect()
     assert len(rows) == 2 and all(r.MAE > 0 for r in rows)
+    peak = QUERIES["peak_week_comparison"](spark, SF_DIR).first()
+    naive = QUERIES["peak_week"](spark, SF_DIR).first()
+    assert (peak.week, peak.actual, peak.naive) == (naive.week, naive.actual, naive.naive)
 
 
 def test_segments(spark):
