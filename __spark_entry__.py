@@ -22,6 +22,7 @@ from pyspark.sql import functions as F  # noqa: E402
 import oracle_queries  # noqa: E402
 from retailloom.functions.expressions import money_to_double  # noqa: E402
 from retailloom.operators import cleaning, clustering, filters, quantiles, returns, rfm, series  # noqa: E402
+from retailloom.operators.forecast import forecast_ahead  # noqa: E402
 from retailloom.operators.profiles import segment_profile  # noqa: E402
 from retailloom.plans import forecasting, reports, segmentation  # noqa: E402
 from retailloom.session import materialise, scratch_path  # noqa: E402
@@ -207,6 +208,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "forecast_additive": on_sales(
             lambda sales: forecasting.additive_predictions(weekly(sales))
         ),
+        "forecast_frame": on_sales(
+            lambda sales: forecast_ahead(
+                series.holdout_split(weekly(sales)).where("split = 'train'"), series.TEST_WEEKS
+            )
+        ),
         "forecast_comparison": on_sales(
             lambda sales: _metrics(forecasting.compare(weekly(sales)))
         ),

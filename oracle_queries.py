@@ -373,7 +373,7 @@ FROM sales GROUP BY 1""",
             SALES + TOP,
             """
 SELECT Country, product, CAST(revenue AS DOUBLE) AS product_revenue,
-       share AS pct_of_country_revenue,
+       CAST(units AS BIGINT) AS units_sold, share AS pct_of_country_revenue,
        product IN ('small ring', 'red bolt', 'hot plate') AS is_service_line
 FROM ranked WHERE place = 1""",
         ),

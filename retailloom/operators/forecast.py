@@ -15,6 +15,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from retailloom.operators.series import future_weeks
 
 YEAR_DAYS = 365.25
 FOURIER_ORDER = 10
@@ -25,8 +28,6 @@ SEASON_SCALE = 10.0
 TREND_SCALE = 5.0
 ROUNDS = 30
 
-DAY = np.timedelta64(1, "D")
-
 
 def _design(days: np.ndarray, first: float, span: float, knots: np.ndarray) -> np.ndarray:
     t = (days - first) / span
@@ -44,14 +45,16 @@ def _design(days: np.ndarray, first: float, span: float, knots: np.ndarray) -> n
 
 def fit_predict(days: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Fit one series and evaluate it on the ``wanted`` days (days since 1970)."""
+    in_time = np.argsort(days, kind="stable")
+    days, values = days[in_time], values[in_time]
     scale = np.abs(values).max() if len(values) else 0.0
     if len(values) < 2 or scale == 0.0:
         return np.full(len(wanted), values.mean() if len(values) else np.nan)
-    first, span = days.min(), max(days.max() - days.min(), 1.0)
+    first, span = days[0], max(days[-1] - days[0], 1.0)
     history = int(len(days) * CHANGEPOINT_RANGE)
     n_knots = max(0, min(CHANGEPOINTS, history - 1))
     at = np.linspace(0, max(history - 1, 0), n_knots + 1).round().astype(int)[1:]
-    knots = (np.sort(days)[at] - first) / span
+    knots = (days[at] - first) / span
 
     x, y = _design(days, first, span, knots), values / scale
     slopes = slice(2, 2 + n_knots)
@@ -69,36 +72,32 @@ def fit_predict(days: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.
     return _design(wanted, first, span, knots) @ theta * scale
 
 
-def additive_forecast(train: DataFrame, periods: int, by: Sequence[str] = ()) -> DataFrame:
-    """Fitted values over the history and ``periods`` further Mondays of each series.
+def additive_forecast(frame: DataFrame, by: Sequence[str] = (), value: str = "revenue") -> DataFrame:
+    """Add ``prediction`` to every row of every series.
 
-    ``train`` has ``by``, ``week`` and ``revenue``; the result ``by``, ``week`` and
-    ``prediction``. Weeks without sales are gaps in the fit, not zeros.
+    Rows without a ``value`` take no part in the fit and are predicted all the same. Weeks
+    that are absent are gaps in the fit, not zeros.
     """
     keys = list(by)
-    series = train.select(*keys, "week", F.col("revenue").cast("double").alias("revenue"))
+    series = frame.withColumn(value, F.col(value).cast("double"))
     if not keys:
         keys, series = ["_series"], series.withColumn("_series", F.lit(0))
-    fields = [f for f in series.schema.fields if f.name in keys]
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
-        + ["week timestamp_ntz", "prediction double"]
-    )
-    columns = [f.name for f in fields]
+    schema = T.StructType([*series.schema.fields, T.StructField("prediction", T.DoubleType())])
 
     def one_series(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("week")
-        known = rows.dropna(subset=["revenue"])
-        weeks = rows["week"].to_numpy().astype("datetime64[D]")
-        ahead = weeks[-1] + 7 * DAY * np.arange(1, periods + 1)
-        wanted = np.concatenate([weeks, ahead])
-        days = known["week"].to_numpy().astype("datetime64[D]").astype(float)
-        out = {name: rows[name].iloc[0] for name in columns}
-        out["week"] = wanted.astype("datetime64[us]")
-        out["prediction"] = fit_predict(
-            days, known["revenue"].to_numpy(float), wanted.astype(float)
-        )
-        return pd.DataFrame(out)[[*columns, "week", "prediction"]]
-
-    result = series.groupBy(*keys).applyInPandas(one_series, schema)
-    return result.select(*by, "week", "prediction")
+        days = rows["week"].to_numpy().astype("datetime64[D]").astype(float)
+        values = rows[value].to_numpy(float)
+        known = ~np.isnan(values)
+        return rows.assign(prediction=fit_predict(days[known], values[known], days))
+
+    return series.groupBy(*keys).applyInPandas(one_series, schema).select(*frame.columns, "prediction")
+
+
+def forecast_ahead(history: DataFrame, periods: int, by: Sequence[str] = ()) -> DataFrame:
+    """Fitted values over the history and predictions for the next ``periods`` Mondays."""
+    columns = [*by, "week"]
+    ahead = future_weeks(history, periods, by, with_history=False)
+    frame = history.select(*columns, F.col("revenue").cast("double")).unionByName(
+        ahead.withColumn("revenue", F.lit(None).cast("double"))
+    )
+    return additive_forecast(frame, by).select(*columns, "prediction")

@@ -34,6 +34,14 @@ def running_total(value: Column, order: str, by: Sequence[str] = ()) -> Column:
     )
 
 
+def month_number(month: Column) -> Column:
+    return F.year(month) * 12 + F.month(month)
+
+
+def week_number(week: Column) -> Column:
+    return (F.unix_date(F.to_date(week)) / 7).cast("int")
+
+
 def lagged(
     series: DataFrame,
     value: str,
@@ -41,34 +49,23 @@ def lagged(
     steps: Sequence[tuple[str, int]],
     by: Sequence[str] = (),
     mode: str = ROWS,
-    shift=None,
+    numbered=None,
 ) -> DataFrame:
     """Add the value ``n`` periods earlier for each ``(name, n)`` in ``steps``.
 
     ``rows`` counts rows of the series, so a missing period stretches the lag.
-    ``calendar`` looks up the exact earlier period, found with ``shift(column, n)``,
-    and gives null where that period is missing.
+    ``calendar`` takes the period whose number, given by ``numbered(column)``, is ``n``
+    lower, and gives null where that period is missing.
     """
     if mode == ROWS:
         window = Window.partitionBy(*by).orderBy(F.col(order).asc_nulls_last())
-        return series.select("*", *[F.lag(value, n).over(window).alias(name) for name, n in steps])
-    if mode != CALENDAR:
+        earlier = [F.lag(value, n).over(window) for _, n in steps]
+    elif mode == CALENDAR:
+        window = Window.partitionBy(*by).orderBy(numbered(F.col(order)))
+        earlier = [F.max(value).over(window.rangeBetween(-n, -n)) for _, n in steps]
+    else:
         raise ValueError(f"mode is {ROWS!r} or {CALENDAR!r}, not {mode!r}")
-    # Every value is sent to the period that looks back at it, then meets it there.
-    keys = [*by, order]
-    result = series
-    for name, n in steps:
-        earlier = series.select(*by, shift(F.col(order), n).alias(order), F.col(value).alias(name))
-        result = result.join(earlier, keys, "left")
-    return result.select(*series.columns, *[name for name, _ in steps])
-
-
-def shift_months(column: Column, n: int) -> Column:
-    return F.add_months(F.to_date(column), n).cast("timestamp_ntz")
-
-
-def shift_weeks(column: Column, n: int) -> Column:
-    return F.date_add(F.to_date(column), 7 * n).cast("timestamp_ntz")
+    return series.select("*", *[e.alias(name) for e, (name, _) in zip(earlier, steps)])
 
 
 def weekly_revenue(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -115,11 +112,16 @@ def seasonal_naive(
 ) -> DataFrame:
     """Predict each week from the value ``lag`` weeks earlier."""
     return lagged(
-        series, "revenue", "week", [("prediction", lag)], by=by, mode=mode, shift=shift_weeks
+        series, "revenue", "week", [("prediction", lag)], by=by, mode=mode, numbered=week_number
     )
 
 
-def future_weeks(train: DataFrame, periods: int = TEST_WEEKS, by: Sequence[str] = ()) -> DataFrame:
+def future_weeks(
+    train: DataFrame,
+    periods: int = TEST_WEEKS,
+    by: Sequence[str] = (),
+    with_history: bool = True,
+) -> DataFrame:
     """The weeks of ``train`` followed by the next ``periods`` Mondays."""
     last = train.groupBy(*by).agg(F.max("week").alias("_last"))
     mondays = F.sequence(
@@ -132,6 +134,6 @@ def future_weeks(train: DataFrame, periods: int = TEST_WEEKS, by: Sequence[str]
         .select(*by, F.explode(mondays).alias("week"))
         .withColumn("week", F.col("week").cast("timestamp_ntz"))
     )
-    return train.select(*by, "week").unionByName(ahead)
+    return train.select(*by, "week").unionByName(ahead) if with_history else ahead
 
 

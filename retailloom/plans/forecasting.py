@@ -51,20 +51,19 @@ def additive_predictions(
 ) -> DataFrame:
     """Predictions of the additive model for the test weeks, fitted on the others only.
 
-    The forecast names calendar Mondays, so it meets the actual weeks by date. A missing
-    week in the history cannot shift the rest.
+    The model is evaluated at the date of each test week, so a week missing anywhere cannot
+    shift predictions against actuals.
     """
     split = series.holdout_split(weekly, "week", test_rows, by)
-    # The test span can be longer than its number of rows when weeks are missing.
-    train = split.where(F.col("split") == "train")
-    test = split.where(F.col("split") == "test")
-    forecast = additive_forecast(train, 2 * test_rows, by)
-    return test.join(forecast, [*by, "week"]).select(
-        *by,
-        "week",
-        F.col("revenue").cast("double").alias("revenue"),
-        F.lit(ADDITIVE).alias("model"),
-        "prediction",
+    revenue, is_test = F.col("revenue").cast("double"), F.col("split") == "test"
+    frame = split.select(
+        *by, "week", revenue.alias("revenue"), is_test.alias("is_test"),
+        F.when(~is_test, revenue).alias("known"),
+    )
+    return (
+        additive_forecast(frame, by, "known")
+        .where("is_test")
+        .select(*by, "week", "revenue", F.lit(ADDITIVE).alias("model"), "prediction")
     )
 
 

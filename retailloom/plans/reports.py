@@ -36,7 +36,7 @@ def growth(sales: DataFrame, mode: str = series.ROWS) -> DataFrame:
             "month",
             [("prev_month_revenue", 1), ("same_month_last_year", 12)],
             mode=mode,
-            shift=series.shift_months,
+            numbered=series.month_number,
         )
         .select(
             "month",
@@ -228,7 +228,12 @@ def service_line_leaders(
     return with_service_flag(
         top_products_by_country(sales, markets, ranks=1), "product", service_lines
     ).select(
-        "Country", "product", "product_revenue", "pct_of_country_revenue", "is_service_line"
+        "Country",
+        "product",
+        "product_revenue",
+        "units_sold",
+        "pct_of_country_revenue",
+        "is_service_line",
     )
 
 

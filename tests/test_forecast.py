@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from retailloom.operators.forecast import additive_forecast, fit_predict
+from retailloom.operators.forecast import fit_predict, forecast_ahead
 from retailloom.plans import forecasting
 
 MONDAY = datetime(2015, 1, 5)
@@ -57,7 +57,7 @@ def two_series(spark):
 
 
 def test_many_series_at_once(two_series):
-    rows = additive_forecast(two_series, 13, ["Country"]).collect()
+    rows = forecast_ahead(two_series, 13, ["Country"]).collect()
     assert sum(r.Country == "a" for r in rows) == 173 and sum(r.Country == "b" for r in rows) == 171
     assert max(r.week for r in rows) == MONDAY + timedelta(weeks=172)
 
@@ -71,6 +71,15 @@ def test_comparison_meets_actual_weeks_by_date(two_series):
     assert scores["b", forecasting.ADDITIVE] < scores["b", forecasting.NAIVE]
 
 
+def test_long_gaps_and_unnamed_series_lose_no_rows(spark, two_series):
+    """Every fifth week only: the test rows span far more than thirteen weeks."""
+    sparse = two_series.where("datediff(week, date'2015-01-05') % 35 = 0").selectExpr(
+        "nullif(Country, 'a') AS Country", "week", "revenue"
+    )
+    rows = forecasting.additive_predictions(sparse, by=["Country"]).collect()
+    assert len(rows) == 26 and sum(r.Country is None for r in rows) == 13
+
+
 def test_one_series_needs_no_key(two_series):
     one = two_series.where("Country = 'a'").drop("Country")
     rows = forecasting.additive_predictions(one).collect()

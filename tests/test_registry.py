@@ -29,6 +29,7 @@ def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLE) == {
         "forecast_additive",
+        "forecast_frame",
         "forecast_comparison",
         "forecast_comparison_by_country",
         "peak_week_comparison",
@@ -55,6 +56,8 @@ def test_flagship(spark):
 
 def test_forecasts(spark):
     assert QUERIES["forecast_additive"](spark, SF_DIR).count() == 13
+    weeks = QUERIES["future_weeks"](spark, SF_DIR).count()
+    assert QUERIES["forecast_frame"](spark, SF_DIR).count() == weeks
     rows = QUERIES["forecast_comparison"](spark, SF_DIR).collect()
     assert len(rows) == 2 and all(r.MAE > 0 for r in rows)
     peak = QUERIES["peak_week_comparison"](spark, SF_DIR).first()
