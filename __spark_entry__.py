@@ -21,7 +21,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 import oracle_queries  # noqa: E402
 from retailloom.functions.expressions import money_to_double  # noqa: E402
-from retailloom.operators import cleaning, clustering, filters, quantiles, returns, rfm, series  # noqa: E402
+from retailloom.operators import cleaning, filters, quantiles, returns, rfm, series  # noqa: E402
 from retailloom.operators.forecast import forecast_ahead  # noqa: E402
 from retailloom.operators.profiles import segment_profile  # noqa: E402
 from retailloom.plans import forecasting, reports, segmentation  # noqa: E402
@@ -125,11 +125,6 @@ def _frequency_tiers(customers: DataFrame) -> DataFrame:
     return customers.withColumn("cluster", tier)
 
 
-def _euclidean_scores(spark, sf_dir) -> DataFrame:
-    fits = _search(spark, sf_dir).scored(clustering.EUCLIDEAN)
-    return segmentation.scores_table(spark, fits)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def on_sales(report: Callable[[DataFrame], DataFrame]):
         return lambda spark, sf_dir: money_to_double(report(_sales(spark, sf_dir)))
@@ -142,7 +137,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # load
         "raw_stack": lambda s, d: money_to_double(_raw(s, d)),
         "clean_sales": lambda s, d: money_to_double(cleaning.clean(_raw(s, d))),
-        "cleaning_report": lambda s, d: cleaning.cleaning_report(_raw(s, d), _matches(s, d)),
+        "cleaning_report": lambda s, d: cleaning.cleaning_report(
+            _raw(s, d), _matches(s, d), _sales(s, d)
+        ),
         "returns_pairs": lambda s, d: returns.pairs(_matches(s, d)),
         "returns_match_rate": lambda s, d: returns.match_rate(
             _matches(s, d), cleaning.cancellations(_raw(s, d))
@@ -231,7 +228,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "persona_rule": on_customers(lambda c: segment_profile(_frequency_tiers(c))),
         "k_selection": lambda s, d: _segments(s, d).scores,
-        "k_selection_euclidean": _euclidean_scores,
         "segments": lambda s, d: money_to_double(_segments(s, d).customers),
         "segment_profile": lambda s, d: money_to_double(_segments(s, d).profile),
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retailloom.functions.expressions import is_cancellation, not_positive
+from retailloom.functions.expressions import is_cancellation, not_positive, pct
 from retailloom.operators import returns
 from retailloom.schema import MONEY, RAW_COLUMNS, SALES_COLUMNS
 
@@ -78,59 +78,79 @@ def match_returns(raw: DataFrame) -> DataFrame:
     return returns.timeline(candidates, cancels)
 
 
-def cleaning_report(raw: DataFrame, matches: DataFrame | None = None) -> DataFrame:
-    """What each rule dropped, as one row.
+def _line_counts(valid_rows: Column, copies: Column, line: str = "") -> list[Column]:
+    """Counts per rule over rows that stand for ``copies`` equal raw lines each.
 
-    One pass groups equal lines with their number of copies; every count but the
-    matched returns follows from those groups. The two value rules overlap and
-    are counted apart.
+    The two value rules overlap and are counted apart.
     """
-    copies = F.col("copies")
-    cancelled = is_cancellation(F.col("line.Invoice"))
-    bad_quantity = not_positive(F.col("line.Quantity"))
-    bad_price = not_positive(F.col("line.Price"))
-    valid = ~cancelled & ~bad_quantity & ~bad_price
-
-    def total(value: Column, when: Column) -> Column:
-        return F.coalesce(F.sum(F.when(when, value)), F.lit(0)).cast("bigint")
-
-    counts = (
-        raw.groupBy(whole_line())
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .agg(
-            F.coalesce(F.sum(copies), F.lit(0)).cast("bigint").alias("rows_in"),
-            total(copies, cancelled).alias("cancelled"),
-            total(copies, ~cancelled & bad_quantity).alias("non_positive_qty"),
-            total(copies, ~cancelled & bad_price).alias("non_positive_price"),
-            total(copies - 1, valid).alias("duplicates"),
-            total(F.lit(1), valid & F.col("line.CustomerID").isNull()).alias("null_customer_id"),
-            total(F.lit(1), valid).alias("distinct_valid"),
-        )
+    cancelled = is_cancellation(F.col(f"{line}Invoice"))
+    return [
+        _total(copies, F.lit(True)).alias("rows_in"),
+        _total(copies, cancelled).alias("cancelled"),
+        _total(copies, ~cancelled & not_positive(F.col(f"{line}Quantity"))).alias("non_positive_qty"),
+        _total(copies, ~cancelled & not_positive(F.col(f"{line}Price"))).alias("non_positive_price"),
+        _total(copies, valid_rows).alias("valid"),
+    ]
+
+
+def _total(value: Column, when: Column) -> Column:
+    return F.coalesce(F.sum(F.when(when, value)), F.lit(0)).cast("bigint")
+
+
+def _is_valid(line: str = "") -> Column:
+    return (
+        ~is_cancellation(F.col(f"{line}Invoice"))
+        & ~not_positive(F.col(f"{line}Quantity"))
+        & ~not_positive(F.col(f"{line}Price"))
     )
+
+
+def cleaning_report(
+    raw: DataFrame, matches: DataFrame | None = None, sales: DataFrame | None = None
+) -> DataFrame:
+    """What each rule dropped, as one row.
+
+    With the stored ``sales`` at hand this is one narrow scan of ``raw`` and one of
+    ``sales``: what is neither stored nor netted was a duplicate. Without it, equal lines
+    are grouped with their number of copies, which shuffles all of ``raw``.
+    """
     matches = match_returns(raw) if matches is None else matches
     matched = returns.matched_count(matches).scalar()
-    return (
-        counts.withColumn("matched_returns_netted", matched)
-        .withColumn("rows_out", F.col("distinct_valid") - F.col("matched_returns_netted"))
-        .withColumn(
-            "kept_pct",
-            F.round(
-                F.try_divide(
-                    F.lit(100.0) * F.col("rows_out").cast("double"),
-                    F.col("rows_in").cast("double"),
-                ),
-                1,
-            ),
+    if sales is not None:
+        stored = sales.agg(
+            F.struct(
+                F.count(F.lit(1)).alias("rows"),
+                F.count_if(F.col("CustomerID").isNull()).alias("nulls"),
+            ).alias("stored")
+        ).scalar()
+        counts = (
+            raw.agg(*_line_counts(_is_valid(), F.lit(1)))
+            .withColumn("matched_returns_netted", matched)
+            .withColumn("stored", stored)
+            .withColumn("rows_out", F.col("stored.rows"))
+            .withColumn("null_customer_id", F.col("stored.nulls"))
         )
-        .select(
-            "rows_in",
-            "cancelled",
-            "non_positive_qty",
-            "non_positive_price",
-            "duplicates",
-            "matched_returns_netted",
-            "null_customer_id",
-            "rows_out",
-            "kept_pct",
+    else:
+        valid = _is_valid("line.")
+        counts = (
+            raw.groupBy(whole_line())
+            .agg(F.count(F.lit(1)).alias("copies"))
+            .agg(
+                *_line_counts(valid, F.col("copies"), "line."),
+                _total(F.lit(1), valid).alias("distinct_valid"),
+                _total(F.lit(1), valid & F.col("line.CustomerID").isNull()).alias("null_customer_id"),
+            )
+            .withColumn("matched_returns_netted", matched)
+            .withColumn("rows_out", F.col("distinct_valid") - F.col("matched_returns_netted"))
         )
+    return counts.select(
+        "rows_in",
+        "cancelled",
+        "non_positive_qty",
+        "non_positive_price",
+        (F.col("valid") - F.col("rows_out") - F.col("matched_returns_netted")).alias("duplicates"),
+        "matched_returns_netted",
+        "null_customer_id",
+        "rows_out",
+        pct(F.col("rows_out"), F.col("rows_in"), 1).alias("kept_pct"),
     )

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from retailloom.functions.expressions import pct
 from retailloom.schema import MATCH_KEY, RAW_COLUMNS
 from retailloom.session import materialise
 
@@ -184,18 +185,9 @@ def pairs(events: DataFrame) -> DataFrame:
 
 def match_rate(matches: DataFrame, cancelled: DataFrame) -> DataFrame:
     """Matched returns against the cancellations that carry a customer."""
-    return cancelled.agg(
-        F.count("CustomerID").alias("cancels_with_customer"),
-    ).select(
-        matched_count(matches).scalar().alias("matched"),
-        "cancels_with_customer",
+    counts = cancelled.agg(F.count("CustomerID").alias("cancels_with_customer"))
+    return counts.select(
+        matched_count(matches).scalar().alias("matched"), "cancels_with_customer"
     ).withColumn(
-        "match_rate_pct",
-        F.round(
-            F.try_divide(
-                F.lit(100.0) * F.col("matched").cast("double"),
-                F.col("cancels_with_customer").cast("double"),
-            ),
-            1,
-        ),
+        "match_rate_pct", pct(F.col("matched"), F.col("cancels_with_customer"), 1)
     )

@@ -28,4 +28,4 @@ def load(raw: DataFrame, path: str) -> Load:
     matches = cleaning.match_returns(raw)
     warehouse.write_sales(cleaning.clean(raw, matches), path)
     sales = warehouse.read_sales(raw.sparkSession, path)
-    return Load(sales, cleaning.cleaning_report(raw, matches), warehouse.load_audit(sales))
+    return Load(sales, cleaning.cleaning_report(raw, matches, sales), warehouse.load_audit(sales))

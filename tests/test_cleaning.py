@@ -57,7 +57,7 @@ def test_report_reconciles(raw_frame):
             {"Invoice": "C7", "InvoiceDate": day(3), "Quantity": -9, "Price": 0},
         ]
     )
-    assert cleaning.cleaning_report(raw).first().asDict() == {
+    expected = {
         "rows_in": 8,
         "cancelled": 2,
         "non_positive_qty": 1,
@@ -68,7 +68,10 @@ def test_report_reconciles(raw_frame):
         "rows_out": 2,
         "kept_pct": 25.0,
     }
-    assert cleaning.clean(raw).count() == 2
+    sales = cleaning.clean(raw)
+    assert sales.count() == 2
+    assert cleaning.cleaning_report(raw).first().asDict() == expected
+    assert cleaning.cleaning_report(raw, sales=sales).first().asDict() == expected
 
 
 def test_empty_input(raw_frame, spark):

@@ -34,7 +34,6 @@ def test_every_oracle_has_a_query():
         "forecast_comparison_by_country",
         "peak_week_comparison",
         "k_selection",
-        "k_selection_euclidean",
         "segments",
         "segment_profile",
     }
