@@ -52,15 +52,13 @@ def clean(raw: DataFrame, matches: DataFrame | None = None) -> DataFrame:
     """The cleaned ``sales`` rows. ``matches`` is what :func:`match_returns` gave, if at hand.
 
     The shuffle that removes duplicates also places the rows for the anti-join
-    against the netted sales: both are keyed by the whole line. The netted sales are
-    a subset of the lines with the same placement, so each hash table built for the
-    join is smaller than the partition it probes.
+    against the netted sales: both are keyed by the whole line, so the big side moves once.
     """
     matches = match_returns(raw) if matches is None else matches
     netted = returns.netted_sales(matches).select(whole_line())
     return (
         distinct_lines(valid_lines(raw))
-        .join(netted.hint("shuffle_hash"), "line", "left_anti")
+        .join(netted, "line", "left_anti")
         .select("line.*")
         .withColumn("Revenue", (F.col("Quantity") * F.col("Price")).cast(MONEY))
         .select(*SALES_COLUMNS)
