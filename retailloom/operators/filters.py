@@ -13,8 +13,12 @@ from retailloom.schema import SALE_MONTH
 LAST_SECOND = "23:59:59"
 
 
-def _instant(day: date | str, time: str = "00:00:00"):
-    return F.lit(f"{day} {time}").cast("timestamp_ntz")
+def _day(value: date | str) -> str:
+    return str(value)[:10]
+
+
+def _instant(value: date | str, time: str = "00:00:00"):
+    return F.lit(f"{_day(value)} {time}").cast("timestamp_ntz")
 
 
 def filter_sales(
@@ -35,7 +39,7 @@ def filter_sales(
             F.col("InvoiceDate").between(_instant(start), _instant(end, LAST_SECOND))
         )
         if SALE_MONTH in sales.columns:
-            first, last = (F.trunc(F.lit(str(d)).cast("date"), "month") for d in (start, end))
+            first, last = (F.trunc(F.lit(_day(d)).cast("date"), "month") for d in (start, end))
             sales = sales.where(F.col(SALE_MONTH).between(first, last))
     if countries:
         sales = sales.where(F.col("Country").isin(*countries))

@@ -90,6 +90,8 @@ def test_date_filter_includes_the_last_second(sales_frame):
     )
     kept = filters.filter_sales(sales, "2020-01-01", "2020-01-02").collect()
     assert {r.Invoice for r in kept} == {"in", "first"}
+    same = filters.filter_sales(sales, datetime(2020, 1, 1, 9), datetime(2020, 1, 2).date())
+    assert {r.Invoice for r in same.collect()} == {"in", "first"}
     assert filters.filter_sales(sales, "2020-01-01", None).count() == 4
     assert filters.filter_sales(sales, countries=[]).count() == 4
     assert filters.filter_sales(sales, countries=["nowhere"]).count() == 0
