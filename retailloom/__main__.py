@@ -13,11 +13,11 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from retailloom.operators import clustering, filters, quantiles, rfm, series
 from retailloom.plans import build, forecasting, reports, segmentation
-from retailloom.session import SETTINGS, materialise
+from retailloom.session import materialise, submitted_session
 from retailloom.sources import raw, warehouse
 
 REPORTS = {
@@ -38,13 +38,6 @@ REPORTS = {
 }
 
 
-def _session() -> SparkSession:
-    builder = SparkSession.builder.appName("retailloom")
-    for name, value in SETTINGS.items():
-        builder = builder.config(name, value)
-    return builder.getOrCreate()
-
-
 def _show(df: DataFrame, rows: int = 100) -> None:
     df.show(rows, truncate=False)
 
@@ -127,7 +120,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv=None) -> None:
     args = parser().parse_args(argv)
-    args.run(_session(), args)
+    args.run(submitted_session(), args)
 
 
 if __name__ == "__main__":

@@ -35,6 +35,17 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **extra: str) -
     return spark
 
 
+def submitted_session() -> SparkSession:
+    """The session of a submitted program. What its user has set is left alone."""
+    builder = SparkSession.builder.appName("retailloom").config("spark.ui.enabled", "false")
+    spark = builder.getOrCreate()
+    given = dict(spark.sparkContext.getConf().getAll())
+    for name, value in SETTINGS.items():
+        if name.startswith("spark.sql.") and name not in given:
+            spark.conf.set(name, value)
+    return spark
+
+
 _local_folders: dict[str, str] = {}
 
 

@@ -37,3 +37,8 @@ def test_stored_intermediates_keep_their_schema(spark):
         [type(f)(f.name, f.dataType, True) for f in frame.schema.fields]
     )
     assert sorted(stored.collect()) == sorted(frame.collect())
+
+
+def test_a_submitted_program_keeps_what_its_user_has_set(spark):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    assert session.submitted_session().conf.get(name) == "false"
