@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from retailloom.functions.expressions import is_cancellation, not_positive, pct
 from retailloom.operators import returns
 from retailloom.schema import MONEY, RAW_COLUMNS, SALES_COLUMNS
+from retailloom.session import materialise
 
 
 def invoice_text() -> Column:
@@ -70,7 +71,7 @@ def match_returns(raw: DataFrame) -> DataFrame:
 
     Only sales whose key occurs among the cancellations are deduplicated here.
     """
-    cancels = returns.cancel_batches(cancellations(raw))
+    cancels = materialise(returns.cancel_batches(cancellations(raw)), "returns-cancels")
     candidates = returns.candidate_sales(valid_lines(raw), cancels)
     candidates = distinct_lines(candidates).select("line.*")
     return returns.timeline(candidates, cancels)

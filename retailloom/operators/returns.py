@@ -54,8 +54,13 @@ def cancel_batches(cancelled: DataFrame) -> DataFrame:
 
 
 def candidate_sales(valid: DataFrame, cancels: DataFrame) -> DataFrame:
-    """Sales whose key occurs among the cancellations; all others pass by untouched."""
-    keys = cancels.select(*MATCH_KEY).distinct()
+    """Sales whose key occurs among the cancellations; all others pass by untouched.
+
+    The keys are stored first. Small ones are then broadcast by their real size; large ones
+    meet the sales shuffle to shuffle, a shape in which adaptive execution splits a hot key.
+    (A join whose side ends in an aggregation is never split.)
+    """
+    keys = materialise(cancels.select(*MATCH_KEY).distinct(), "returns-keys")
     return valid.dropna(subset=["InvoiceDate"]).join(keys, MATCH_KEY, "left_semi")
 
 

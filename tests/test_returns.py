@@ -123,3 +123,35 @@ def test_match_rate(raw_frame):
     raw = raw_frame([sale(1), cancel(2), cancel(3), cancel(4, CustomerID=None)])
     row = returns.match_rate(cleaning.match_returns(raw), cleaning.cancellations(raw)).first()
     assert row.asDict() == {"matched": 1, "cancels_with_customer": 2, "match_rate_pct": 50.0}
+
+
+def test_a_hot_key_is_split_in_the_candidate_join(spark):
+    """Too big to broadcast, the keys meet the sales in a join that adaptive execution can split."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        lines = spark.range(40_000).selectExpr(
+            "string(id) AS Invoice",
+            "if(id % 3 = 0, 'HOT', string(id % 1000)) AS StockCode",
+            "uuid() AS Description",
+            "1 AS Quantity",
+            "timestamp_ntz'2020-01-01' AS InvoiceDate",
+            "cast(1 AS decimal(12,4)) AS Price",
+            "if(id % 3 = 0, 0, id % 1000) AS CustomerID",
+            "'X' AS Country",
+        )
+        cancels = returns.cancel_batches(lines)
+        found = returns.candidate_sales(lines, cancels)
+        assert len(found.collect()) == 40_000
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
