@@ -1,0 +1,76 @@
+"""What must hold of the plans for large inputs."""
+
+import re
+
+import pytest
+
+from retailloom.operators import cleaning, filters, series
+from retailloom.plans import forecasting, reports
+
+
+@pytest.fixture(scope="module")
+def stored(sales_frame, spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("plans") / "sales")
+    sales_frame([{"Country": c} for c in "XYZ"]).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.fixture(autouse=True, scope="module")
+def whole_plans(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    yield
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def columns_read(df):
+    schemas = re.findall(r"ReadSchema: struct<(.*?)>", plan_of(df))
+    return {name for schema in schemas for name in re.findall(r"(\w+):", schema)}
+
+
+def test_value_rules_reach_the_scan(raw_frame, spark, tmp_path):
+    path = str(tmp_path / "raw")
+    raw_frame([{}]).write.parquet(path)
+    plan = plan_of(cleaning.valid_lines(spark.read.parquet(path)))
+    assert "Or(IsNull(Quantity),GreaterThan(Quantity,0))" in plan
+    assert "StringStartsWith(Invoice,C)" in plan
+
+
+@pytest.mark.parametrize(
+    "report, columns",
+    [
+        (reports.revenue_by_country, {"Country", "Revenue"}),
+        (series.weekly_revenue, {"InvoiceDate", "Revenue"}),
+        (reports.kpis, {"Invoice", "CustomerID", "Revenue"}),
+        (reports.null_customer_share, {"CustomerID"}),
+    ],
+    ids=["markets", "weeks", "kpis", "missing customers"],
+)
+def test_only_needed_columns_are_read(stored, report, columns):
+    assert columns_read(report(stored)) == columns
+
+
+def test_date_range_reaches_the_scan(stored):
+    plan = plan_of(filters.filter_sales(stored, "2020-01-01", "2020-01-31", ["X"]))
+    pushed = re.search(r"PushedFilters: \[(.*?)\], ReadSchema", plan)[1]
+    assert "GreaterThanOrEqual(InvoiceDate" in pushed and "EqualTo(Country,X)" in pushed
+
+
+def test_ranks_are_limited_before_the_shuffle(stored):
+    plan = plan_of(reports.top_products_by_country(stored))
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_top_lists_do_not_sort_everything(stored):
+    for report in (reports.top_products, reports.top_markets, reports.transaction_search):
+        assert "TakeOrderedAndProject" in plan_of(report(stored))
+
+
+def test_both_forecasts_share_one_scan(stored):
+    found = forecasting.compare(series.complete_weeks(stored, ["Country"]), ["Country"], False)
+    found.collect()
+    final = plan_of(found).split("== Initial Plan")[0]
+    assert final.count("FileScan") == 1
