@@ -83,11 +83,13 @@ def _line_counts(valid_rows: Column, copies: Column, line: str = "") -> list[Col
     The two value rules overlap and are counted apart.
     """
     cancelled = is_cancellation(F.col(f"{line}Invoice"))
+    bad_quantity = ~cancelled & not_positive(F.col(f"{line}Quantity"))
+    bad_price = ~cancelled & not_positive(F.col(f"{line}Price"))
     return [
         _total(copies, F.lit(True)).alias("rows_in"),
         _total(copies, cancelled).alias("cancelled"),
-        _total(copies, ~cancelled & not_positive(F.col(f"{line}Quantity"))).alias("non_positive_qty"),
-        _total(copies, ~cancelled & not_positive(F.col(f"{line}Price"))).alias("non_positive_price"),
+        _total(copies, bad_quantity).alias("non_positive_qty"),
+        _total(copies, bad_price).alias("non_positive_price"),
         _total(copies, valid_rows).alias("valid"),
     ]
 
@@ -131,13 +133,14 @@ def cleaning_report(
         )
     else:
         valid = _is_valid("line.")
+        nameless = valid & F.col("line.CustomerID").isNull()
         counts = (
             raw.groupBy(whole_line())
             .agg(F.count(F.lit(1)).alias("copies"))
             .agg(
                 *_line_counts(valid, F.col("copies"), "line."),
                 _total(F.lit(1), valid).alias("distinct_valid"),
-                _total(F.lit(1), valid & F.col("line.CustomerID").isNull()).alias("null_customer_id"),
+                _total(F.lit(1), nameless).alias("null_customer_id"),
             )
             .withColumn("matched_returns_netted", matched)
             .withColumn("rows_out", F.col("distinct_valid") - F.col("matched_returns_netted"))

@@ -72,7 +72,9 @@ def fit_predict(days: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.
     return _design(wanted, first, span, knots) @ theta * scale
 
 
-def additive_forecast(frame: DataFrame, by: Sequence[str] = (), value: str = "revenue") -> DataFrame:
+def additive_forecast(
+    frame: DataFrame, by: Sequence[str] = (), value: str = "revenue"
+) -> DataFrame:
     """Add ``prediction`` to every row of every series.
 
     Rows without a ``value`` take no part in the fit and are predicted all the same. Weeks
@@ -90,7 +92,8 @@ def additive_forecast(frame: DataFrame, by: Sequence[str] = (), value: str = "re
         known = ~np.isnan(values)
         return rows.assign(prediction=fit_predict(days[known], values[known], days))
 
-    return series.groupBy(*keys).applyInPandas(one_series, schema).select(*frame.columns, "prediction")
+    predicted = series.groupBy(*keys).applyInPandas(one_series, schema)
+    return predicted.select(*frame.columns, "prediction")
 
 
 def forecast_ahead(history: DataFrame, periods: int, by: Sequence[str] = ()) -> DataFrame:

@@ -157,18 +157,17 @@ def pairs(events: DataFrame) -> DataFrame:
     def consumed_after(j, slack):
         return F.col("j0") + j + F.least(F.col("slack0"), offset + slack)
 
+    j_before, slack_before = F.col("j") - F.col("units"), F.min("slack").over(earlier)
     batches = (
-        placed.withColumn("first", consumed_after(F.col("j") - F.col("units"), F.min("slack").over(earlier)))
+        placed.withColumn("first", consumed_after(j_before, slack_before))
         .withColumn("last", consumed_after(F.col("j"), F.min("slack").over(here)))
         .where((F.col("kind") == CANCEL) & (F.col("last") > F.col("first")))
     )
     # Ordinals first+1..last, spread in two steps so that no array grows with the batch.
-    ordinals = batches.withColumn(
-        "start", F.explode(F.sequence(F.col("first") + 1, F.col("last"), F.lit(SPREAD).cast("bigint")))
-    ).withColumn(
-        "ordinal",
-        F.explode(F.sequence("start", F.least(F.col("start") + SPREAD - 1, F.col("last")))),
-    )
+    step = F.lit(SPREAD).cast("bigint")
+    starts = F.sequence(F.col("first") + 1, F.col("last"), step)
+    run = F.sequence(F.col("start"), F.least(F.col("start") + step - 1, F.col("last")))
+    ordinals = batches.withColumn("start", F.explode(starts)).withColumn("ordinal", F.explode(run))
     cancels = ordinals.select(
         *MATCH_KEY,
         "ordinal",

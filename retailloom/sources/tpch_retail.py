@@ -44,6 +44,9 @@ def lines_by_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = F.col("l_quantity").cast("int")
     hours = F.make_dt_interval(F.lit(0), (F.col("l_orderkey") % 24).cast("int"))
     at = F.col("InvoiceDate")
+    ends, starts = (
+        F.lit(text).cast("timestamp_ntz") for text in (FIRST_SHEET_ENDS, SECOND_SHEET_STARTS)
+    )
     return (
         joined.withColumn("is_sale", F.explode(F.array(F.lit(True), F.lit(False))))
         .where(F.when(is_sale, ~(returned & (F.col("l_linestatus") == "O"))).otherwise(returned))
@@ -62,11 +65,7 @@ def lines_by_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("n_name").alias("Country"),
         )
         .withColumn("sheet", F.explode(F.array(F.lit(1), F.lit(2))))
-        .where(
-            F.when(F.col("sheet") == 1, at < F.lit(FIRST_SHEET_ENDS).cast("timestamp_ntz")).otherwise(
-                at >= F.lit(SECOND_SHEET_STARTS).cast("timestamp_ntz")
-            )
-        )
+        .where(F.when(F.col("sheet") == 1, at < ends).otherwise(at >= starts))
         .select(*RAW_COLUMNS, "sheet")
     )
 
