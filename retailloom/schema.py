@@ -2,8 +2,8 @@
 
 from pyspark.sql import types as T
 
-# Prices carry up to three decimals in retail exports (0.001 is a real price), so
-# four are kept. Decimal sums are exact and do not depend on the partitioning.
+# Published totals have three decimals, so prices keep four. Decimal sums are exact and do not
+# depend on the partitioning.
 PRICE = T.DecimalType(12, 4)
 MONEY = T.DecimalType(18, 4)
 
