@@ -10,6 +10,7 @@ it. It is kept in the shared folder for the life of the application, one per inp
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -29,6 +30,12 @@ from retailloom.session import materialise, scratch_path  # noqa: E402
 from retailloom.sources import raw as raw_source  # noqa: E402
 from retailloom.sources import tpch_retail, warehouse  # noqa: E402
 
+# The operators for training data come and go as one: the subpackage with corpus_pipeline.py.
+if importlib.util.find_spec("retailloom.llm") and importlib.util.find_spec("corpus_pipeline"):
+    from retailloom.llm import queries as llm_queries
+else:
+    llm_queries = None
+
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
 DATES = ("1996-03-01", "1999-10-15")
 MARKETS = ("NATION_1", "NATION_7", "NATION_18")
@@ -230,11 +237,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "k_selection": lambda s, d: _segments(s, d).scores,
         "segments": lambda s, d: money_to_double(_segments(s, d).customers),
         "segment_profile": lambda s, d: money_to_double(_segments(s, d).profile),
+        **(llm_queries.queries() if llm_queries else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.oracle_sql()
+    return oracle_queries.oracle_sql() | (llm_queries.oracle_sql() if llm_queries else {})
 
 
 def entry(spark: SparkSession) -> DataFrame:
