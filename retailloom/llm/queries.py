@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retailloom.llm import lz_dedup, quality, suffix_dedup, toxicity
+from retailloom.llm import lz_dedup, ngram_join, quality, suffix_dedup, toxicity
 from retailloom.llm.common import table
 
 
@@ -18,9 +18,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_array_dedup": on(suffix_dedup.digest, "documents"),
         "op4_substring_dedup": on(lz_dedup.digest, "documents"),
         "op7_quality_classifier": on(quality.quality, "documents", "labels"),
+        "op9_ngram_jaccard_join": on(ngram_join.digest, "documents"),
         "op10_toxicity": on(toxicity.toxicity, "documents", "labels"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": lz_dedup.ORACLE}
+    return {
+        "op4_substring_dedup": lz_dedup.ORACLE,
+        "op9_ngram_jaccard_join": ngram_join.ORACLE,
+    }
