@@ -50,12 +50,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(
-    batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES
+    batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES, lower: bool = False
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Ids, bytes and bounds of consecutive documents, about ``limit`` bytes at a time."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        data, bounds = utf8(batch.column(1))
+        texts = pc.utf8_lower(batch.column(1)) if lower else batch.column(1)
+        data, bounds = utf8(texts)
         low = 0
         while low < len(ids):
             high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + limit, "right")) - 1)
@@ -106,8 +107,12 @@ class Rolling:
         return mix((self.prefix[ends] - self.prefix[starts]) * self.down[starts] + length)
 
 
-_separator = np.zeros(256, bool)
-_separator[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of words: all but space and 0x09-0x0D.
+GRAPHIC = np.ones(256, bool)
+GRAPHIC[[0x20, *range(0x09, 0x0E)]] = False
+#: Bytes of words without punctuation: ASCII letters and digits, and all beyond ASCII.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 
@@ -116,10 +121,12 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _lower[data]
 
 
-def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every run of bytes other than space and 0x09-0x0D, and the number of
-    words before each document. A word never crosses documents."""
-    inside = ~_separator[data]
+def word_bounds(
+    data: np.ndarray, bounds: np.ndarray, part: np.ndarray = GRAPHIC
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every run of bytes that are ``part`` of words, and the number of words
+    before each document. A word never crosses documents."""
+    inside = part[data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
