@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retailloom.llm import lz_dedup, ngram_join, quality, suffix_dedup, toxicity
+import corpus_pipeline
+from retailloom.llm import (
+    decontaminate,
+    extraction,
+    lz_dedup,
+    nearest,
+    ngram_join,
+    packing,
+    quality,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+)
 from retailloom.llm.common import table
 
 
@@ -16,15 +28,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     return {
         "op1_suffix_array_dedup": on(suffix_dedup.digest, "documents"),
+        "op2_benchmark_decontamination": on(decontaminate.contaminated, "documents", "benchmark"),
+        "op3_best_fit_packing": on(packing.pack, "documents"),
         "op4_substring_dedup": on(lz_dedup.digest, "documents"),
+        "op5_html_extraction": on(extraction.main_text, "pages"),
+        "op6_nearest_neighbours": on(nearest.nearest, "embeddings"),
         "op7_quality_classifier": on(quality.quality, "documents", "labels"),
+        "op8_token_counts": on(token_counts.digest, "documents"),
         "op9_ngram_jaccard_join": on(ngram_join.digest, "documents"),
         "op10_toxicity": on(toxicity.toxicity, "documents", "labels"),
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_substring_dedup": lz_dedup.ORACLE,
+        "op6_nearest_neighbours": nearest.ORACLE,
         "op9_ngram_jaccard_join": ngram_join.ORACLE,
     }

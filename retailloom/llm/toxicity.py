@@ -18,11 +18,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retailloom.llm.common import BYTE_VALUES, Rolling, blocks, id_and_text, lower_ascii, utf8
+from retailloom.llm.common import BYTE_VALUES, LETTERS, Rolling, id_and_text, utf8, word_bounds
 from retailloom.llm.labelled import held_out, training_texts
 from retailloom.session import materialise
 
@@ -31,6 +33,8 @@ FEATURES = 20000
 EVIDENCE = 15.0  # least likelihood ratio of a feature
 STEMS = (4, 6)
 SWAP_PENALTY = 2.0
+THRESHOLD = 0.5
+STEP = 256  # documents held as numpy arrays at a time
 
 #: Terms that name groups, by kind; a term is swapped for the others of its kind.
 IDENTITY = (
@@ -49,22 +53,10 @@ _kinds = {term: kind for kind in IDENTITY for term in kind}
 _term = re.compile(r"(?i)\b(" + "|".join(sorted(_kinds, key=len, reverse=True)) + r")\b")
 _sentence = re.compile(r"[^.!?\n]+")
 
-_letter = np.zeros(256, bool)
-_letter[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-
 
 def features(data: np.ndarray, bounds: np.ndarray, stems=STEMS) -> tuple[np.ndarray, np.ndarray]:
-    """Document and hash of every word and word beginning, as they occur."""
-    data = lower_ascii(data)
-    inside = _letter[data]
-    begins, ends = inside.copy(), inside.copy()
-    begins[1:] &= ~inside[:-1]
-    ends[:-1] &= ~inside[1:]
-    cut = bounds[1:-1]
-    cut = cut[(cut > 0) & (cut < len(data))]
-    begins[cut] = inside[cut]
-    ends[cut - 1] = inside[cut - 1]
-    starts, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    """Document and hash of every word and word beginning, as they occur, of lower-cased bytes."""
+    starts, ends, _ = word_bounds(data, bounds, LETTERS)
     doc = np.searchsorted(bounds, starts, "right") - 1
     rolling = Rolling(BYTE_VALUES[data])
     docs, found = [doc], [rolling.of(starts, ends)]
@@ -77,7 +69,7 @@ def features(data: np.ndarray, bounds: np.ndarray, stems=STEMS) -> tuple[np.ndar
 
 
 def _present(texts: list[str]) -> list[np.ndarray]:
-    data, bounds = utf8(pa.array(texts, pa.string()))
+    data, bounds = utf8(pc.utf8_lower(pa.array(texts, pa.string())))
     doc, found = features(data, bounds)
     return [np.unique(found[doc == i]) for i in range(len(texts))]
 
@@ -147,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                data, bounds = utf8(part.column(1))
+                data, bounds = utf8(pc.utf8_lower(part.column(1)))
                 doc, found = features(data, bounds)
                 pairs = []
                 for text in part.column(1).to_pylist():
@@ -245,23 +237,29 @@ SWAPS = pa.list_(
 )
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score and predicted (score >= 0.5) of every document."""
+def scorer(model: Model):
+    """A column function: text to score."""
 
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, data, bounds in blocks(batches):
-            logit = np.clip(model.logits(data, bounds), -40, 40)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(1 / (1 + np.exp(-logit)))],
-                names=["doc_id", "score"],
-            )
+    @F.pandas_udf("double")
+    def rate(texts: pd.Series) -> pd.Series:
+        out = []
+        for low in range(0, len(texts), STEP):
+            part = pa.array(texts.iloc[low : low + STEP].tolist(), pa.large_string(), from_pandas=True)
+            logit = np.clip(model.logits(*utf8(pc.utf8_lower(part))), -40, 40)
+            out.append(1 / (1 + np.exp(-logit)))
+        return pd.Series(np.concatenate(out) if out else np.zeros(0), dtype="float64")
 
-    rated = id_and_text(docs).mapInArrow(rate, "doc_id long, score double")
+    return rate
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score and predicted (score >= THRESHOLD) of every document."""
+    rated = id_and_text(docs).select("doc_id", scorer(model)("text").alias("score"))
     return rated.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
 
 
