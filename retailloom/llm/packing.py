@@ -36,7 +36,7 @@ CAPACITY = 4096
 END_ID = 1
 LARGE = 8  # lengths above capacity / LARGE are planned, the others fill gaps
 GROUPS = 24
-WORDS_KEPT = 400_000  # encoded words a worker remembers
+WORDS_KEPT = 250_000  # encoded words a task remembers
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -74,6 +74,10 @@ class Encoder:
         self.known: dict[bytes, bytes] = {}
         self.letters: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """The worker outlives its task; its memory is wanted by others."""
+        self.known, self.letters = {}, {}
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
@@ -116,7 +120,7 @@ class Encoder:
         words = [(t or "").encode().split() for t in texts]
         new = list({w for ws in words for w in ws if w not in self.known})
         if len(self.known) + len(new) > WORDS_KEPT:
-            self.known, self.letters = {}, {}
+            self.forget()
             new = list({w for ws in words for w in ws})
         self._learn(new)
         get = self.known.__getitem__
@@ -135,7 +139,9 @@ def pieces(
     end = np.array([END_ID], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(vocabulary, Encoder(vocabulary))
+        if vocabulary not in _encoders:
+            _encoders[vocabulary] = Encoder(vocabulary)
+        encoder = _encoders[vocabulary]
         for batch in batches:
             for low in range(0, batch.num_rows, 1024):
                 part = batch.slice(low, 1024)
@@ -152,6 +158,7 @@ def pieces(
                 yield pa.RecordBatch.from_arrays(
                     arrays if with_ids else arrays[:5], names=NAMES if with_ids else NAMES[:5]
                 )
+        encoder.forget()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     return id_and_text(docs).mapInArrow(encode, schema + (", ids binary" if with_ids else ""))

@@ -26,7 +26,7 @@ from retailloom.llm.common import id_and_text
 
 LEAF = 32  # pre-tokens in a leaf when a tree is built
 VOCABULARY = "byte_bpe_50k.tiktoken"
-KNOWN = 400_000  # pre-tokens a worker remembers
+KNOWN = 250_000  # pre-tokens a task remembers
 EDITS = 4  # edits per document in the query
 
 
@@ -214,6 +214,7 @@ def edited_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=NAMES
                 )
+        counter.known = {}  # the worker outlives its task
 
     rows = docs.where("doc_id IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
