@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -65,9 +66,36 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_folders[context.applicationId]
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/{app}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(f"{shared_dir(spark)}/{app}/{name}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
+
+
+@contextlib.contextmanager
+def scratch_made():
+    """Collect the paths of the intermediates that are named inside the block."""
+    begin, paths = len(_made), []
+    try:
+        yield paths
+    finally:
+        paths.extend(_made[begin:])
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediates that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete everything this application has stored in the shared folder."""
+    remove(spark, [f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"])
 
 
 def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
