@@ -10,7 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 2 << 20  # text held as numpy arrays at a time; it only sizes the work
+BLOCK_BYTES = 1 << 20  # text held as numpy arrays at a time; it only sizes the work
+BATCH_ROWS = 1000  # rows that travel to a Python worker at a time: these hold whole texts
 BASE = 0x9E3779B97F4A7C15  # odd, hence invertible modulo 2**64
 
 
@@ -24,11 +25,24 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     A row without a doc_id can be neither named nor ordered and takes no part. Rows that share a
     doc_id are one document given several times.
     """
+    small_batches(docs.sparkSession)
     return docs.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
 
 
+def small_batches(spark: SparkSession) -> None:
+    """The usual ten thousand texts to a batch fill an executor's memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def release() -> None:
+    """Give unused memory back at the end of a task; the worker waits for others."""
+    pa.default_memory_pool().release_unused()
+
+
 def buckets(spark: SparkSession, each: int = 3) -> int:
     """Groups to deal packed rows into: some for every shuffle partition, so that they even out."""
     return each * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -63,6 +77,8 @@ def blocks(
             part = bounds[low : high + 1]
             yield ids[low:high], data[part[0] : part[-1]], part - part[0]
             low = high
+        del ids, data, bounds, batch
+    release()
 
 
 def mix(values: np.ndarray) -> np.ndarray:

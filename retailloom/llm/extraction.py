@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retailloom.llm.common import small_batches
 from retailloom.session import materialise
 
 LOW = 0.3  # importance below which a branch goes
@@ -216,6 +217,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
+    small_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     low = (
         materialise(style_tree(pages), "nodes")

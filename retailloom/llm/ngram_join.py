@@ -36,6 +36,7 @@ from retailloom.llm.common import (
     lists,
     lower_ascii,
     mix,
+    release,
     run_bounds,
     word_bounds,
     word_values,
@@ -44,7 +45,7 @@ from retailloom.llm.components import components
 from retailloom.session import materialise
 
 WORDS = 5
-FLUSH = 1 << 21  # shingles gathered before they are dealt out
+FLUSH = 1 << 20  # shingles gathered before they are dealt out
 SMALL = 12  # sizes for which enumerating subsets is weighed against scanning lists
 
 
@@ -163,6 +164,7 @@ def _shared(table: pa.Table, deal: int) -> pa.Table:
     heads, ends = run_bounds(home, doc)
     keys, sizes = np.unique(home, return_counts=True)
     _, runs = np.unique(home[heads], return_counts=True)
+    release()
     return pa.table(
         {
             "home": pa.array(keys.astype(np.int32)),
@@ -206,6 +208,7 @@ def _gather(table: pa.Table, members: pa.Table) -> pa.Table:
             rows.append(
                 (int(ids[at]), n, np.sort(key[low:high]), key[low : low + rare], int(held[low : low + rare].sum()))
             )
+    release()
     kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
     columns = list(zip(*rows, strict=True)) or [[]] * 5
     return pa.table(

@@ -29,7 +29,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retailloom.llm.common import buckets, id_and_text
+from retailloom.llm.common import buckets, id_and_text, release
 from retailloom.session import materialise
 
 CAPACITY = 4096
@@ -159,6 +159,7 @@ def pieces(
                     arrays if with_ids else arrays[:5], names=NAMES if with_ids else NAMES[:5]
                 )
         encoder.forget()
+        release()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     return id_and_text(docs).mapInArrow(encode, schema + (", ids binary" if with_ids else ""))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retailloom.llm.common import id_and_text
+from retailloom.llm.common import id_and_text, release
 
 LEAF = 32  # pre-tokens in a leaf when a tree is built
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -215,6 +215,7 @@ def edited_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                     [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=NAMES
                 )
         counter.known = {}  # the worker outlives its task
+        release()
 
     rows = docs.where("doc_id IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),

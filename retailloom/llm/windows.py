@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retailloom.llm.common import Rolling, blocks, buckets, dealt, listed, utf8
+from retailloom.llm.common import Rolling, blocks, buckets, dealt, listed, release, utf8
 from retailloom.session import materialise
 
-FLUSH = 1 << 20  # segments gathered before they are dealt out
+FLUSH = 1 << 19  # segments gathered before they are dealt out
 CROWD = 4096  # different segments of one anchor from which its windows are dealt out singly
 
 PACKED = (
@@ -113,6 +113,7 @@ def _settle(table: pa.Table, within: bool) -> pa.Table:
     anchor, segment, doc, start, count, sure = (
         listed(table[c]) for c in ("anchor", "segment", "doc", "start", "count", "sure")
     )
+    release()
     known = sure == 1
     open_ = np.flatnonzero(~known)
     kind = np.full(len(doc), -1, np.int8)
