@@ -36,7 +36,7 @@ CAPACITY = 4096
 END_ID = 1
 LARGE = 8  # lengths above capacity / LARGE are planned, the others fill gaps
 GROUPS = 24
-WORDS_KEPT = 250_000  # encoded words a task remembers
+WORDS_KEPT = 120_000  # encoded words a task remembers
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -61,11 +61,10 @@ class Encoder:
     PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.runs = Tokenizer.from_file(vocabulary)
-        self.runs.normalizer = normalizers.Sequence([])
+        self.runs = Tokenizer(self.tokenizer.model)
         self.runs.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.symbols = _byte_symbols()
         words = self.tokenizer.get_vocab()
@@ -143,8 +142,8 @@ def pieces(
             _encoders[vocabulary] = Encoder(vocabulary)
         encoder = _encoders[vocabulary]
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                part = batch.slice(low, 1024)
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
                 rows = []
                 texts = part.column(1).to_pylist()
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):

@@ -26,7 +26,7 @@ from retailloom.llm.common import id_and_text, release
 
 LEAF = 32  # pre-tokens in a leaf when a tree is built
 VOCABULARY = "byte_bpe_50k.tiktoken"
-KNOWN = 250_000  # pre-tokens a task remembers
+KNOWN = 120_000  # pre-tokens a task remembers
 EDITS = 4  # edits per document in the query
 
 
