@@ -15,9 +15,9 @@ import argparse
 
 from pyspark.sql import DataFrame
 
-from retailloom.operators import clustering, filters, quantiles, rfm, series
+from retailloom.operators import filters, quantiles, rfm, series
 from retailloom.plans import build, forecasting, reports, segmentation
-from retailloom.session import materialise, submitted_session
+from retailloom.session import materialise, remove, scratch_made, submitted_session
 from retailloom.sources import raw, warehouse
 
 REPORTS = {
@@ -38,8 +38,17 @@ REPORTS = {
 }
 
 
-def _show(df: DataFrame, rows: int = 100) -> None:
-    df.show(rows, truncate=False)
+SCREEN = 100  # rows on the screen; --out has them all
+
+
+def _show(df: DataFrame, out: str | None = None) -> None:
+    """Print a result, and say so if the screen does not have all of it."""
+    if out:
+        warehouse.write_csv(df, out)
+    some = df.limit(SCREEN + 1).toPandas()
+    df.limit(SCREEN).show(SCREEN, truncate=False)
+    if len(some) > SCREEN:
+        print(f"The first {SCREEN} rows." + ("" if out else " --out FOLDER writes all of them."))
 
 
 def _build(spark, args) -> None:
@@ -50,18 +59,20 @@ def _build(spark, args) -> None:
 
 def _report(spark, args) -> None:
     sales = warehouse.read_sales(spark, args.table)
+    if (args.start is None) != (args.end is None):
+        raise SystemExit("--start and --end go together")
     sales = filters.filter_sales(sales, args.start, args.end, args.country)
     if args.name == "search":
-        _show(reports.transaction_search(sales, args.term), 500)
+        _show(reports.transaction_search(sales, args.term), args.out)
     elif args.name == "like_for_like":
-        _show(reports.like_for_like(sales, args.year, args.month))
+        _show(reports.like_for_like(sales, args.year, args.month), args.out)
     else:
-        _show(REPORTS[args.name](sales))
+        _show(REPORTS[args.name](sales), args.out)
 
 
 def _sql(spark, args) -> None:
     sales = warehouse.read_sales(spark, args.table)
-    _show(warehouse.run_query(spark, args.text, args.values, sales))
+    _show(warehouse.run_query(spark, args.text, args.values, sales), args.out)
 
 
 def _forecast(spark, args) -> None:
@@ -75,7 +86,7 @@ def _forecast(spark, args) -> None:
 
 
 def _segment(spark, args) -> None:
-    result = segmentation.segment(warehouse.read_sales(spark, args.table), metric=args.silhouette)
+    result = segmentation.segment(warehouse.read_sales(spark, args.table))
     _show(quantiles.distribution_summary(result.customers, rfm.METRICS))
     _show(result.scores)
     _show(result.profile)
@@ -97,6 +108,7 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--format", default="parquet", choices=["parquet", "csv"])
     sub = command("report", _report)
     sub.add_argument("name", choices=[*REPORTS, "search", "like_for_like"])
+    sub.add_argument("--out", help="folder for the whole result as CSV")
     sub.add_argument("--start")
     sub.add_argument("--end")
     sub.add_argument("--country", nargs="*", default=[])
@@ -106,21 +118,22 @@ def parser() -> argparse.ArgumentParser:
     sub = command("sql", _sql)
     sub.add_argument("text")
     sub.add_argument("values", nargs="*")
+    sub.add_argument("--out", help="folder for the whole result as CSV")
     sub = command("forecast", _forecast)
     sub.add_argument("--out", required=True)
     sub = command("segment", _segment)
     sub.add_argument("--out", required=True)
-    sub.add_argument(
-        "--silhouette",
-        default=clustering.SQUARED,
-        choices=[clustering.SQUARED, clustering.EUCLIDEAN],
-    )
     return top
 
 
 def main(argv=None) -> None:
     args = parser().parse_args(argv)
-    args.run(submitted_session(), args)
+    spark = submitted_session()
+    try:
+        with scratch_made() as paths:
+            args.run(spark, args)
+    finally:
+        remove(spark, paths)
 
 
 if __name__ == "__main__":

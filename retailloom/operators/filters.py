@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,10 @@ LAST_SECOND = "23:59:59"
 
 
 def _day(value: date | str) -> str:
-    return str(value)[:10]
+    """A bound is a whole day. One with a time of day is refused, for it would not be used."""
+    if isinstance(value, datetime):
+        raise ValueError(f"a date is wanted, not {value!r}")
+    return date.fromisoformat(str(value)).isoformat()
 
 
 def _instant(value: date | str, time: str = "00:00:00"):
@@ -47,7 +50,9 @@ def filter_sales(
 
 
 def search_description(sales: DataFrame, term: str = "") -> DataFrame:
-    """Case-insensitive substring match; ``%`` and ``_`` in the term are wildcards."""
+    """Case-insensitive substring match; ``%`` and ``_`` in the term are wildcards, a backslash
+    is itself."""
     if not term:
         return sales
-    return sales.where(F.lower("Description").like(f"%{term.lower()}%"))
+    pattern = term.lower().replace("\\", "\\\\")
+    return sales.where(F.lower("Description").like(f"%{pattern}%"))

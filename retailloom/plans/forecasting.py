@@ -70,8 +70,13 @@ def additive_predictions(
 def accuracy(predictions: DataFrame, by: Sequence[str] = (), baseline: str = NAIVE) -> DataFrame:
     """MAE and MAPE per model, and the MAE saved against the baseline.
 
-    A week with no revenue has no percentage error and is left out of MAPE.
+    Models are scored on the weeks for which all of them have a prediction. A week with no revenue
+    has no percentage error and is left out of MAPE.
     """
+    week = Window.partitionBy(*by, "week")
+    predictions = predictions.withColumn(
+        "without", F.sum(F.col("prediction").isNull().cast("int")).over(week)
+    ).withColumn("prediction", F.when(F.col("without") == 0, F.col("prediction")))
     miss = F.col("revenue") - F.col("prediction")
     scored = predictions.groupBy(*by, "model").agg(
         F.avg(F.abs(miss)).alias("MAE"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from retailloom.functions.expressions import growth_pct, is_service_line, month_label, pct, ratio
 from retailloom.operators import filters, series
-from retailloom.schema import SERVICE_LINES
+from retailloom.schema import SALE_MONTH, SERVICE_LINES
 
 
 def monthly_trend(sales: DataFrame, with_orders: bool = True) -> DataFrame:
@@ -170,8 +170,9 @@ def top_products_by_country(sales: DataFrame, markets: int = 8, ranks: int = 5)
         )
         .orderBy(
             F.col("country_revenue").desc_nulls_last(),
-            F.col("country_units").desc_nulls_last(),
             F.col("Country").asc_nulls_last(),
+            # Never decides; it keeps the column, so that both readers share one shuffle.
+            F.col("country_units").desc_nulls_last(),
         )
         .limit(markets)
         .select(F.col("Country").alias("market"), "named_revenue")
@@ -206,6 +207,15 @@ def like_for_like(sales: DataFrame, year: int, through_month: int = 11) -> DataF
         & (F.col("InvoiceDate") < F.lit(f"{year + 1}-01-01 00:00:00").cast("timestamp_ntz"))
         & (F.month("InvoiceDate") <= through_month)
     )
+    if SALE_MONTH in sales.columns:
+        # The same months on the partition column, so that others are never opened.
+        of_year = [
+            F.col(SALE_MONTH).between(
+                F.lit(f"{y}-01-01").cast("date"), F.lit(f"{y}-{through_month:02d}-01").cast("date")
+            )
+            for y in (year - 1, year)
+        ]
+        spans = spans.where(of_year[0] | of_year[1])
     return spans.agg(
         F.sum(F.when(sold == year, F.col("Revenue"))).alias("revenue"),
         F.sum(F.when(sold == year - 1, F.col("Revenue"))).alias("revenue_before"),

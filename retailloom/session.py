@@ -93,11 +93,6 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete everything this application has stored in the shared folder."""
-    remove(spark, [f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"])
-
-
 def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once and return a scan of what was written.
 

@@ -66,10 +66,24 @@ def run_query(
     """Run SQL over ``sales`` with ``?`` markers bound by position.
 
     The markers are named before binding: Spark 4.1 assigns a list of five or more
-    values to the wrong markers.
+    values to the wrong markers. ``sales`` bears its name only while the text is resolved; a view
+    of that name that was there before is there again afterwards. The table is stored by month:
+    a range on ``sale_month`` beside one on ``InvoiceDate`` keeps other months closed.
     """
-    if sales is not None:
-        sales.createOrReplaceTempView("sales")
+    if sales is None:
+        return _bound(spark, sql, params)
+    views = [t for t in spark.catalog.listTables() if t.isTemporary and t.name == "sales"]
+    before = spark.table("sales") if views else None
+    sales.createOrReplaceTempView("sales")
+    try:
+        return _bound(spark, sql, params)
+    finally:
+        spark.catalog.dropTempView("sales")
+        if before is not None:
+            before.createOrReplaceTempView("sales")
+
+
+def _bound(spark: SparkSession, sql: str, params: Sequence) -> DataFrame:
     if not params:
         return spark.sql(sql)
     position = count()

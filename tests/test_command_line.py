@@ -50,3 +50,13 @@ def test_programs_write_their_results(table, spark, tmp_path, capsys):
     ]
     customers = spark.read.option("header", True).csv(f"{out}/rfm_clusters")
     assert customers.count() == 40
+
+
+def test_whole_results_and_refused_dates(table, spark, tmp_path, capsys):
+    out = str(tmp_path / "all")
+    main(["sql", "--table", table, "--out", out, "SELECT Invoice FROM sales"])
+    rows = spark.read.option("header", True).csv(out).count()
+    assert rows > 100
+    assert "The first 100 rows." in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["report", "kpis", "--table", table, "--start", "2010-02-01"])

@@ -84,3 +84,13 @@ def test_one_series_needs_no_key(two_series):
     one = two_series.where("Country = 'a'").drop("Country")
     rows = forecasting.additive_predictions(one).collect()
     assert len(rows) == 13 and {r.model for r in rows} == {forecasting.ADDITIVE}
+
+
+def test_models_are_scored_on_the_same_weeks(spark):
+    rows = [(1, 10.0, "Seasonal naive", None), (1, 10.0, "other", 5.0)]
+    rows += [(2, 10.0, "Seasonal naive", 8.0), (2, 10.0, "other", 9.0)]
+    rows = [(w, r, forecasting.NAIVE if m.startswith("Seasonal") else m, p) for w, r, m, p in rows]
+    got = spark.createDataFrame(rows, "week int, revenue double, model string, prediction double")
+    score = {r.model: r for r in forecasting.accuracy(got).collect()}
+    assert score[forecasting.NAIVE].MAE == 2.0 and score["other"].MAE == 1.0
+    assert score["other"]["MAE_vs_baseline_%"] == 50.0

@@ -27,7 +27,9 @@ def in_order(rows):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {
+    # The numbered operators and the pipeline have tests of their own.
+    own = {q for q in QUERIES if not re.match(r"op\d+_|pipeline$", q)}
+    assert own - set(ORACLE) == {
         "forecast_additive",
         "forecast_frame",
         "forecast_comparison",

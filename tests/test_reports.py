@@ -90,7 +90,11 @@ def test_date_filter_includes_the_last_second(sales_frame):
     )
     kept = filters.filter_sales(sales, "2020-01-01", "2020-01-02").collect()
     assert {r.Invoice for r in kept} == {"in", "first"}
-    same = filters.filter_sales(sales, datetime(2020, 1, 1, 9), datetime(2020, 1, 2).date())
+    with pytest.raises(ValueError):
+        filters.filter_sales(sales, datetime(2020, 1, 1, 9), "2020-01-02")
+    with pytest.raises(ValueError):
+        filters.filter_sales(sales, "2020-01-01 09:00:00", "2020-01-02")
+    same = filters.filter_sales(sales, datetime(2020, 1, 1).date(), datetime(2020, 1, 2).date())
     assert {r.Invoice for r in same.collect()} == {"in", "first"}
     assert filters.filter_sales(sales, "2020-01-01", None).count() == 4
     assert filters.filter_sales(sales, countries=[]).count() == 4
@@ -161,3 +165,20 @@ def test_other_reports(sales_frame):
     assert [(r.weekday, r.trading_days) for r in reports.weekday_profile(sales).collect()] == [
         (3, 1), (6, 1)
     ]
+
+
+def test_a_backslash_is_searched_as_itself(sales_frame):
+    sales = sales_frame([{"Description": d} for d in ("a\\b", "ab", "50%", "50\\x")])
+
+    def found(term):
+        return sorted(r.Description for r in filters.search_description(sales, term).collect())
+
+    assert found("a\\b") == ["a\\b"]
+    assert found("50\\%") == ["50\\x"]
+
+
+def test_markets_of_equal_revenue_are_chosen_by_name(sales_frame):
+    sales = sales_frame(
+        [{"Country": "B", "Quantity": 10, "Price": 1}, {"Country": "A", "Quantity": 1, "Price": 10}]
+    )
+    assert {r.Country for r in reports.top_products_by_country(sales, markets=1).collect()} == {"A"}

@@ -89,12 +89,61 @@ def test_bound_parameters(sales_frame, spark):
     params = ("2020-01-01", "2020-01-04 23:59:59", "X", "Z", "V")
     rows = warehouse.run_query(spark, sql, params, sales).collect()
     assert [tuple(r) for r in rows] == [("1", "?"), ("3", "?")]
-    injected = warehouse.run_query(spark, "SELECT * FROM sales WHERE Country = ?", ("X' OR 'a'='a",))
+    injected = warehouse.run_query(spark, "SELECT * FROM sales WHERE Country = ?", ("X' OR 'a'='a",), sales)
     assert injected.count() == 0
-    assert warehouse.run_query(spark, "SELECT * FROM sales").count() == 5
+    assert warehouse.run_query(spark, "SELECT * FROM sales", sales=sales).count() == 5
     with pytest.raises(ValueError):
         warehouse.run_query(spark, "SELECT ?", (1, 2))
 
 
 def test_raw_schema_is_explicit():
     assert isinstance(RAW["InvoiceDate"].dataType, T.TimestampNTZType)
+
+
+def _sheet(path, text):
+    path.write_text(text)
+    return str(path)
+
+
+def test_csv_sheet_with_quotes_and_other_column_order(spark, tmp_path):
+    path = _sheet(
+        tmp_path / "s.csv",
+        "Price,Customer ID,Invoice,StockCode,Description,InvoiceDate,Quantity,Country\n"
+        '1.25,7.0,1,A,"SIGN ""BUSY"", BLUE",2009-12-01 07:45:00,3.0,X\n'
+        "0.5,,,B,plain,2009-12-02 07:45:00,4,Y\n",
+    )
+    a, b = sorted(raw_source.read_raw(spark, [path], "csv").collect(), key=lambda r: r.StockCode)
+    assert a.Description == 'SIGN "BUSY", BLUE'
+    assert (a.Quantity, float(a.Price), a.CustomerID, a.Country) == (3, 1.25, 7, "X")
+    assert (b.Invoice, b.CustomerID, b.Quantity) == (None, None, 4)
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        "1,A,d,1,2009-12-01 07:45:00,1.0,5",
+        "1,A,d,1,2009-12-01 07:45:00,1.0,5,X,more",
+        "1,A,d,1,01/12/2009 07:45,1.0,5,X",
+        "1,A,d,1.5,2009-12-01 07:45:00,1.0,5,X",
+        "1,A,d,1,2009-12-01 07:45:00,0.00004,5,X",
+    ],
+    ids=["short", "long", "date", "units", "price"],
+)
+def test_csv_rows_that_do_not_parse_fail(spark, tmp_path, line):
+    path = _sheet(tmp_path / "s.csv", HEAD + line + "\n")
+    with pytest.raises(Exception):
+        raw_source.read_raw(spark, [path], "csv").collect()
+
+
+def test_csv_with_other_headings_fails(spark, tmp_path):
+    path = _sheet(tmp_path / "s.csv", HEAD.replace("Quantity", "Units") + "1,A,d,1,2009-12-01 07:45:00,1.0,5,X\n")
+    with pytest.raises(ValueError):
+        raw_source.read_raw(spark, [path], "csv")
+
+
+def test_a_query_leaves_views_as_they_were(sales_frame, spark):
+    spark.range(3).createOrReplaceTempView("sales")
+    got = warehouse.run_query(spark, "SELECT COUNT(*) AS n FROM sales", sales=sales_frame([{}]))
+    assert got.first()["n"] == 1
+    assert spark.table("sales").count() == 3
+    spark.catalog.dropTempView("sales")
