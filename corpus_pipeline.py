@@ -10,7 +10,6 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,8 +69,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the byte strings that an earlier one holds. Bytes of a character
     that is cut in two go as well."""
-    kept = suffix_dedup.suffix_dedup(docs).select(
-        F.col("doc_id").alias("kept_id"), F.pandas_udf(_whole_characters, "string")("kept").alias("kept_text")
+    kept = suffix_dedup.suffix_dedup(docs, as_text=True).select(
+        F.col("doc_id").alias("kept_id"), F.col("kept").alias("kept_text")
     )
     own = F.col("doc_id").cast("long") == F.col("kept_id")
     text = F.when(F.col("text"), F.col("kept_text"))
@@ -84,10 +83,6 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
-def _whole_characters(kept: pd.Series) -> pd.Series:
-    return kept.map(lambda data: bytes(data).decode(errors="ignore"))
-
-
 @_alone
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,9 @@ def small_batches(spark: SparkSession) -> None:
 def release() -> None:
     """Give unused memory back at the end of a task; the worker waits for others."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library is glibc
+    if trim:
+        trim(0)
 
 
 def buckets(spark: SparkSession, each: int = 3) -> int:

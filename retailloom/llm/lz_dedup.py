@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retailloom.llm.common import Rolling, id_and_text, run_bounds, word_bounds, word_values
+from retailloom.llm.common import Rolling, id_and_text, release, run_bounds, word_bounds, word_values
 from retailloom.llm.windows import covered, per_document, repeated_windows
 
 SPAN = 50
@@ -122,6 +122,7 @@ def lz_dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KINDS, strict=True)],
                     names=["doc_id", "n_words", "n_removed", "kept", "removed"],
                 )
+        release()
 
     return docs.join(runs, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(
         strip,

@@ -317,6 +317,7 @@ def _cross_pairs(listed_: DataFrame, deal: int, limit: int) -> DataFrame:
     """Pairs on a common list whose components differ and whose sizes allow a link."""
 
     def cross(table: pa.Table) -> pa.Table:
+        release()
         token, doc, n, component = (
             table[c].to_numpy() for c in ("token", "doc_id", "n", "component")
         )
@@ -357,7 +358,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS) -> DataFrame:
     and component_id (smallest document reachable by links)."""
     spark = docs.sparkSession
     docs = id_and_text(docs)
-    deal = buckets(spark, 1)
+    deal = buckets(spark, 2)
     sizes = _sizes(docs, words)
     classes = sizes.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     members = materialise(

@@ -34,8 +34,10 @@ from retailloom.session import materialise
 
 CAPACITY = 4096
 END_ID = 1
-LARGE = 8  # lengths above capacity / LARGE are planned, the others fill gaps
-GROUPS = 24
+#: Tried in turn; the plan with the fewest sequences is taken. Lengths above capacity / LARGE are
+#: planned in GROUPS groups, the others fill gaps.
+LARGE = (4, 3, 2, 8)
+GROUPS = (12, 24, 48)
 WORDS_KEPT = 120_000  # encoded words a task remembers
 VOCABULARY = "word_bpe_49k.json"
 
@@ -235,7 +237,23 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
     return out
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[list[Run], int]:
+def best_plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Run], int]:
+    """The plan with the fewest sequences, or the first that needs no more than the tokens do."""
+    bound = -(-sum(n * c for n, c in counts.items()) // capacity)
+    best = None
+    for groups in GROUPS:
+        for large in LARGE:
+            found = plan(counts, capacity, groups, large)
+            if best is None or found[1] < best[1]:
+                best = found
+            if best[1] == bound:
+                return best
+    return best
+
+
+def plan(
+    counts: dict[int, int], capacity: int, groups: int, large_above: int
+) -> tuple[list[Run], int]:
     """Runs for so many pieces of each length, and the number of sequences."""
     runs: list[Run] = []
     used = {length: 0 for length in counts}
@@ -254,7 +272,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
         runs.append(Run(length, used[length], count, sequence, per, offset))
         used[length] += count
 
-    large = sorted((n for n in counts if n > capacity // LARGE), reverse=True)
+    large = sorted((n for n in counts if n > capacity // large_above), reverse=True)
     total = sum(counts[n] for n in large)
     if total:
         size = -(-total // groups)
@@ -313,7 +331,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
                     leave(capacity - offset, sequences + low, high - low)
                 sequences += step
                 left -= step
-    for n in sorted((n for n in counts if n <= capacity // LARGE), reverse=True):
+    for n in sorted((n for n in counts if n <= capacity // large_above), reverse=True):
         left = counts[n]
         while left:
             at = bisect.bisect_left(order, n)
@@ -350,7 +368,7 @@ def assign(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {
         r["length"]: r["count"] for r in found.groupBy("length").count().collect()
     }  # at most ``capacity`` rows
-    runs, _ = plan(counts, capacity)
+    runs, _ = best_plan(counts, capacity)
     runs.sort(key=lambda r: (r.length, r.first))
     table = np.array(
         [(r.length, r.first, r.sequence, r.per, r.offset) for r in runs], np.int64

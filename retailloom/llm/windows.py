@@ -75,19 +75,20 @@ def _grouped(anchor, segment, doc, start):
     return order, new_anchor | np.r_[True, s[1:] != s[:-1]], new_anchor
 
 
-def _repeats(order, new, doc, within: bool):
-    """Members of a segment's group that repeat its first member; ``within`` one document too."""
+def _repeats(order, new, doc, start, within: bool):
+    """Members of a segment's group that repeat its first member; ``within`` one document too. A
+    row given twice holds the same place twice, which is no repeat."""
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    if not within:
-        return doc[order] > doc[order][head]
-    return ~new
+    doc, start = doc[order], start[order]
+    later = doc > doc[head]
+    return later | (start != start[head]) if within else later
 
 
 def _pack(parts, total_buckets, within):
     doc, start, count, anchor, segment = (np.concatenate(x) for x in zip(*parts, strict=True))
     order, new, _ = _grouped(anchor, segment, doc, start)
     sure = np.zeros(len(doc), np.int8)
-    sure[order] = _repeats(order, new, doc, within)
+    sure[order] = _repeats(order, new, doc, start, within)
     # What is decided already only passes through; any bucket does.
     key = np.where(sure == 1, doc + start, anchor)
     bucket = (key.view(np.uint64) >> np.uint64(8)) % np.uint64(total_buckets)
@@ -120,7 +121,7 @@ def _settle(table: pa.Table, within: bool) -> pa.Table:
     kind[known] = WHOLE
     if len(open_):
         order, new, new_anchor = _grouped(anchor[open_], segment[open_], doc[open_], start[open_])
-        again = _repeats(order, new, doc[open_], within)
+        again = _repeats(order, new, doc[open_], start[open_], within)
         group = np.cumsum(new_anchor) - 1
         different = np.bincount(group, weights=new)[group]
         state = np.where(different > CROWD, CROWDED, np.where(different > 1, COMPARE, -1))
