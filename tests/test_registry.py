@@ -1,5 +1,6 @@
 """Every registered query against the independent SQL."""
 
+import re
 import duckdb
 import pytest
 from conftest import SF_DIR
