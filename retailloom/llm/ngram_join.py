@@ -7,7 +7,9 @@ how many documents hold them; a token that one document holds cannot be shared a
   the required overlap, so the subset itself is the join key and no list is scanned.
 * Large sets scan inverted lists: linked sets share a token among the rarest of each, so only those
   are listed. The members of a list are first tried against one leader; after the components of
-  these links are known, only pairs of different components are still tried.
+  these links are known, only pairs of different components are still tried. Lists of the same
+  documents are tried once, and of their pairs only those whose parity marks leave a link possible:
+  bits that differ are tokens that one of the two lacks, so no link is passed over.
 
 The boundary is the size at which the counted costs of both add up to the least. Every pair is
 decided by its exact overlap. Nothing is capped: a group of copies costs a star, not its pairs.
@@ -180,7 +182,15 @@ def _home(doc: np.ndarray, deal: int) -> np.ndarray:
     return (mix(doc.astype(np.int64).view(np.uint64)) >> np.uint64(8)) % np.uint64(deal)
 
 
-SETS = "doc_id long, n long, tokens array<long>, rare array<long>, scan long"
+SETS = "doc_id long, n long, tokens array<long>, rare array<long>, scan long, marks binary"
+LEAST_MARKS, MOST_MARKS = 9, 13  # powers of two: bits of a set's marks, twice its size within these
+
+
+def _marks(key: np.ndarray, n: int) -> bytes:
+    """For each residue of the hashed tokens, whether an odd number of them has it."""
+    width = 1 << min(max((2 * n - 1).bit_length(), LEAST_MARKS), MOST_MARKS)
+    at = (mix(key.view(np.uint64)) % np.uint64(width)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8)).tobytes()
 
 
 def _gather(table: pa.Table, members: pa.Table) -> pa.Table:
@@ -206,14 +216,14 @@ def _gather(table: pa.Table, members: pa.Table) -> pa.Table:
                 continue
             rare = max(0, n - least + 1 - (n - (high - low)))
             rows.append(
-                (int(ids[at]), n, np.sort(key[low:high]), key[low : low + rare], int(held[low : low + rare].sum()))
+                (int(ids[at]), n, np.sort(key[low:high]), key[low : low + rare], int(held[low : low + rare].sum()), _marks(key[low:high], n))
             )
     release()
-    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
-    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary())
+    columns = list(zip(*rows, strict=True)) or [[]] * 6
     return pa.table(
         [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-        names=["doc_id", "n", "tokens", "rare", "scan"],
+        names=["doc_id", "n", "tokens", "rare", "scan", "marks"],
     )
 
 
@@ -313,39 +323,83 @@ def _leader_pairs(listed_: DataFrame) -> DataFrame:
     )
 
 
-def _cross_pairs(listed_: DataFrame, deal: int, limit: int) -> DataFrame:
-    """Pairs on a common list whose components differ and whose sizes allow a link."""
+class _Marks:
+    """Marks of documents, each at its own width and folded to half of it. Sets that can be linked
+    are less than a factor of two apart, so two documents always have a width in common."""
+
+    def __init__(self, marks: pa.ChunkedArray):
+        raw = [np.frombuffer(m, np.uint64) for m in marks.to_pylist()]
+        self.width = np.array([len(m) for m in raw], np.int64)
+        self.row = np.zeros((2, len(raw)), np.int64)
+        rows: dict[int, list[np.ndarray]] = {}
+        for i, m in enumerate(raw):
+            half = len(m) // 2
+            for level, part in enumerate((m, m[:half] ^ m[half:])):
+                at = rows.setdefault(len(part), [])
+                self.row[level, i] = len(at)
+                at.append(part)
+        self.rows = {width: np.stack(parts) for width, parts in rows.items()}
+
+    def differing(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Bits in which the marks of one document differ from those of others."""
+        out = np.zeros(len(others), np.int64)
+        width = np.minimum(self.width[others], self.width[one])
+        for w in np.unique(width):
+            here = width == w
+            rows, there = self.rows[w], others[here]
+            mine = rows[self.row[int(self.width[one] > w), one]]
+            theirs = rows[self.row[(self.width[there] > w).astype(int), there]]
+            out[here] = np.bitwise_count(theirs ^ mine).sum(1)
+        return out
+
+
+def _cross_pairs(listed_: DataFrame, sets: DataFrame, deal: int, limit: int) -> DataFrame:
+    """Pairs on a common list whose components differ and whose sizes and marks allow a link."""
 
     def cross(table: pa.Table) -> pa.Table:
         release()
-        token, doc, n, component = (
-            table[c].to_numpy() for c in ("token", "doc_id", "n", "component")
+        token, doc, n, component, alone = (
+            table[c].to_numpy() for c in ("token", "doc_id", "n", "component", "alone")
         )
+        ids, first, doc = np.unique(doc, return_index=True, return_inverse=True)
+        marks = _Marks(table["marks"].take(first))
         order = np.lexsort((doc, component, token))
-        token, doc, n, component = (x[order] for x in (token, doc, n, component))
+        heads, ends = run_bounds(token[order], component[order])
+        size = np.zeros(len(order), np.int64)
+        size[order] = np.repeat(ends - heads, ends - heads)
+        order = np.lexsort((doc, component, size, token))  # the largest components last
+        token, doc, n, component, alone = (x[order] for x in (token, doc, n, component, alone))
         heads, ends = run_bounds(token, component)
-        end_of = {}
-        for low, high in zip(*run_bounds(token), strict=True):
-            end_of[token[low]] = high
+        lists_, stops = run_bounds(token)
+        rest_of = np.repeat(stops, stops - lists_)
         found = []
         for low, high in zip(heads, ends, strict=True):
-            rest = end_of[token[low]]  # members of later components on the same list
+            rest = rest_of[low]  # members of later components on the same list
             for i in range(low, high) if high < rest else ():
                 m = n[high:rest]
                 fits = (3 * m <= 4 * n[i]) & (3 * n[i] <= 4 * m) & ((m > limit) | (n[i] > limit))
-                other = doc[high:rest][fits]
-                if len(other):
-                    found.append(np.stack([np.full(len(other), doc[i]), other]))
+                fits &= 7 * (alone[high:rest] + alone[i]) <= m + n[i]
+                at = high + np.flatnonzero(fits)
+                if len(at):
+                    differ = marks.differing(doc[i], doc[at]) + alone[at] + alone[i]
+                    at = at[7 * differ <= n[at] + n[i]]
+                if len(at):
+                    found.append(np.stack([np.full(len(at), ids[doc[i]]), ids[doc[at]]]))
         pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
         pairs = np.unique(np.sort(pairs, 0), axis=1)
         return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
-    several = listed_.groupBy("token").agg(
-        F.min("component").alias("x"), F.max("component").alias("y")
-    )
+    lists_ = listed_.groupBy("token").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"),
+        F.bit_xor(F.xxhash64("doc_id")).alias("h1"),
+        F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("h2"),
+    )
+    several = lists_.where("x <> y").groupBy("members", "h1", "h2").agg(F.min("token").alias("token"))
+    marks = sets.select("doc_id", (F.col("n") - F.size("tokens")).alias("alone"), "marks")
     return (
-        listed_.join(several.where("x <> y").select("token"), "token")
-        .select("token", "doc_id", "n", "component")
+        listed_.join(several.select("token"), "token")
+        .join(marks, "doc_id")
+        .select("token", "doc_id", "n", "component", "alone", "marks")
         .withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(deal)).cast("int"))
         .groupBy("bucket")
         .applyInArrow(cross, "a long, b long")
@@ -402,7 +456,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS) -> DataFrame:
     with_known = lists_.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id")
     )
-    second = _links(sets, _cross_pairs(with_known, deal, limit))
+    second = _links(sets, _cross_pairs(with_known, sets, deal, limit))
     joined = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
     return (
         members.join(joined.withColumnRenamed("node", "rep"), "rep", "left")
