@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from retailloom.llm import ngram_join
@@ -45,6 +47,19 @@ def test_like_brute_force(corpus, awkward, limit, monkeypatch):
     assert sorted(map(tuple, got)) == brute(sorted({r for r in rows if r[0] is not None}))
 
 
+def test_marks_never_differ_in_more_bits_than_tokens():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(1, 1 << 47, 9000)
+    sets = [rng.choice(pool, n, replace=False) for n in (1, 6, 200, 250, 257, 300, 900, 1100, 6000, 8000)]
+    sets += [np.r_[s[: len(s) * 9 // 10], rng.integers(1 << 47, 1 << 48, len(s) // 10)] for s in sets]
+    marks = ngram_join._Marks(pa.chunked_array([[ngram_join._marks(s, len(s)) for s in sets]]))
+    for i, x in enumerate(sets):
+        near = [j for j, y in enumerate(sets) if 3 * len(x) <= 4 * len(y) and 3 * len(y) <= 4 * len(x)]
+        bound = marks.differing(i, np.array(near))
+        true = [len(set(x.tolist()) ^ set(sets[j].tolist())) for j in near]
+        assert (bound <= true).all() and bound[near.index(i)] == 0
+
+
 def test_empty_table(corpus):
     assert ngram_join.digest(corpus([])).count() == 0
 
