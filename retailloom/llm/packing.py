@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import string
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,6 +40,7 @@ END_ID = 1
 LARGE = (4, 3, 2, 8)
 GROUPS = (12, 24, 48)
 WORDS_KEPT = 120_000  # encoded words a task remembers
+RUNS_KEPT = 300_000  # and encoded runs of letters, which many words share
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -60,7 +62,8 @@ class Encoder:
     tokenizer.
     """
 
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+    MARKS = "".join(m for m in string.punctuation if m != "'")
+    LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -68,7 +71,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.runs = Tokenizer(self.tokenizer.model)
         self.runs.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.symbols = _byte_symbols()
+        self.symbols = {b: s for b, s in _byte_symbols().items() if b != ord(" ")}
         words = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(words.values()) + 1, bool)
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
@@ -84,7 +87,7 @@ class Encoder:
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def _learn_letters(self, runs: list[str]) -> None:
-        spelled = " ".join(r.encode().decode("latin-1").translate(self.symbols) for r in runs)
+        spelled = " ".join(runs).encode().decode("latin-1").translate(self.symbols)
         found = self.runs.encode_batch_fast([spelled], add_special_tokens=False)
         ids = np.array(found[0].ids, "<u4")
         cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
@@ -99,15 +102,19 @@ class Encoder:
     def _learn(self, new: list[bytes]) -> None:
         words, runs, marks, rest = [], [], [], []
         for word in new:
-            match = self.PLAIN.fullmatch(word.decode())
-            if match:
+            text = word.decode()
+            run = text.rstrip(self.MARKS)
+            if run.isalpha() and (run.isascii() or self.LATIN.fullmatch(run)):
                 words.append(word)
-                runs.append(match[1].lower())
-                marks.append(match[2])
+                runs.append(run.lower())
+                marks.append(text[len(run) :])
             else:
                 rest.append(word)
         self.known.update(zip(rest, self._whole([w.decode() for w in rest]), strict=True))
         letters = list({r for r in runs if r not in self.letters})
+        if len(self.letters) + len(letters) > RUNS_KEPT:
+            self.letters = {}
+            letters = list(set(runs))
         for low in range(0, len(letters), 2000):
             self._learn_letters(letters[low : low + 2000])
         some = list({m for m in marks if m and m not in self.letters})
@@ -121,7 +128,7 @@ class Encoder:
         words = [(t or "").encode().split() for t in texts]
         new = list({w for ws in words for w in ws if w not in self.known})
         if len(self.known) + len(new) > WORDS_KEPT:
-            self.forget()
+            self.known = {}
             new = list({w for ws in words for w in ws})
         self._learn(new)
         get = self.known.__getitem__
