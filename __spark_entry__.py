@@ -5,7 +5,8 @@ same names to SQL that gives the expected result. Queries without SQL (clusterin
 fitted forecast) have none there.
 
 As in the programs this rebuilds, the cleaned table is built once and every report reads
-it. It is kept in the shared folder for the life of the application, one per input folder.
+it. It is kept in the shared folder for the life of the application, one per input folder; input
+that changes meanwhile is not noticed.
 """
 
 from __future__ import annotations
@@ -17,15 +18,25 @@ from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+import numpy as np  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import oracle_queries  # noqa: E402
 from retailloom.functions.expressions import money_to_double  # noqa: E402
-from retailloom.operators import cleaning, filters, quantiles, returns, rfm, series  # noqa: E402
+from retailloom.operators import (  # noqa: E402
+    cleaning,
+    clustering,
+    filters,
+    quantiles,
+    returns,
+    rfm,
+    series,
+)
 from retailloom.operators.forecast import forecast_ahead  # noqa: E402
 from retailloom.operators.profiles import segment_profile  # noqa: E402
 from retailloom.plans import forecasting, reports, segmentation  # noqa: E402
+from retailloom.schema import RAW_CUSTOMER_HEADING  # noqa: E402
 from retailloom.session import materialise, scratch_path  # noqa: E402
 from retailloom.sources import raw as raw_source  # noqa: E402
 from retailloom.sources import tpch_retail, warehouse  # noqa: E402
@@ -41,6 +52,11 @@ DATES = ("1996-03-01", "1999-10-15")
 MARKETS = ("NATION_1", "NATION_7", "NATION_18")
 # Stand-ins for the charge lines, which the test tables do not contain.
 CHARGES = ("small ring", "red bolt", "hot plate")
+# Centres to start from, in standardised recency, log frequency and log revenue.
+START = np.array(
+    [(-0.75, 0.75, 0.75), (1.0, -1.0, -1.0), (0.25, -0.25, 0.5), (-0.5, -0.75, -0.5)]
+)
+PASSES = 5
 
 _built: dict[tuple, object] = {}
 
@@ -96,6 +112,7 @@ def _filtered(sales: DataFrame) -> DataFrame:
 
 
 def _kpis_bound_sql(spark, sf_dir) -> DataFrame:
+    """Lines are summed per invoice first, and the months are named, so that others stay closed."""
     markets = ", ".join("?" for _ in MARKETS)
     return warehouse.run_query(
         spark,
@@ -103,9 +120,14 @@ def _kpis_bound_sql(spark, sf_dir) -> DataFrame:
         SELECT SUM(Revenue) AS revenue, COUNT(DISTINCT Invoice) AS orders,
                try_divide(CAST(SUM(Revenue) AS DOUBLE), COUNT(DISTINCT Invoice)) AS avg_order_value,
                COUNT(DISTINCT CustomerID) AS customers
-        FROM sales WHERE InvoiceDate BETWEEN ? AND ? AND Country IN ({markets})
+        FROM (
+            SELECT Invoice, CustomerID, SUM(Revenue) AS Revenue FROM sales
+            WHERE sale_month BETWEEN trunc(CAST(? AS DATE), 'month') AND CAST(? AS DATE)
+              AND InvoiceDate BETWEEN ? AND ? AND Country IN ({markets})
+            GROUP BY Invoice, CustomerID
+        )
         """,
-        (DATES[0], f"{DATES[1]} 23:59:59", *MARKETS),
+        (*DATES, DATES[0], f"{DATES[1]} 23:59:59", *MARKETS),
         _sales(spark, sf_dir),
     )
 
@@ -120,6 +142,85 @@ def _metrics(predictions: DataFrame, by=()) -> DataFrame:
     )
 
 
+def _rule_comparison(sales: DataFrame) -> DataFrame:
+    """Two lags compared per country; some countries have a short history, one too short a one."""
+    by, week = ("Country",), F.col("week")
+    since = F.when(F.col("Country") == "NATION_3", "2001-01-01").when(
+        F.length("Country") == 8, "2000-03-01"
+    )
+    weekly = series.complete_weeks(sales, by)
+    weekly = weekly.where(since.isNull() | (week >= since.cast("timestamp_ntz")))
+    quarter = forecasting.naive_predictions(
+        weekly, lag=13, by=by, strict=False, model="Seasonal naive (13w)"
+    )
+    year = forecasting.naive_predictions(weekly, by=by, strict=False)
+    return _metrics(year.unionByName(quarter), by)
+
+
+def _linear_forecast(sales: DataFrame) -> DataFrame:
+    by = ("Country",)
+    found = forecasting.additive_predictions(
+        series.complete_weeks(sales, by), by=by, order=0, changepoints=0
+    )
+    return found.withColumn("prediction", F.round("prediction", 2))
+
+
+def _points(spark, sf_dir) -> DataFrame:
+    return _once(
+        spark,
+        sf_dir,
+        "points",
+        lambda: materialise(rfm.standardised(rfm.features(_customers(spark, sf_dir))), "points"),
+    )
+
+
+def _kmeans_fixed_start(spark, sf_dir) -> DataFrame:
+    points = _points(spark, sf_dir)
+    centres = clustering.lloyd(points, rfm.FEATURES, START, PASSES)
+    rows = [(i, *map(float, centre)) for i, centre in enumerate(centres)]
+    schema = "cluster int, " + ", ".join(f"{c} double" for c in rfm.FEATURES)
+    own = clustering.cluster_of(rfm.FEATURES, centres).alias("cluster")
+    sizes = points.groupBy(own).agg(F.count(F.lit(1)).alias("customers"))
+    return _rounded(sizes.join(spark.createDataFrame(rows, schema), "cluster"), *rfm.FEATURES)
+
+
+def _silhouette_rule(spark, sf_dir) -> DataFrame:
+    fits = [clustering.Fit(k, START[:k]) for k in (2, 3, 4)]
+    scored = clustering.score_silhouettes(
+        _points(spark, sf_dir), rfm.FEATURES, segmentation.ROW_ID, fits
+    )
+    chosen = clustering.best_k(scored).k
+    scores = segmentation.scores_table(spark, scored).drop("inertia")
+    return _rounded(scores, "silhouette").withColumn("chosen", F.col("k") == chosen)
+
+
+def _csv_sheets(spark, sf_dir) -> DataFrame:
+    """The sheets written as spreadsheets export them, the second with its columns in another
+    order, and read back: quotes and commas in descriptions, missing invoices."""
+    paths = []
+    for sheet in _once(spark, sf_dir, "sheets", lambda: tpch_retail.sheets(spark, sf_dir)):
+        written = sheet.withColumns(
+            {
+                "Description": F.concat("Description", F.lit(' "'), "StockCode", F.lit('", big')),
+                "Invoice": F.when(F.col("Quantity") != 13, F.col("Invoice")),
+            }
+        ).withColumnRenamed("CustomerID", RAW_CUSTOMER_HEADING)
+        columns = written.columns if not paths else written.columns[::-1]
+        paths.append(scratch_path(spark, "sheet"))
+        exported = written.select(*columns).write.options(
+            header=True, escape='"', timestampNTZFormat="yyyy-MM-dd HH:mm:ss"
+        )
+        exported.csv(paths[-1])
+    return raw_source.read_raw(spark, paths, "csv")
+
+
+def _escaped_search(sales: DataFrame) -> DataFrame:
+    label = F.when(F.col("Quantity") % 2 == 0, F.lit("\\50%")).otherwise("/50%")
+    return reports.transaction_search(
+        sales.withColumn("Description", F.concat("Description", label)), "widget\\50"
+    )
+
+
 def _summary(customers: DataFrame) -> DataFrame:
     return _rounded(
         quantiles.distribution_summary(customers, rfm.METRICS), "mean", "std", "p50", "p90", "p99"
@@ -147,6 +248,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cleaning_report": lambda s, d: cleaning.cleaning_report(
             _raw(s, d), _matches(s, d), _sales(s, d)
         ),
+        "cleaning_report_grouped": lambda s, d: cleaning.cleaning_report(
+            _raw(s, d), _matches(s, d)
+        ),
+        "csv_sheets": lambda s, d: money_to_double(_csv_sheets(s, d)),
         "returns_pairs": lambda s, d: returns.pairs(_matches(s, d)),
         "returns_match_rate": lambda s, d: returns.match_rate(
             _matches(s, d), cleaning.cancellations(_raw(s, d))
@@ -180,6 +285,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "transaction_search_wildcard": on_sales(
             lambda sales: reports.transaction_search(sales, "red%b_lt")
         ),
+        "transaction_search_escaped": on_sales(_escaped_search),
         "like_for_like": on_sales(lambda sales: reports.like_for_like(sales, 2000)),
         "market_share": on_sales(reports.market_share),
         "service_line_leaders": on_sales(
@@ -209,12 +315,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "naive_metrics_by_country": on_sales(
             lambda sales: _metrics(_naive(sales, ("Country",), strict=False), ("Country",))
         ),
+        "model_comparison_rule": on_sales(_rule_comparison),
+        "forecast_linear": on_sales(_linear_forecast),
         "forecast_additive": on_sales(
             lambda sales: forecasting.additive_predictions(weekly(sales))
         ),
         "forecast_frame": on_sales(
             lambda sales: forecast_ahead(
-                series.holdout_split(weekly(sales)).where("split = 'train'"), series.TEST_WEEKS
+                # A few hundred rows, read for the history and for its last week.
+                series.holdout_split(materialise(weekly(sales), "weekly")).where("split = 'train'"),
+                series.TEST_WEEKS,
             )
         ),
         "forecast_comparison": on_sales(
@@ -234,6 +344,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             lambda c: _rounded(rfm.standardised(rfm.features(c)), *rfm.FEATURES)
         ),
         "persona_rule": on_customers(lambda c: segment_profile(_frequency_tiers(c))),
+        "kmeans_fixed_start": _kmeans_fixed_start,
+        "silhouette_rule": _silhouette_rule,
         "k_selection": lambda s, d: _segments(s, d).scores,
         "segments": lambda s, d: money_to_double(_segments(s, d).customers),
         "segment_profile": lambda s, d: money_to_double(_segments(s, d).profile),

@@ -172,10 +172,22 @@ filtered AS (
       AND Country IN ('NATION_1', 'NATION_7', 'NATION_18')
 )"""
 
+LABELLED_SALES = r""",
+marked AS (
+    SELECT * REPLACE (Description || CASE WHEN Quantity % 2 = 0 THEN '\50%' ELSE '/50%' END
+                      AS Description) FROM sales
+)"""
+
+SHEETS = """,
+sheets AS (
+    SELECT * REPLACE (Description || ' "' || StockCode || '", big' AS Description,
+                      CASE WHEN Quantity <> 13 THEN Invoice END AS Invoice) FROM raw_sales
+)"""
+
 TOP = """,
 country_totals AS (
     SELECT Country, SUM(Revenue) AS revenue FROM sales
-    GROUP BY 1 ORDER BY revenue DESC, SUM(Quantity) DESC, Country LIMIT 8
+    GROUP BY 1 ORDER BY revenue DESC, Country LIMIT 8
 ),
 products AS (
     SELECT s.Country, s.Description AS product, SUM(s.Revenue) AS revenue, SUM(s.Quantity) AS units
@@ -190,6 +202,166 @@ ranked AS (
 )"""
 
 
+REPORT = """,
+rest AS (SELECT * FROM raw_sales WHERE NOT starts_with(coalesce(Invoice, 'nan'), 'C')),
+kept AS (SELECT * FROM rest
+         WHERE NOT coalesce(Quantity <= 0, false) AND NOT coalesce(Price <= 0, false)),
+counts AS (
+    SELECT (SELECT COUNT(*) FROM raw_sales) AS rows_in,
+           (SELECT COUNT(*) FROM raw_sales) - (SELECT COUNT(*) FROM rest) AS cancelled,
+           (SELECT COUNT(*) FROM rest WHERE Quantity <= 0) AS non_positive_qty,
+           (SELECT COUNT(*) FROM rest WHERE Price <= 0) AS non_positive_price,
+           (SELECT COUNT(*) FROM kept) - (SELECT COUNT(*) FROM valid) AS duplicates,
+           (SELECT COUNT(*) FROM matched) AS matched_returns_netted,
+           (SELECT COUNT(*) FROM sales WHERE CustomerID IS NULL) AS null_customer_id,
+           (SELECT COUNT(*) FROM sales) AS rows_out
+)
+SELECT *, ROUND(100.0::DOUBLE * rows_out / NULLIF(rows_in, 0), 1) AS kept_pct FROM counts"""
+
+COUNTRY_WEEKS = """,
+weeks AS (
+    SELECT Country, CAST(date_trunc('week', InvoiceDate) AS TIMESTAMP) AS week,
+           CAST(SUM(Revenue) AS DOUBLE) AS revenue
+    FROM sales GROUP BY 1, 2
+),
+edges AS (SELECT Country, MIN(week) AS lo, MAX(week) AS hi FROM weeks GROUP BY 1)"""
+
+PLACED = """,
+placed AS (
+    SELECT w.*, row_number() OVER (PARTITION BY w.Country ORDER BY week) AS n,
+           COUNT(*) OVER (PARTITION BY w.Country) AS total
+    FROM weeks w JOIN edges e ON e.Country = w.Country AND w.week > e.lo AND w.week < e.hi
+    {extra}
+)"""
+
+SHORT = """WHERE CASE WHEN w.Country = 'NATION_3' THEN week >= TIMESTAMP '2001-01-01'
+               WHEN length(w.Country) = 8 THEN week >= TIMESTAMP '2000-03-01' ELSE true END"""
+
+TWO_LAGS = """,
+paired AS (
+    SELECT a.Country, a.revenue, b.revenue AS year, c.revenue AS quarter
+    FROM placed a
+    LEFT JOIN placed b ON b.Country = a.Country AND b.n = a.n - 52
+    LEFT JOIN placed c ON c.Country = a.Country AND c.n = a.n - 13
+    WHERE a.n > a.total - 13
+),
+long AS (
+    SELECT Country, revenue, 'Seasonal naive (52w)' AS model,
+           CASE WHEN quarter IS NOT NULL THEN year END AS prediction FROM paired
+    UNION ALL
+    SELECT Country, revenue, 'Seasonal naive (13w)',
+           CASE WHEN year IS NOT NULL THEN quarter END FROM paired
+),
+scored AS (
+    SELECT Country, model, COUNT(prediction) AS weeks_scored, AVG(abs(revenue - prediction)) AS mae,
+           AVG(abs((revenue - prediction) / NULLIF(revenue, 0))) * 100 AS mape
+    FROM long GROUP BY 1, 2
+)
+SELECT s.Country, s.model, s.weeks_scored, ROUND(s.mae, 6) AS "MAE", ROUND(s.mape, 6) AS "MAPE_%",
+       ROUND((b.mae - s.mae) / NULLIF(b.mae, 0) * 100, 6) AS "MAE_vs_baseline_%"
+FROM scored s JOIN scored b ON b.Country = s.Country AND b.model = 'Seasonal naive (52w)'"""
+
+# A line fitted by ridge, with the noise estimated anew in each round.
+LINE = """,
+train AS (
+    SELECT Country, date_diff('day', DATE '1970-01-01', CAST(week AS DATE)) AS d, revenue
+    FROM placed WHERE n <= total - 13
+),
+scale AS (
+    SELECT Country, MIN(d) AS d0, greatest(MAX(d) - MIN(d), 1) AS span, MAX(abs(revenue)) AS top
+    FROM train GROUP BY 1
+),
+unit AS (
+    SELECT Country, (d - d0)::DOUBLE / span AS t, revenue / top AS y FROM train JOIN scale USING (Country)
+),
+moment AS (
+    SELECT Country, COUNT(*)::DOUBLE AS n, SUM(t) AS t, SUM(t * t) AS tt, SUM(y) AS y,
+           SUM(t * y) AS ty, SUM(y * y) AS yy, var_pop(y) + 1e-9 AS noise
+    FROM unit GROUP BY 1
+),
+fit AS (
+    SELECT Country, 0 AS step, noise, 0::DOUBLE AS a, 0::DOUBLE AS b FROM moment
+    UNION ALL
+    SELECT Country, step, greatest((yy - 2 * (a * y + b * ty) + a * a * n + 2 * a * b * t + b * b * tt) / n, 1e-9),
+           a, b
+    FROM (
+        SELECT f.Country, f.step + 1 AS step, m.n, m.t, m.tt, m.y, m.ty, m.yy,
+               (m.y * (m.tt + f.noise / 25) - m.t * m.ty)
+                   / ((m.n + f.noise / 25) * (m.tt + f.noise / 25) - m.t * m.t) AS a,
+               ((m.n + f.noise / 25) * m.ty - m.t * m.y)
+                   / ((m.n + f.noise / 25) * (m.tt + f.noise / 25) - m.t * m.t) AS b
+        FROM fit f JOIN moment m ON m.Country = f.Country WHERE f.step < 40
+    )
+)
+SELECT p.Country, p.week, p.revenue, 'Trend + yearly seasonality' AS model,
+       ROUND((f.a + f.b * (date_diff('day', DATE '1970-01-01', CAST(p.week AS DATE)) - s.d0) / s.span)
+             * s.top, 2) AS prediction
+FROM placed p JOIN fit f ON f.Country = p.Country AND f.step = 40
+JOIN scale s ON s.Country = p.Country
+WHERE p.n > p.total - 13"""
+
+POINTS = """,
+feature AS (
+    SELECT customer_id, CAST(recency_days AS DOUBLE) AS r, ln(1 + frequency) AS f,
+           ln(1 + monetary) AS m FROM rfm
+),
+point AS MATERIALIZED (
+    SELECT customer_id, (r - AVG(r) OVER ()) / stddev_pop(r) OVER () AS x,
+           (f - AVG(f) OVER ()) / stddev_pop(f) OVER () AS y,
+           (m - AVG(m) OVER ()) / stddev_pop(m) OVER () AS z
+    FROM feature
+),
+c0(cluster, x, y, z) AS (
+    VALUES (0, -0.75::DOUBLE, 0.75::DOUBLE, 0.75::DOUBLE), (1, 1.0, -1.0, -1.0),
+           (2, 0.25, -0.25, 0.5), (3, -0.5, -0.75, -0.5)
+)"""
+
+NEAREST = """,
+n{step} AS MATERIALIZED (
+    SELECT p.customer_id, p.x, p.y, p.z,
+           arg_min(c.cluster, (p.x - c.x)**2 + (p.y - c.y)**2 + (p.z - c.z)**2) AS cluster
+    FROM point p, c{step} c GROUP BY ALL
+)"""
+
+MEANS = """,
+c{after} AS MATERIALIZED (
+    SELECT cluster, AVG(x) AS x, AVG(y) AS y, AVG(z) AS z FROM n{step} GROUP BY 1
+)"""
+
+LLOYD = (
+    "".join(NEAREST.format(step=i) + MEANS.format(step=i, after=i + 1) for i in range(5))
+    + NEAREST.format(step=5)
+    + """
+SELECT c.cluster, COUNT(*) AS customers, ROUND(c.x, 6) AS recency, ROUND(c.y, 6) AS log_frequency,
+       ROUND(c.z, 6) AS log_monetary
+FROM c5 c JOIN n5 n ON n.cluster = c.cluster GROUP BY ALL"""
+)
+
+SILHOUETTES = """,
+near AS MATERIALIZED (
+    SELECT k, p.customer_id, p.x, p.y, p.z,
+           arg_min(c.cluster, (p.x - c.x)**2 + (p.y - c.y)**2 + (p.z - c.z)**2) AS cluster
+    FROM point p, c0 c, range(2, 5) t(k) WHERE c.cluster < k GROUP BY ALL
+),
+apart AS (
+    SELECT a.k, a.customer_id, a.cluster = b.cluster AS own, b.cluster, COUNT(*) AS n,
+           SUM((a.x - b.x)**2 + (a.y - b.y)**2 + (a.z - b.z)**2) AS total
+    FROM near a JOIN near b ON a.k = b.k GROUP BY ALL
+),
+sides AS (
+    SELECT k, customer_id, MAX(total / (n - 1)) FILTER (own AND n > 1) AS a,
+           MIN(total / n) FILTER (NOT own) AS b
+    FROM apart GROUP BY 1, 2
+),
+score AS (
+    SELECT k, AVG(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS s
+    FROM sides GROUP BY 1
+)
+SELECT CAST(k AS INTEGER) AS k, ROUND(s, 6) AS silhouette,
+       k = (SELECT k FROM score WHERE k >= 3 ORDER BY s DESC, k LIMIT 1) AS chosen
+FROM score"""
+
+
 def _query(ctes: str, body: str) -> str:
     return "WITH RECURSIVE " + ctes.strip() + "\n" + body.strip()
 
@@ -218,7 +390,7 @@ FROM {source} WHERE lower(Description) LIKE '{pattern}'
 ORDER BY InvoiceDate DESC, Invoice, Description, Quantity, sales.Price, Country LIMIT 500"""
 
 NAIVE_METRICS = """
-SELECT 'Seasonal naive (52w)' AS model,
+SELECT 'Seasonal naive (52w)' AS model, COUNT(prediction) AS weeks_scored,
        ROUND(AVG(abs(revenue - prediction)), 6) AS "MAE",
        ROUND(AVG(abs((revenue - prediction) / NULLIF(revenue, 0))) * 100, 6) AS "MAPE_%",
        CAST(0 AS DOUBLE) AS "MAE_vs_baseline_%"
@@ -235,24 +407,8 @@ def oracle_sql() -> dict[str, str]:
         "clean_sales": _query(
             SALES, f"SELECT {LINES}, CAST(Revenue AS DOUBLE) AS Revenue FROM sales"
         ),
-        "cleaning_report": _query(
-            SALES,
-            """,
-rest AS (SELECT * FROM raw_sales WHERE NOT starts_with(coalesce(Invoice, 'nan'), 'C')),
-kept AS (SELECT * FROM rest
-         WHERE NOT coalesce(Quantity <= 0, false) AND NOT coalesce(Price <= 0, false)),
-counts AS (
-    SELECT (SELECT COUNT(*) FROM raw_sales) AS rows_in,
-           (SELECT COUNT(*) FROM raw_sales) - (SELECT COUNT(*) FROM rest) AS cancelled,
-           (SELECT COUNT(*) FROM rest WHERE Quantity <= 0) AS non_positive_qty,
-           (SELECT COUNT(*) FROM rest WHERE Price <= 0) AS non_positive_price,
-           (SELECT COUNT(*) FROM kept) - (SELECT COUNT(*) FROM valid) AS duplicates,
-           (SELECT COUNT(*) FROM matched) AS matched_returns_netted,
-           (SELECT COUNT(*) FROM sales WHERE CustomerID IS NULL) AS null_customer_id,
-           (SELECT COUNT(*) FROM sales) AS rows_out
-)
-SELECT *, ROUND(100.0::DOUBLE * rows_out / NULLIF(rows_in, 0), 1) AS kept_pct FROM counts""",
-        ),
+        "cleaning_report": _query(SALES, REPORT),
+        "cleaning_report_grouped": _query(SALES, REPORT),
         "returns_pairs": _query(
             SALES,
             """
@@ -350,6 +506,17 @@ WHERE Description IS NOT NULL GROUP BY 1 ORDER BY SUM(Revenue) DESC, 1 LIMIT 10"
         "transaction_search_wildcard": _query(
             SALES, SEARCH.format(source="sales", pattern="%red%b_lt%")
         ),
+        "transaction_search_escaped": _query(
+            SALES + LABELLED_SALES,
+            SEARCH.format(source="marked AS sales", pattern="%widget\\50%"),
+        ),
+        "csv_sheets": _query(RAW + SHEETS, f"SELECT {LINES} FROM sheets"),
+        "model_comparison_rule": _query(
+            SALES + COUNTRY_WEEKS + PLACED.format(extra=SHORT) + TWO_LAGS, ""
+        ),
+        "forecast_linear": _query(SALES + COUNTRY_WEEKS + PLACED.format(extra="") + LINE, ""),
+        "kmeans_fixed_start": _query(rfm + POINTS + LLOYD, ""),
+        "silhouette_rule": _query(rfm + POINTS + SILHOUETTES, ""),
         "like_for_like": _query(
             SALES,
             """,
@@ -414,25 +581,14 @@ SELECT week, revenue AS actual, prediction AS naive FROM naive
 WHERE is_test ORDER BY revenue DESC, week LIMIT 1""",
         ),
         "naive_metrics_by_country": _query(
-            SALES,
+            SALES + COUNTRY_WEEKS + PLACED.format(extra=""),
             """,
-weeks AS (
-    SELECT Country, CAST(date_trunc('week', InvoiceDate) AS TIMESTAMP) AS week,
-           CAST(SUM(Revenue) AS DOUBLE) AS revenue
-    FROM sales GROUP BY 1, 2
-),
-edges AS (SELECT Country, MIN(week) AS lo, MAX(week) AS hi FROM weeks GROUP BY 1),
-placed AS (
-    SELECT w.*, row_number() OVER (PARTITION BY w.Country ORDER BY week) AS n,
-           COUNT(*) OVER (PARTITION BY w.Country) AS total
-    FROM weeks w JOIN edges e ON e.Country = w.Country AND w.week > e.lo AND w.week < e.hi
-),
 missed AS (
     SELECT a.Country, a.revenue, b.revenue AS prediction
     FROM placed a LEFT JOIN placed b ON b.Country = a.Country AND b.n = a.n - 52
     WHERE a.n > a.total - 13
 )
-SELECT Country, 'Seasonal naive (52w)' AS model,
+SELECT Country, 'Seasonal naive (52w)' AS model, COUNT(prediction) AS weeks_scored,
        ROUND(AVG(abs(revenue - prediction)), 6) AS "MAE",
        ROUND(AVG(abs((revenue - prediction) / NULLIF(revenue, 0))) * 100, 6) AS "MAPE_%",
        CASE WHEN COUNT(prediction) > 0 THEN CAST(0 AS DOUBLE) END AS "MAE_vs_baseline_%"

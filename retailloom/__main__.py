@@ -52,7 +52,10 @@ def _show(df: DataFrame, out: str | None = None) -> None:
 
 
 def _build(spark, args) -> None:
-    done = build.load(raw.read_raw(spark, args.raw, args.format), args.table)
+    lines = raw.read_raw(spark, args.raw, args.format)
+    if args.format == "csv":  # the load reads its lines several times; the text is parsed once
+        lines = materialise(lines, "raw-lines")
+    done = build.load(lines, args.table)
     _show(done.report)
     _show(done.audit)
 

@@ -26,12 +26,16 @@ CHANGEPOINT_RANGE = 0.8
 SLOPE_CHANGE_SCALE = 0.05
 SEASON_SCALE = 10.0
 TREND_SCALE = 5.0
-ROUNDS = 30
+# The fit has settled when no fitted value moves by more than this share of the largest value.
+SETTLED = 1e-6
+MAX_ROUNDS = 2000
 
 
-def _design(days: np.ndarray, first: float, span: float, knots: np.ndarray) -> np.ndarray:
+def _design(
+    days: np.ndarray, first: float, span: float, knots: np.ndarray, order: int
+) -> np.ndarray:
     t = (days - first) / span
-    angle = 2 * np.pi * np.outer(days / YEAR_DAYS, np.arange(1, FOURIER_ORDER + 1))
+    angle = 2 * np.pi * np.outer(days / YEAR_DAYS, np.arange(1, order + 1))
     return np.hstack(
         [
             np.ones((len(t), 1)),
@@ -43,8 +47,18 @@ def _design(days: np.ndarray, first: float, span: float, knots: np.ndarray) -> n
     )
 
 
-def fit_predict(days: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Fit one series and evaluate it on the ``wanted`` days (days since 1970)."""
+def fit_predict(
+    days: np.ndarray,
+    values: np.ndarray,
+    wanted: np.ndarray,
+    order: int = FOURIER_ORDER,
+    changepoints: int = CHANGEPOINTS,
+) -> np.ndarray:
+    """Fit one series and evaluate it on the ``wanted`` days (days since 1970).
+
+    ``order`` is that of the Fourier series. The slope may change ``changepoints`` times, but at
+    most once a week of history. A fit that does not settle fails.
+    """
     in_time = np.argsort(days, kind="stable")
     days, values = days[in_time], values[in_time]
     scale = np.abs(values).max() if len(values) else 0.0
@@ -52,33 +66,37 @@ def fit_predict(days: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.
         return np.full(len(wanted), values.mean() if len(values) else np.nan)
     first, span = days[0], max(days[-1] - days[0], 1.0)
     history = int(len(days) * CHANGEPOINT_RANGE)
-    n_knots = max(0, min(CHANGEPOINTS, history - 1))
+    n_knots = max(0, min(changepoints, history - 1))
     at = np.linspace(0, max(history - 1, 0), n_knots + 1).round().astype(int)[1:]
     knots = (days[at] - first) / span
 
-    x, y = _design(days, first, span, knots), values / scale
+    x, y = _design(days, first, span, knots, order), values / scale
     slopes = slice(2, 2 + n_knots)
     ridge = np.full(x.shape[1], 1.0 / SEASON_SCALE**2)
     ridge[:2] = 1.0 / TREND_SCALE**2
     gram, moment = x.T @ x, x.T @ y
     change = np.full(n_knots, SLOPE_CHANGE_SCALE)
     noise = y.var() + 1e-9
-    for _ in range(ROUNDS):
+    fitted = np.full(len(y), np.inf)
+    for _ in range(MAX_ROUNDS):
         # A Laplace prior is met by a ridge whose weight shrinks as the coefficient grows.
         ridge[slopes] = 1.0 / (SLOPE_CHANGE_SCALE * np.maximum(change, 1e-6))
         theta = np.linalg.solve(gram / noise + np.diag(ridge), moment / noise)
         change = np.abs(theta[slopes])
-        noise = max(float(np.mean((y - x @ theta) ** 2)), 1e-9)
-    return _design(wanted, first, span, knots) @ theta * scale
+        before, fitted = fitted, x @ theta
+        noise = max(float(np.mean((y - fitted) ** 2)), 1e-9)
+        if np.abs(fitted - before).max() <= SETTLED:
+            return _design(wanted, first, span, knots, order) @ theta * scale
+    raise RuntimeError(f"the fit has not settled after {MAX_ROUNDS} rounds")
 
 
 def additive_forecast(
-    frame: DataFrame, by: Sequence[str] = (), value: str = "revenue"
+    frame: DataFrame, by: Sequence[str] = (), value: str = "revenue", **terms: int
 ) -> DataFrame:
     """Add ``prediction`` to every row of every series.
 
     Rows without a ``value`` take no part in the fit and are predicted all the same. Weeks
-    that are absent are gaps in the fit, not zeros.
+    that are absent are gaps in the fit, not zeros. ``terms`` go to ``fit_predict``.
     """
     keys = list(by)
     series = frame.withColumn(value, F.col(value).cast("double"))
@@ -90,7 +108,7 @@ def additive_forecast(
         days = rows["week"].to_numpy().astype("datetime64[D]").astype(float)
         values = rows[value].to_numpy(float)
         known = ~np.isnan(values)
-        return rows.assign(prediction=fit_predict(days[known], values[known], days))
+        return rows.assign(prediction=fit_predict(days[known], values[known], days, **terms))
 
     predicted = series.groupBy(*keys).applyInPandas(one_series, schema)
     return predicted.select(*frame.columns, "prediction")

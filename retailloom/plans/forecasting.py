@@ -25,6 +25,7 @@ def naive_predictions(
     lag: int = series.SEASONAL_LAG,
     by: Sequence[str] = (),
     strict: bool = True,
+    model: str = NAIVE,
 ) -> DataFrame:
     """Seasonal-naive predictions for the test weeks.
 
@@ -41,13 +42,13 @@ def naive_predictions(
         *by,
         "week",
         F.col("revenue").cast("double").alias("revenue"),
-        F.lit(NAIVE).alias("model"),
+        F.lit(model).alias("model"),
         prediction.alias("prediction"),
     )
 
 
 def additive_predictions(
-    weekly: DataFrame, test_rows: int = series.TEST_WEEKS, by: Sequence[str] = ()
+    weekly: DataFrame, test_rows: int = series.TEST_WEEKS, by: Sequence[str] = (), **terms: int
 ) -> DataFrame:
     """Predictions of the additive model for the test weeks, fitted on the others only.
 
@@ -61,7 +62,7 @@ def additive_predictions(
         F.when(~is_test, revenue).alias("known"),
     )
     return (
-        additive_forecast(frame, by, "known")
+        additive_forecast(frame, by, "known", **terms)
         .where("is_test")
         .select(*by, "week", "revenue", F.lit(ADDITIVE).alias("model"), "prediction")
     )
@@ -71,7 +72,8 @@ def accuracy(predictions: DataFrame, by: Sequence[str] = (), baseline: str = NAI
     """MAE and MAPE per model, and the MAE saved against the baseline.
 
     Models are scored on the weeks for which all of them have a prediction. A week with no revenue
-    has no percentage error and is left out of MAPE.
+    has no percentage error and is left out of MAPE. Without a common week all scores are null and
+    ``weeks_scored`` is 0.
     """
     week = Window.partitionBy(*by, "week")
     predictions = predictions.withColumn(
@@ -79,6 +81,7 @@ def accuracy(predictions: DataFrame, by: Sequence[str] = (), baseline: str = NAI
     ).withColumn("prediction", F.when(F.col("without") == 0, F.col("prediction")))
     miss = F.col("revenue") - F.col("prediction")
     scored = predictions.groupBy(*by, "model").agg(
+        F.count("prediction").alias("weeks_scored"),
         F.avg(F.abs(miss)).alias("MAE"),
         (F.avg(F.abs(F.try_divide(miss, F.col("revenue")))) * 100).alias("MAPE_%"),
     )
@@ -119,4 +122,6 @@ def compare(weekly: DataFrame, by: Sequence[str] = (), strict: bool = True) -> D
 
 
 def write_results(metrics: DataFrame, folder: str) -> None:
+    # The columns and their order are those of the published file.
+    metrics = metrics.select("model", "MAE", "MAPE_%", "MAE_vs_baseline_%")
     warehouse.write_csv(metrics.orderBy("model"), f"{folder}/forecast_metrics")

@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
+from retailloom.operators import forecast
 from retailloom.operators.forecast import fit_predict, forecast_ahead
 from retailloom.plans import forecasting
 
@@ -94,3 +95,16 @@ def test_models_are_scored_on_the_same_weeks(spark):
     score = {r.model: r for r in forecasting.accuracy(got).collect()}
     assert score[forecasting.NAIVE].MAE == 2.0 and score["other"].MAE == 1.0
     assert score["other"]["MAE_vs_baseline_%"] == 50.0
+
+
+def test_a_fit_that_does_not_settle_fails(monkeypatch):
+    days = np.arange(0, 700, 7.0)
+    monkeypatch.setattr(forecast, "MAX_ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="not settled"):
+        forecast.fit_predict(days, np.sin(days) + 2, days)
+
+
+def test_a_line_is_found_without_seasons_and_slope_changes():
+    days = np.arange(0, 700, 7.0)
+    found = forecast.fit_predict(days, 3 + 2 * days, days, order=0, changepoints=0)
+    assert np.allclose(found, 3 + 2 * days, rtol=1e-3, atol=1)

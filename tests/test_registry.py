@@ -67,6 +67,31 @@ def test_forecasts(spark):
     assert (peak.week, peak.actual, peak.naive) == (naive.week, naive.actual, naive.naive)
 
 
+@pytest.mark.parametrize("name", ["kpis_bound_sql", "like_for_like", "kpis_filtered"])
+def test_a_date_range_prunes_months(spark, name):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scans = re.findall(r"PartitionFilters: \[(.*?)\], PushedFilters", plan)
+    assert scans and all("sale_month" in s for s in scans)
+
+
+def test_a_forecast_reads_its_weeks_from_one_small_table(spark):
+    plan = QUERIES["forecast_frame"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "/sales-" not in plan and "Quantity" not in plan
+
+
+def test_models_are_compared_on_the_same_weeks(spark):
+    rows = {(r.Country, r.model): r for r in QUERIES["model_comparison_rule"](spark, SF_DIR).collect()}
+    by_country = {}
+    for (country, _), row in rows.items():
+        by_country.setdefault(country, set()).add(row.weeks_scored)
+    assert all(len(n) == 1 for n in by_country.values())
+    assert by_country["NATION_3"] == {0} and any(n != {0} for n in by_country.values())
+    assert rows["NATION_3", "Seasonal naive (13w)"].MAE is None
+    assert any(r["MAE_vs_baseline_%"] for r in rows.values())
+
+
 def test_segments(spark):
     scores = QUERIES["k_selection"](spark, SF_DIR).collect()
     assert [r.k for r in scores] == list(range(2, 9))
