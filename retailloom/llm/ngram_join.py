@@ -100,8 +100,9 @@ def _sizes(docs: DataFrame, words: int) -> DataFrame:
 def _dealt_tokens(docs: DataFrame, words: int, deal: int) -> DataFrame:
     """Tokens by bucket: 40 bits each beside the bucket; documents with their numbers of tokens."""
 
-    def pack(parts) -> pa.RecordBatch:
+    def pack(parts, stands) -> pa.RecordBatch:
         doc, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+        doc = np.array(stands, np.int64)[doc]
         bucket = ((value >> np.uint64(44)) % np.uint64(deal)).astype(np.int32)
         order = np.lexsort((doc, bucket))
         bucket, doc, value = bucket[order], doc[order], value[order]
@@ -120,23 +121,28 @@ def _dealt_tokens(docs: DataFrame, words: int, deal: int) -> DataFrame:
         )
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held, seen = [], 0, set()
+        parts, held, seen, stands = [], 0, {}, []
         for ids, data, bounds in blocks(batches):
             doc, value = shingles(data, bounds, words)
             marks = list(zip(*(x.tolist() for x in _signatures(doc, value, len(ids))), strict=True))
-            fresh = np.zeros(len(ids), bool)
-            for i, mark in enumerate(marks):  # of equal sets, one stands for all
-                if mark not in seen:
-                    seen.add(mark)
-                    fresh[i] = True
-            keep = fresh[doc]
-            parts.append((ids[doc[keep]].astype(np.int64), value[keep]))
+            place = np.full(len(ids), -1)
+            # Of equal sets the smallest document stands for all, as it does for its class,
+            # wherever its row comes.
+            for i, (mark, own) in enumerate(zip(marks, ids.tolist(), strict=True)):
+                at = seen.setdefault(mark, len(stands))
+                if at == len(stands):
+                    stands.append(own)
+                    place[i] = at
+                elif own < stands[at]:
+                    stands[at] = own
+            keep = place[doc] >= 0
+            parts.append((place[doc[keep]], value[keep]))
             held += int(keep.sum())
             if held >= FLUSH:
-                yield pack(parts)
-                parts, held, seen = [], 0, set()
+                yield pack(parts, stands)
+                parts, held, seen, stands = [], 0, {}, []
         if held:
-            yield pack(parts)
+            yield pack(parts, stands)
 
     return docs.mapInArrow(
         emit, "bucket int, low array<int>, high array<tinyint>, doc array<long>, tokens array<int>"

@@ -47,6 +47,16 @@ def test_like_brute_force(corpus, awkward, limit, monkeypatch):
     assert sorted(map(tuple, got)) == brute(sorted({r for r in rows if r[0] is not None}))
 
 
+def test_copies_in_descending_order(spark):
+    base = [f"x{i}" for i in range(60)]
+    near = [*base[:-1], "other"]
+    rows = [(50, " ".join(base)), (7, " ".join(near)), (9, None), (3, " ".join(base)), (60, " ".join(near)), (3, " ".join(base))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = ngram_join.digest(docs).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+    assert {r.component_id for r in got if r.doc_id != 9} == {3}
+
+
 def test_marks_never_differ_in_more_bits_than_tokens():
     rng = np.random.default_rng(4)
     pool = rng.integers(1, 1 << 47, 9000)
