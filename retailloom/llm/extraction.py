@@ -7,8 +7,10 @@ over its contents, whichever is larger. A branch that looks and reads alike on t
 unimportant and goes.
 
 Entropy cannot tell an article from an advert that changes with every page, so elements that say
-what they are go first: navigation, footers, forms, scripts and the like by tag, role or class. If
-a page marks its article, that element is the main text, and the tree is asked about pages that
+what they are go first: navigation, footers, scripts and the like by tag, role or whole class name.
+Names of which a part says so, and forms, are doubtful: they go unless the tree finds them important
+or they hold most of the page. No sign marks html, body, main or an article, nor what holds the only
+one. If a page marks its article, that element is the main text, and the tree is asked about pages that
 mark none. Statistics are counted as (host, node, feature) rows, so a host with a third of all
 pages is no single group; what they say about a host joins its pages salted.
 
@@ -32,6 +34,8 @@ from retailloom.session import materialise
 
 LOW = 0.3  # importance below which a branch goes
 PAGES = 3  # a node seen on fewer pages is not judged
+HIGH = 0.6  # importance from which a doubtful branch stays
+MOST = 2  # a branch with more than so many times the text beside it holds the page
 SALT = 32
 
 _token = re.compile(
@@ -41,7 +45,7 @@ _token = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)",
     re.S | re.I,
 )
-_attribute = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_attribute = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _space = re.compile(r"\s+")
 _name = re.compile(r"[a-z0-9]+")
 
@@ -52,8 +56,8 @@ BLOCKS = frozenset(
     "summary table tbody td tfoot th thead tr ul caption head".split()
 )
 #: Elements that are never part of the main text.
-OUTSIDE = frozenset("head nav footer aside form menu dialog button fieldset".split())
-#: Words in class, id or role that say the same.
+OUTSIDE = frozenset("head nav footer aside menu dialog button fieldset".split())
+#: Class, id or role that say the same.
 SIGNS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside ad ads advert adverts "
     "advertisement banner promo sponsor sponsored cookie cookies consent notice popup modal newsletter "
@@ -65,11 +69,11 @@ EMPTY = frozenset("area base br col embed hr img input link meta param source tr
 
 
 class Page:
-    """Elements (parent, label, whether said to be outside, whether an article or main) and blocks
+    """Elements (parent, label, sign that they are outside, whether in an article or main) and blocks
     (element, text) in page order."""
 
     def __init__(self, source: str):
-        self.parent, self.label, self.outside, self.main = [-1], [""], [False], [""]
+        self.parent, self.label, self.sign, self.main = [-1], [""], [""], [""]
         self.blocks: list[tuple[int, str]] = []
         stack, words = [0], []
 
@@ -118,20 +122,30 @@ class Page:
                     hidden |= "display:none" in value.replace(" ", "")
                 elif name == "aria-hidden":
                     hidden |= value == "true"
-            hidden |= bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes, re.I))
+                hidden |= name == "hidden"
         up = stack[-1]
         within = self.main[up]
-        signs = _name.findall(names + role)
-        outside = self.outside[up] or hidden or tag in OUTSIDE or not SIGNS.isdisjoint(signs)
-        if tag == "header" or "header" in signs:
-            outside |= not within
-        if tag == "article" or "articlebody" in signs:
+        whole, parts = (names + role).split(), _name.findall(names + role)
+        article = tag == "article" or "articlebody" in parts
+        main = tag == "main" or "main" in role.split()
+        signs = SIGNS if within else SIGNS | {"header"}
+        if tag in ("html", "body"):
+            sign = ""
+        elif hidden or tag in OUTSIDE:
+            sign = "sure"
+        elif article or main:
+            sign = ""
+        elif (tag == "header" and not within) or not signs.isdisjoint(whole):
+            sign = "named"
+        else:
+            sign = "doubtful" if tag == "form" or not signs.isdisjoint(parts) else ""
+        if article:
             within = "article"
-        elif (tag == "main" or "main" in role.split()) and not within:
+        elif main and not within:
             within = "main"
         self.parent.append(up)
         self.label.append(".".join([tag, *sorted(set(_name.findall(names)))]))
-        self.outside.append(outside)
+        self.sign.append(sign)
         self.main.append(within)
         stack.append(len(self.label) - 1)
 
@@ -156,9 +170,42 @@ class Page:
                 element = self.parent[element]
         yield from found
 
-    def text(self, low: frozenset[str]) -> str:
-        """The main text, without branches whose path is ``low``."""
-        inside = [not x for x in self.outside]
+    def inside(self, high: frozenset[str]) -> list[bool]:
+        """Whether no sign that is believed stands at or above each element."""
+        paths = self.paths() if high else self.label
+        believed = [s and not (s == "doubtful" and path in high) for s, path in zip(self.sign, paths, strict=True)]
+        while True:
+            top, hard = [-1] * len(believed), [False] * len(believed)
+            for i in range(1, len(believed)):
+                up = self.parent[i]
+                top[i] = top[up] if top[up] >= 0 else i if believed[i] else -1
+                hard[i] = hard[up] or self.sign[i] == "sure"
+                # A name is as good as a tag, but for the branch that it is the top of.
+                hard[i] |= self.sign[i] == "named" and bool(believed[i]) and top[i] != i
+            weight: dict[int, int] = {-1: 0}
+            marks: dict[int, set[str]] = {-1: set()}
+            for element, text in self.blocks:
+                if not hard[element]:
+                    at = top[element]
+                    weight[at] = weight.get(at, 0) + len(text)
+                    marks.setdefault(at, set()).add(self.main[element])
+            rest, marked = weight.pop(-1), marks[-1] - {""}
+            wrong = []
+            for i, own in weight.items():
+                heavy = own > MOST * rest
+                holds = set() if self.main[i] or marked else marks[i] - {""}
+                if self.sign[i] == "doubtful":
+                    if heavy or holds:
+                        wrong.append((own, i))
+                elif "main" in holds or (holds and heavy):
+                    wrong.append((own, i))
+            if not wrong:
+                return [x < 0 for x in top]
+            believed[max(wrong)[1]] = ""
+
+    def text(self, low: frozenset[str], high: frozenset[str] = frozenset()) -> str:
+        """The main text, without branches whose path is ``low``; doubtful ones that are ``high`` stay."""
+        inside = self.inside(high)
         marks = {self.main[e] for e, _ in self.blocks if inside[e]}
         wanted = "article" if "article" in marks else "main" if "main" in marks else ""
         if wanted:
@@ -219,11 +266,17 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     small_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
-    low = (
+    label = F.split(F.element_at(F.split("path", "/"), -1), r"\.")
+    doubtful = F.arrays_overlap(label, F.array(*map(F.lit, sorted(SIGNS | {"form", "header"}))))
+    is_low = F.col("importance") < LOW
+    judged = (
         materialise(style_tree(pages), "nodes")
-        .where((F.col("importance") < LOW) & (F.col("pages") >= PAGES))
+        .where((F.col("pages") >= PAGES) & (is_low | ((F.col("importance") >= HIGH) & doubtful)))
         .groupBy("host")
-        .agg(F.sort_array(F.collect_set("path")).alias("low"))
+        .agg(
+            F.sort_array(F.collect_set(F.when(is_low, F.col("path")))).alias("low"),
+            F.sort_array(F.collect_set(F.when(~is_low, F.col("path")))).alias("high"),
+        )
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     )
     salted = pages.withColumn("host", host(F.col("url"))).withColumn(
@@ -235,8 +288,8 @@ def main_text(pages: DataFrame) -> DataFrame:
             for part in range(0, batch.num_rows, 64):
                 own = batch.slice(part, 64)
                 texts = [
-                    Page(source or "").text(frozenset(paths or ()))
-                    for source, paths in zip(own.column(2).to_pylist(), own.column(3).to_pylist(), strict=True)
+                    Page(source or "").text(frozenset(low or ()), frozenset(high or ()))
+                    for source, low, high in zip(*(c.to_pylist() for c in own.columns[2:]), strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [own.column(0), own.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
@@ -245,8 +298,8 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
     return (
-        salted.join(low, ["host", "salt"], "left")
-        .select("page_id", "url", "html", "low")
+        salted.join(judged, ["host", "salt"], "left")
+        .select("page_id", "url", "html", "low", "high")
         .mapInArrow(
             extract,
             f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long",

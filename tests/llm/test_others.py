@@ -141,6 +141,32 @@ def test_articles_and_sites(spark):
     assert extraction.main_text(table.limit(0)).count() == 0
 
 
+def test_signs_do_not_take_whole_pages():
+    def text(page, *paths):
+        return extraction.Page(page).text(*(frozenset(p) for p in paths or ((),)))
+
+    body = "<p>A long text of the page</p><p>that goes on for a while</p>"
+    want = "A long text of the page\nthat goes on for a while"
+    wrappers = [
+        "<body class=has-sidebar>{}", "<body class='no-sidebar search' style='display:none'>{}",
+        "<div class='content-sidebar-wrap'>{}</div>", "<div id=search-results-page>{}</div>",
+        "<article class='post social'>{}</article>", "<article title='a hidden gem'>{}</article>",
+        "<form id=aspnet><div class='no-header'>{}</div></form>", "<form><main class=search>{}</main></form>",
+        "<div class=widget><article>{}</article></div>", "<div class=related><main>{}</main></div>",
+    ]
+    for wrapper in wrappers:
+        assert text(wrapper.format(body) + "<nav>menu</nav><div class=ad>buy</div>") == want, wrapper
+    # What says whole that it is something else still goes, also with an article below.
+    others = [
+        "<div class=comments><article>me too</article></div>", "<form>name</form>", "<p hidden>x</p>",
+        "<div class=site-footer>y</div>", "<aside><article>teaser</article></aside>", "<div id=header>z</div>",
+    ]
+    for other in others:
+        assert text(body + other) == want, other
+    part = "<body>" + body + "<div class='info-widget'>More</div>"
+    assert text(part) == want and text(part, [], ["/body/div.info.widget"]) == want + "\nMore"
+
+
 # 6: nearest neighbours
 
 
