@@ -10,8 +10,8 @@ Entropy cannot tell an article from an advert that changes with every page, so e
 what they are go first: navigation, footers, scripts and the like by tag, role or whole class name.
 Names of which a part says so, and forms, are doubtful: they go unless the tree finds them important
 or they hold most of the page. No sign marks html, body, main or an article, nor what holds the only
-one. If a page marks its article, that element is the main text, and the tree is asked about pages that
-mark none. Statistics are counted as (host, node, feature) rows, so a host with a third of all
+one. If a page marks its article, that element is the main text, unless what the tree leaves beside it
+is far longer. Below it the tree removes branches too, but not most of an article. Statistics are counted as (host, node, feature) rows, so a host with a third of all
 pages is no single group; what they say about a host joins its pages salted.
 
 Null or empty html gives an empty text. Repeated rows give a row each. A page without url belongs
@@ -208,13 +208,25 @@ class Page:
         inside = self.inside(high)
         marks = {self.main[e] for e, _ in self.blocks if inside[e]}
         wanted = "article" if "article" in marks else "main" if "main" in marks else ""
+        # The tree judges every branch but the marked elements and what holds them.
+        spared = [False] * len(inside)
+        for i, mark in enumerate(self.main):
+            if wanted and inside[i] and mark == wanted and self.main[self.parent[i]] != wanted:
+                while i >= 0 and not spared[i]:
+                    spared[i], i = True, self.parent[i]
+        keep = list(inside)
+        for i, path in enumerate(self.paths()):
+            up = self.parent[i]
+            keep[i] = keep[i] and (spared[i] or path not in low) and (up < 0 or keep[up])
         if wanted:
-            keep = [ok and mark == wanted for ok, mark in zip(inside, self.main, strict=True)]
-        else:
-            keep = inside
-            for i, path in enumerate(self.paths()):
-                up = self.parent[i]
-                keep[i] = keep[i] and path not in low and (up < 0 or keep[up])
+            marked = [mark == wanted for mark in self.main]
+            beside = sum(len(text) for e, text in self.blocks if keep[e] and not marked[e])
+            whole = sum(len(text) for e, text in self.blocks if inside[e] and marked[e])
+            own = sum(len(text) for e, text in self.blocks if keep[e] and marked[e])
+            if 2 * own < whole:  # a copy of other pages; the mark says more than the tree
+                keep = [k or (ok and mark) for k, ok, mark in zip(keep, inside, marked, strict=True)]
+            if beside <= MOST * whole:  # else the mark is on a teaser
+                keep = [k and mark for k, mark in zip(keep, marked, strict=True)]
         return "\n".join(text for element, text in self.blocks if keep[element])
 
 

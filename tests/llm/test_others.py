@@ -167,6 +167,22 @@ def test_signs_do_not_take_whole_pages():
     assert text(part) == want and text(part, [], ["/body/div.info.widget"]) == want + "\nMore"
 
 
+def test_the_tree_is_asked_about_pages_with_an_article(spark):
+    page = (
+        "<body><article><p>Story {0} of the day</p><div class=box>Read us every day</div><p>End {0}</p></article>"
+        "<div>More {0}</div></body>"
+    )
+    teaser = "<body><article>Teaser {0}</article><div class=same>Welcome</div><div><p>" + "Long text {0} " * 9 + "</p></div></body>"
+    copy = "<body><article><p>The same everywhere</p></article></body>"
+    rows = [(i, f"http://{site}.org/{i}", html.format(i)) for site, html in zip("abc", (page, teaser, copy)) for i in range(6)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = {(r.url[7], r.page_id): r.text for r in extraction.main_text(table).collect()}
+    for i in range(6):
+        assert texts["a", i] == f"Story {i} of the day\nEnd {i}"
+        assert texts["b", i] == f"Teaser {i}\n" + " ".join([f"Long text {i}"] * 9)
+        assert texts["c", i] == "The same everywhere"
+
+
 # 6: nearest neighbours
 
 
