@@ -15,6 +15,7 @@ from retailloom.llm import (
     ngram_join,
     packing,
     quality,
+    simhash,
     suffix_dedup,
     token_counts,
     toxicity,
@@ -37,6 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": on(token_counts.digest, "documents"),
         "op9_ngram_jaccard_join": on(ngram_join.digest, "documents"),
         "op10_toxicity": on(toxicity.toxicity, "documents", "labels"),
+        "op12_simhash_near_duplicates": on(simhash.near_duplicates, "documents"),
         "pipeline": corpus_pipeline.run,
     }
 

@@ -1,0 +1,91 @@
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+from retailloom.llm import simhash
+
+
+def brute(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)] * bool(words)
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def reached(prints):
+    """Smallest id that links reach, by comparing all pairs."""
+    name = {d: d for d in prints}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in itertools.combinations(sorted(prints), 2):
+            if (prints[a] ^ prints[b]).bit_count() <= 3 and name[a] != name[b]:
+                name[a] = name[b] = min(name[a], name[b])
+                changed = True
+    return name
+
+
+def test_like_brute_force_on_texts(corpus, awkward):
+    rows = [*awkward, (30, " ".join(["x y z"] * 5)), (31, "É\x1cÀ b\x85c"), (32, "\x0b\x0c a")]
+    got = {r.doc_id: r for r in simhash.near_duplicates(corpus(rows)).collect()}
+    prints = {d: brute(t) for d, t in rows if d is not None}
+    assert {d: r.fingerprint for d, r in got.items()} == {d: f"{p:016x}" for d, p in prints.items()}
+    assert {d: r.component_id for d, r in got.items()} == reached(prints)
+    assert got[1].fingerprint == "0" * 16 and got[2].component_id == got[5].component_id == 1
+
+
+@pytest.mark.parametrize("parts,block", [(4, 2048), (4, 7), (5, 11)])
+def test_links_like_all_pairs(spark, parts, block):
+    rng = random.Random(parts * block)
+    centres = [rng.getrandbits(64) for _ in range(40)]
+    values = {0, 1, 3, 7, 15, (1 << 64) - 1}
+    while len(values) < 700:
+        value = rng.choice(centres[:2] if rng.random() < 0.5 else centres)
+        for bit in rng.sample(range(64), rng.randrange(7)):
+            value ^= 1 << bit
+        values.add(value)
+    prints = dict(enumerate(rng.sample(sorted(values), len(values))))
+    classes = spark.createDataFrame(
+        [(simhash._signed(v), d) for d, v in prints.items()], "bits long, name long"
+    ).repartition(5)
+    edges = simhash.edges(classes, parts, block).collect()
+    name = {d: d for d in prints}
+
+    def root(d):
+        while name[d] != d:
+            d = name[d]
+        return d
+
+    for e in edges:
+        assert e.a != e.b
+        a, b = sorted((root(e.a), root(e.b)))
+        name[b] = a
+    assert {d: root(d) for d in prints} == reached(prints)
+
+
+def test_planes_count_every_distance():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 1, np.uint64)
+    flips = [np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, n, False).astype(np.uint64)) for n in rng.integers(1, 6, 300)]
+    values = np.r_[base, base ^ np.array(flips, np.uint64), rng.integers(0, 1 << 63, 200, np.uint64)]
+    heads, ends = np.array([0, 130, 400]), np.array([130, 400, 501])
+    cuts = np.array([130, 250, 501])
+    want = set()
+    for head, cut, end in zip(heads.tolist(), cuts.tolist(), ends.tolist(), strict=True):
+        for a, b in itertools.combinations(range(head, end), 2):
+            if (cut == end or a < cut <= b) and (int(values[a]) ^ int(values[b])).bit_count() <= 3:
+                want.add((a, b))
+    got = [p for a, b in simhash.near_pairs(values, heads, cuts, ends) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_empty_table_and_long_text(corpus):
+    assert simhash.near_duplicates(corpus([])).count() == 0
+    rng = random.Random(2)
+    long = " ".join(rng.choice("abcdefgh") + str(rng.randrange(99)) for _ in range(250_000))
+    (row,) = simhash.near_duplicates(corpus([(7, long)])).collect()
+    assert row.fingerprint == f"{brute(long):016x}" and row.component_id == 7
