@@ -17,6 +17,7 @@ from retailloom.llm import (
     quality,
     simhash,
     suffix_dedup,
+    token_alignment,
     token_counts,
     toxicity,
 )
@@ -39,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_ngram_jaccard_join": on(ngram_join.digest, "documents"),
         "op10_toxicity": on(toxicity.toxicity, "documents", "labels"),
         "op12_simhash_near_duplicates": on(simhash.near_duplicates, "documents"),
+        "op13_token_alignment": on(token_alignment.aligned, "documents"),
         "pipeline": corpus_pipeline.run,
     }
 
