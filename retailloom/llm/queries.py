@@ -10,6 +10,7 @@ import corpus_pipeline
 from retailloom.llm import (
     decontaminate,
     extraction,
+    hard_negatives,
     lz_dedup,
     nearest,
     ngram_join,
@@ -39,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": on(token_counts.digest, "documents"),
         "op9_ngram_jaccard_join": on(ngram_join.digest, "documents"),
         "op10_toxicity": on(toxicity.toxicity, "documents", "labels"),
+        "op11_hard_negatives": on(hard_negatives.digest, "embeddings"),
         "op12_simhash_near_duplicates": on(simhash.near_duplicates, "documents"),
         "op13_token_alignment": on(token_alignment.aligned, "documents"),
         "pipeline": corpus_pipeline.run,
@@ -50,4 +52,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_substring_dedup": lz_dedup.ORACLE,
         "op6_nearest_neighbours": nearest.ORACLE,
         "op9_ngram_jaccard_join": ngram_join.ORACLE,
+        "op11_hard_negatives": hard_negatives.ORACLE,
     }
