@@ -184,11 +184,18 @@ def _kmeans_fixed_start(spark, sf_dir) -> DataFrame:
     return _rounded(sizes.join(spark.createDataFrame(rows, schema), "cluster"), *rfm.FEATURES)
 
 
-def _silhouette_rule(spark, sf_dir) -> DataFrame:
+def _inertia_fixed_starts(spark, sf_dir) -> DataFrame:
+    points = _points(spark, sf_dir)
+    moved = clustering.lloyd(points, rfm.FEATURES, START, PASSES)
+    models = [*((k, 0, START[:k]) for k in (2, 3, 4)), (len(START), PASSES, moved)]
+    costs = clustering.inertias(points, rfm.FEATURES, [centres for _, _, centres in models])
+    rows = [(k, passes, cost) for (k, passes, _), cost in zip(models, costs)]
+    return _rounded(spark.createDataFrame(rows, "k int, passes int, inertia double"), "inertia")
+
+
+def _silhouette_rule(spark, sf_dir, measure=segmentation.SQUARED) -> DataFrame:
     fits = [clustering.Fit(k, START[:k]) for k in (2, 3, 4)]
-    scored = clustering.score_silhouettes(
-        _points(spark, sf_dir), rfm.FEATURES, segmentation.ROW_ID, fits
-    )
+    scored = segmentation.score(_points(spark, sf_dir), fits, measure)
     chosen = clustering.best_k(scored).k
     scores = segmentation.scores_table(spark, scored).drop("inertia")
     return _rounded(scores, "silhouette").withColumn("chosen", F.col("k") == chosen)
@@ -345,7 +352,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "persona_rule": on_customers(lambda c: segment_profile(_frequency_tiers(c))),
         "kmeans_fixed_start": _kmeans_fixed_start,
+        "inertia_fixed_starts": _inertia_fixed_starts,
         "silhouette_rule": _silhouette_rule,
+        "silhouette_euclidean": lambda s, d: _silhouette_rule(s, d, segmentation.EUCLIDEAN),
+        "k_by_measure": lambda s, d: segmentation.choices(_search(s, d)),
         "k_selection": lambda s, d: _segments(s, d).scores,
         "segments": lambda s, d: money_to_double(_segments(s, d).customers),
         "segment_profile": lambda s, d: money_to_double(_segments(s, d).profile),

@@ -345,7 +345,7 @@ near AS MATERIALIZED (
 ),
 apart AS (
     SELECT a.k, a.customer_id, a.cluster = b.cluster AS own, b.cluster, COUNT(*) AS n,
-           SUM((a.x - b.x)**2 + (a.y - b.y)**2 + (a.z - b.z)**2) AS total
+           SUM({distance}) AS total
     FROM near a JOIN near b ON a.k = b.k GROUP BY ALL
 ),
 sides AS (
@@ -361,6 +361,22 @@ SELECT CAST(k AS INTEGER) AS k, ROUND(s, 6) AS silhouette,
        k = (SELECT k FROM score WHERE k >= 3 ORDER BY s DESC, k LIMIT 1) AS chosen
 FROM score"""
 
+SQUARED = "(a.x - b.x)**2 + (a.y - b.y)**2 + (a.z - b.z)**2"
+
+INERTIAS = (
+    "".join(NEAREST.format(step=i) + MEANS.format(step=i, after=i + 1) for i in range(5))
+    + """,
+apart AS (
+    SELECT k, 0 AS passes, p.customer_id, MIN((p.x - c.x)**2 + (p.y - c.y)**2 + (p.z - c.z)**2) AS near
+    FROM point p, c0 c, range(2, 5) t(k) WHERE c.cluster < k GROUP BY ALL
+    UNION ALL
+    SELECT 4, 5, p.customer_id, MIN((p.x - c.x)**2 + (p.y - c.y)**2 + (p.z - c.z)**2)
+    FROM point p, c5 c GROUP BY ALL
+)
+SELECT CAST(k AS INTEGER) AS k, CAST(passes AS INTEGER) AS passes, ROUND(SUM(near), 6) AS inertia
+FROM apart GROUP BY 1, 2"""
+)
+
 
 def _query(ctes: str, body: str) -> str:
     return "WITH RECURSIVE " + ctes.strip() + "\n" + body.strip()
@@ -516,7 +532,11 @@ WHERE Description IS NOT NULL GROUP BY 1 ORDER BY SUM(Revenue) DESC, 1 LIMIT 10"
         ),
         "forecast_linear": _query(SALES + COUNTRY_WEEKS + PLACED.format(extra="") + LINE, ""),
         "kmeans_fixed_start": _query(rfm + POINTS + LLOYD, ""),
-        "silhouette_rule": _query(rfm + POINTS + SILHOUETTES, ""),
+        "inertia_fixed_starts": _query(rfm + POINTS + INERTIAS, ""),
+        "silhouette_rule": _query(rfm + POINTS + SILHOUETTES.format(distance=SQUARED), ""),
+        "silhouette_euclidean": _query(
+            rfm + POINTS + SILHOUETTES.format(distance=f"sqrt({SQUARED})"), ""
+        ),
         "like_for_like": _query(
             SALES,
             """,

@@ -89,7 +89,7 @@ def _forecast(spark, args) -> None:
 
 
 def _segment(spark, args) -> None:
-    result = segmentation.segment(warehouse.read_sales(spark, args.table))
+    result = segmentation.segment(warehouse.read_sales(spark, args.table), measure=args.silhouette)
     _show(quantiles.distribution_summary(result.customers, rfm.METRICS))
     _show(result.scores)
     _show(result.profile)
@@ -126,6 +126,12 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--out", required=True)
     sub = command("segment", _segment)
     sub.add_argument("--out", required=True)
+    sub.add_argument(
+        "--silhouette",
+        choices=segmentation.MEASURES,
+        default=segmentation.SQUARED,
+        help="distance by which k is chosen; euclidean compares all customers with all",
+    )
     return top
 
 

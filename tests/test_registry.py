@@ -37,6 +37,7 @@ def test_every_oracle_has_a_query():
         "forecast_comparison_by_country",
         "peak_week_comparison",
         "k_selection",
+        "k_by_measure",
         "segments",
         "segment_profile",
     }
@@ -92,6 +93,18 @@ def test_models_are_compared_on_the_same_weeks(spark):
     assert any(r["MAE_vs_baseline_%"] for r in rows.values())
 
 
+def test_k_by_measure(spark):
+    rows = QUERIES["k_by_measure"](spark, SF_DIR).collect()
+    by = {m: [r for r in rows if r.measure == m] for m in ("squared", "euclidean")}
+    assert [r.k for r in by["squared"]] == [r.k for r in by["euclidean"]] == list(range(2, 9))
+    for some in by.values():
+        best = max((r for r in some if r.k >= 3), key=lambda r: r.silhouette)
+        assert [r.k for r in some if r.chosen] == [best.k]
+    assert [r.silhouette for r in by["squared"]] == [
+        r.silhouette for r in QUERIES["k_selection"](spark, SF_DIR).collect()
+    ]
+
+
 def test_segments(spark):
     scores = QUERIES["k_selection"](spark, SF_DIR).collect()
     assert [r.k for r in scores] == list(range(2, 9))
