@@ -1,3 +1,4 @@
+import itertools
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -108,3 +109,86 @@ def test_a_line_is_found_without_seasons_and_slope_changes():
     days = np.arange(0, 700, 7.0)
     found = forecast.fit_predict(days, 3 + 2 * days, days, order=0, changepoints=0)
     assert np.allclose(found, 3 + 2 * days, rtol=1e-3, atol=1)
+
+
+def lowest_by_trial(x, y, slopes, weight):
+    """Every set of signs solved for itself; the lowest of those that keep their signs."""
+    best, found = np.inf, None
+    count = slopes.stop - slopes.start
+    for signs in itertools.product((-1, 0, 1), repeat=count):
+        pull = np.zeros(x.shape[1])
+        pull[slopes] = signs
+        used = np.ones(x.shape[1], bool)
+        used[slopes] = np.array(signs) != 0
+        theta = np.zeros(x.shape[1])
+        theta[used] = np.linalg.solve(x[:, used].T @ x[:, used], x[:, used].T @ y - weight * pull[used])
+        if (np.sign(theta[slopes]) != signs).any():
+            continue
+        value = ((x @ theta - y) ** 2).sum() / 2 + weight * np.abs(theta[slopes]).sum()
+        if value < best:
+            best, found = value, theta
+    return found
+
+
+def test_the_active_set_finds_the_minimum():
+    rng = np.random.default_rng(6)
+    slopes, kept = slice(2, 7), set()
+    for trial in range(60):
+        x = rng.normal(size=(30, 9)) @ (np.eye(9) + 0.8 * rng.normal(size=(9, 9)))
+        truth = rng.normal(size=9) * (rng.random(9) < 0.6)
+        y, weight = x @ truth + rng.normal(size=30), 10 ** rng.uniform(-1, 2.5)
+        start = rng.normal(size=9) * (rng.random(9) < 0.5)
+        theta = forecast.most_probable(x, y, slopes, weight, start)
+        assert forecast.optimality_gap(x, y, slopes, weight, theta) < 1e-5
+        assert np.allclose(theta, lowest_by_trial(x, y, slopes, weight), atol=1e-6)
+        kept.add(int((theta[slopes] != 0).sum()))
+    assert {0, 5} <= kept and len(kept) > 3
+
+
+def test_the_conditions_tell_other_points_from_the_minimum():
+    rng = np.random.default_rng(7)
+    x, slopes = rng.normal(size=(40, 6)), slice(2, 5)
+    y = x @ np.array([1, 2, 0, 3, -1, 0.5]) + rng.normal(size=40)
+    theta = forecast.most_probable(x, y, slopes, 8.0, np.zeros(6))
+    assert forecast.optimality_gap(x, y, slopes, 8.0, theta) < 1e-6
+    for j in range(6):
+        for step in (-0.01, 0.01):
+            moved = theta + step * np.eye(6)[j]
+            assert forecast.optimality_gap(x, y, slopes, 8.0, moved) > 1e-2
+
+
+@pytest.mark.parametrize("weeks", [5, 30, 89, 104, 330])
+def test_a_fit_takes_tens_of_rounds(weeks):
+    rng = np.random.default_rng(weeks)
+    days = 16440 + 7.0 * np.arange(weeks)
+    for values in (
+        np.abs(np.cumsum(rng.normal(0, 50, weeks)) + 500), signal(days) + rng.normal(0, 40, weeks),
+        np.where(np.arange(weeks) < weeks // 2, days, 2 * days[0] - days) + rng.normal(0, 5, weeks),
+    ):
+        fit = forecast.fit_series(days, values)
+        assert fit.rounds <= 40 and fit.gap <= forecast.OPTIMAL
+        shuffled = rng.permutation(weeks)
+        again = forecast.fit_series(days[shuffled], values[shuffled])
+        assert np.allclose(again.theta, fit.theta)
+
+
+def test_few_changes_of_slope_are_kept():
+    """The prior wants most of them at exactly zero."""
+    days = 7.0 * np.arange(150)
+    truth = np.where(days < 500, 100 + days, 600 - 0.5 * (days - 500))
+    rng = np.random.default_rng(3)
+    fit = forecast.fit_series(days, truth + rng.normal(0, 10, 150))
+    changes = fit.theta[2 : 2 + len(fit.knots)]
+    assert 1 <= (changes != 0).sum() <= 6
+    turn = np.abs(changes).argmax()
+    assert abs(fit.knots[turn] * fit.span - 500) < 80
+
+
+def test_a_fit_that_is_not_optimal_fails(monkeypatch):
+    days = np.arange(0, 700, 7.0)
+    monkeypatch.setattr(forecast, "optimality_gap", lambda *_: 0.5)
+    with pytest.raises(RuntimeError, match="not optimal"):
+        forecast.fit_series(days, np.sin(days) + 2)
+    monkeypatch.setattr(forecast, "MAX_STEPS", 1)
+    with pytest.raises(RuntimeError, match="no active set"):
+        forecast.fit_series(days, np.sin(days) + 0.01 * np.abs(days - 300))
