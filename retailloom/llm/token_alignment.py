@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import operator
 import re
 from collections.abc import Iterable, Iterator
 
@@ -39,10 +40,10 @@ from retailloom.session import materialise
 
 BYTE_LEVEL = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
-PACK = 8 << 20  # characters of the documents that are stored together
+PACK = 4 << 20  # characters of the documents that are stored together
 STEP = 1 << 20  # characters that are cut into segments at a time
 SEGMENTS = 200_000  # of one long text
-KNOWN = 400_000  # segments a task remembers
+KNOWN = 250_000  # segments in each of the two generations that a worker remembers
 LONGEST = 200  # characters of a segment that is remembered
 TOGETHER = 1000  # segments that go through the tokenizers as one text
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -57,8 +58,14 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Of a segment: its groups as they are written, its links (A id * size of B + B id) as 32-bit numbers, and
+#: how many A and B tokens it has.
+Record = tuple[bytes | None, bytes, int, int]
+UNSPELLED: Record = (None, b"", 0, 0)
+
+
 class Aligner:
-    """Both tokenizers, and the segments met so far with their tokens and links."""
+    """Both tokenizers, and the segments met lately."""
 
     def __init__(self, byte_level: str, pieces: str):
         import sentencepiece
@@ -103,10 +110,8 @@ class Aligner:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.groups: list[bytes | None] = []  # written as `a1,a2|b1;...`; None if the bytes differ
-        self.figures: list[tuple[int, int, int]] = []  # A tokens, B tokens, groups
-        self.links: list[np.ndarray] = []  # of a segment, as A id * size of B + B id
+        self.young: dict[str, Record] = {}
+        self.old: dict[str, Record] = {}
 
     @property
     def size_b(self) -> int:
@@ -116,7 +121,7 @@ class Aligner:
         """Ids, and the byte each token ends at."""
         found = self.a.encode(text, add_special_tokens=False)
         ids = np.array(found.ids, np.int64)
-        ends = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 1]
+        ends = np.fromiter(map(operator.itemgetter(1), found.offsets), np.int64, len(ids))
         if len(data) != len(text):  # from characters to bytes
             raw = np.frombuffer(data, np.uint8)
             ends = np.r_[np.flatnonzero((raw & 0xC0) != 0x80), len(raw)][ends]
@@ -138,13 +143,7 @@ class Aligner:
             and b"".join(map(self.bytes_b.__getitem__, ids_b.tolist())) == data
         )
 
-    def _add(self, groups, figures, links) -> int:
-        self.groups.append(groups)
-        self.figures.append(figures)
-        self.links.append(links)
-        return len(self.groups) - 1
-
-    def _align(self, parts: list[str]) -> list[int] | None:
+    def _align(self, parts: list[str]) -> list[Record] | None:
         """Align a text of several segments. None if the tokens do not spell it, or go across the
         end of a segment."""
         text = "".join(parts)
@@ -152,7 +151,9 @@ class Aligner:
         (ids_a, ends_a), (ids_b, ends_b) = self.encode_a(text, data), self.encode_b(text)
         if not self.spelled(ids_a, ids_b, data):
             return None
-        common, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        at_b = np.searchsorted(ends_b, ends_a)
+        at_a = np.flatnonzero(ends_b[np.minimum(at_b, len(ends_b) - 1)] == ends_a)
+        common, at_b = ends_a[at_a], at_b[at_a]
         stops = np.cumsum([len(p.encode()) for p in parts])
         last = np.searchsorted(common, stops)
         if (common[np.minimum(last, len(common) - 1)] != stops).any():
@@ -167,22 +168,22 @@ class Aligner:
                 left, right = map(str, a[low_a:high_a]), map(str, b[low_b:high_b])
                 written.append(f"{','.join(left)}|{','.join(right)}")
             low_a, low_b = high_a, high_b
-        links = (ids_a[at_a] * self.size_b + ids_b[at_b]).astype(np.int32)
-        numbers, low, low_a, low_b = [], 0, 0, 0
+        links = (ids_a[at_a] * self.size_b + ids_b[at_b]).astype("<i4").tobytes()
+        found, low, low_a, low_b = [], 0, 0, 0
         for high in (last + 1).tolist():
             high_a, high_b = tops[high - 1]
             groups = ";".join(written[low:high]).encode()
-            numbers.append(self._add(groups, (high_a - low_a, high_b - low_b, high - low), links[low:high]))
+            found.append((groups, links[4 * low : 4 * high], high_a - low_a, high_b - low_b))
             low, low_a, low_b = high, high_a, high_b
-        return numbers
+        return found
 
-    def whole(self, text: str) -> int:
+    def whole(self, text: str) -> Record:
         found = self._align([text])
-        return found[0] if found else self._add(None, (0, 0, 0), np.zeros(0, np.int32))
+        return found[0] if found else UNSPELLED
 
-    def alone(self, segment: str) -> int:
+    def alone(self, segment: str) -> Record:
         found = self._align([" a", segment])
-        return found[1] if found else self._add(None, (0, 0, 0), np.zeros(0, np.int32))
+        return found[1] if found else UNSPELLED
 
     def learn(self, segments: list[str]) -> None:
         """Many segments as one text. One that starts with a mark needs a letter before it; the space
@@ -195,34 +196,53 @@ class Aligner:
                 parts += [s] if s[0].isspace() else [" a", s]
             found = self._align(parts)
             if found:
-                self.known.update(zip(parts, found, strict=True))
+                self.young.update(zip(parts, found, strict=True))
             else:
-                self.known.update((s, self.alone(s)) for s in some)
-        self.known.update((s, self.alone(s)) for s in segments if s[-1].isspace())
+                self.young.update((s, self.alone(s)) for s in some)
+        self.young.update((s, self.alone(s)) for s in segments if s[-1].isspace())
+
+    def records(self, segments: list[str]) -> list[Record]:
+        """Of distinct segments. What was not asked for in a whole generation is forgotten."""
+        if len(self.young) > KNOWN:
+            self.old, self.young = self.young, {}
+        self.young.update((s, self.old[s]) for s in segments if s not in self.young and s in self.old)
+        self.learn([s for s in segments if s not in self.young and len(s) <= LONGEST])
+        get = self.young.get
+        return [get(s) or self.alone(s) for s in segments]
+
+
+class Pack:
+    """Texts that are stored together, as numbers of the segments they share."""
+
+    def __init__(self, aligner: Aligner):
+        self.aligner = aligner
+        self.place: dict[str, int] = {}
+        self.records: list[Record] = []
+        self.unspelled = False
 
     def numbers(self, segments: list[str]) -> np.ndarray:
-        new = {s for s in segments if s not in self.known}
-        self.learn([s for s in new if len(s) <= LONGEST])
-        long = {s: self.alone(s) for s in new if len(s) > LONGEST}
-        known = self.known.get
-        found = [long[s] if (n := known(s)) is None else n for s in segments]
-        return np.array(found, np.int32)
-
-    def align(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        new = list(set(segments).difference(self.place))
+        self.place.update(zip(new, range(len(self.records), len(self.records) + len(new)), strict=True))
+        found = self.aligner.records(new)
+        self.records += found
+        self.unspelled |= UNSPELLED in found
+        return np.fromiter(map(self.place.__getitem__, segments), np.int32, len(segments))
+
+    def add(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Of every text the numbers of its segments; none for a text without tokens."""
-        cut = [self.cut.findall(" " + t) if t and len(t) <= STEP else [] for t in texts]
+        cut = [self.aligner.cut.findall(" " + t) if t and len(t) <= STEP else [] for t in texts]
         flat = self.numbers(list(itertools.chain.from_iterable(cut)))
         stops = np.cumsum([len(found) for found in cut])
         for text, end, found in zip(texts, stops.tolist(), cut, strict=True):
             numbers = flat[end - len(found) : end]
             if text and len(text) > STEP:
-                runs = (m.group() for m in self.cut.finditer(" " + text))
+                runs = (m.group() for m in self.aligner.cut.finditer(" " + text))
                 some = iter(lambda: list(itertools.islice(runs, SEGMENTS)), [])
                 numbers = np.concatenate([self.numbers(s) for s in some])
-            if any(self.groups[n] is None for n in np.unique(numbers).tolist()):
-                numbers = np.array([self.whole(" " + text)], np.int32)
-                if self.groups[numbers[0]] is None:
-                    numbers = numbers[:0]
+            if self.unspelled and any(self.records[n] is UNSPELLED for n in numbers.tolist()):
+                record = self.aligner.whole(" " + text)
+                numbers = np.full(int(record is not UNSPELLED), len(self.records), np.int32)
+                self.records += [record] * len(numbers)
             yield numbers
 
 
@@ -251,33 +271,32 @@ def packs(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     links of the segments, and how often each pair of ids is linked in the row."""
 
     def one(aligner: Aligner, number: int, ids: list[int], texts: list[str | None]) -> pa.RecordBatch:
-        if len(aligner.known) > KNOWN:
-            aligner.forget()
-        found, low = [], 0
+        pack, found, low = Pack(aligner), [], 0
         while low < len(texts):
             high, room = low, STEP
             while high < len(texts) and (high == low or room > 0):
                 room -= len(texts[high] or "")
                 high += 1
-            found += aligner.align(texts[low:high])
+            found += pack.add(texts[low:high])
             low = high
         counts = np.array([len(f) for f in found], np.int32)
-        used, segments = np.unique(np.concatenate(found), return_inverse=True)
-        links = [aligner.links[n] for n in used.tolist()]
-        sizes = np.array([len(x) for x in links], np.int32)
-        flat = np.concatenate(links) if links else np.zeros(0, np.int32)
-        often = np.bincount(segments, minlength=len(used))
+        segments = np.concatenate(found)
+        often = np.bincount(segments, minlength=len(pack.records))
+        groups, links, n_a, n_b = zip(*pack.records, strict=True) if pack.records else [()] * 4
+        sizes = np.array([len(x) // 4 for x in links], np.int32)
+        flat = np.frombuffer(b"".join(links), "<i4")
         pairs, inverse = np.unique(flat, return_inverse=True)
         uses = np.bincount(inverse, np.repeat(often, sizes), len(pairs)).astype(np.int64)
-        figures = np.array([aligner.figures[n] for n in used.tolist()], np.int64).reshape(-1, 3)
+        figures = np.column_stack([np.array(n_a, np.int64), np.array(n_b, np.int64), sizes])
         sums = np.r_[np.zeros((1, 3), np.int64), np.cumsum(figures[segments], 0)]
         stops = np.r_[0, np.cumsum(counts)]
         n_a, n_b, n_groups = (sums[stops[1:]] - sums[stops[:-1]]).T
-        written = (b";".join(map(aligner.groups.__getitem__, f.tolist())) for f in found)
+        written = (b";".join(map(groups.__getitem__, f.tolist())) for f in found)
         hashes = [hashlib.sha256(w).hexdigest() if w else "" for w in written]
+        # Segments of a text that then went through whole are in no document, nor are their pairs.
+        kept = uses > 0
         columns = [
-            np.array(ids, np.int64), n_a, n_b, n_groups, hashes, segments.astype(np.int32), counts, flat, sizes,
-            pairs.astype(np.int32), uses,
+            np.array(ids, np.int64), n_a, n_b, n_groups, hashes, segments, counts, flat, sizes, pairs[kept], uses[kept],
         ]
         kinds = [x.split()[1] for x in PACKED.split(", ")][1:]
         arrays = [
@@ -306,7 +325,6 @@ def packs(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
                     number, ids, texts, size = number + 1, [], [], 0
         if ids:
             yield one(aligner, number, ids, texts)
-        aligner.forget()
         release()
 
     return id_and_text(docs).mapInArrow(align, PACKED)
@@ -341,8 +359,10 @@ def aligned(docs: DataFrame, byte_level: str | None = None, pieces: str | None =
         pairs = known["pair"].to_numpy()
         order = np.argsort(pairs)
         links, sizes = flat("links"), flat("link_counts")
-        place = order[np.searchsorted(pairs, links, sorter=order)] if len(links) else links
-        uses, best = known["uses"].to_numpy()[place], known["best"].to_numpy()[place]
+        # A pair without a use is missing; no document asks for it.
+        place = np.searchsorted(pairs, links, sorter=order)
+        place = np.r_[order, 0][np.minimum(place, len(order))]
+        uses, best = (np.r_[known[c].to_numpy(), 0][place] for c in ("uses", "best"))
         each = np.zeros((len(links) + 1, 3), np.int64)
         np.cumsum(np.column_stack([np.ones(len(links), np.int64), best, uses]), 0, out=each[1:])
         ends = np.cumsum(sizes)

@@ -91,15 +91,19 @@ def test_random_texts(corpus, monkeypatch):
     texts += ["".join(rng.choice(signs[:-3]) for _ in range(rng.randrange(400))) for _ in range(200)]
     rows = list(enumerate(texts))
     aligner = token_alignment.Aligner(A, B)
-    short = token_alignment.STEP
-    try:
-        token_alignment.STEP = 50  # what is longer goes piece by piece
-        pieces = [n.tolist() for n in aligner.align(texts)]
-    finally:
-        token_alignment.STEP = short
-    assert [";".join(aligner.groups[n].decode() for n in p) for p in pieces] == [
-        ";".join(aligner.groups[n].decode() for n in p.tolist()) for p in aligner.align(texts)
-    ]
+
+    def written():
+        pack = token_alignment.Pack(aligner)
+        numbers = list(pack.add(texts))
+        return [b";".join(pack.records[n][0] for n in some.tolist()) for some in numbers]
+
+    want = written()
+    with monkeypatch.context() as small:
+        small.setattr(token_alignment, "STEP", 50)  # what is longer goes piece by piece
+        small.setattr(token_alignment, "SEGMENTS", 7)
+        small.setattr(token_alignment, "KNOWN", 40)
+        assert written() == want
+        assert len(aligner.young) < 1000
     assert found(corpus(rows)) == brute(rows)
 
 
