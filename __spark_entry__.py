@@ -31,11 +31,12 @@ from retailloom.operators import (  # noqa: E402
     quantiles,
     returns,
     rfm,
+    rollup,
     series,
 )
 from retailloom.operators.forecast import forecast_ahead  # noqa: E402
 from retailloom.operators.profiles import segment_profile  # noqa: E402
-from retailloom.plans import forecasting, reports, segmentation  # noqa: E402
+from retailloom.plans import build, forecasting, reports, segmentation  # noqa: E402
 from retailloom.schema import RAW_CUSTOMER_HEADING  # noqa: E402
 from retailloom.session import materialise, scratch_path  # noqa: E402
 from retailloom.sources import raw as raw_source  # noqa: E402
@@ -86,6 +87,19 @@ def _sales(spark, sf_dir) -> DataFrame:
     return _once(spark, sf_dir, "sales", make)
 
 
+def _load(spark, sf_dir) -> build.Load:
+    """A load of its own, for what it counts on its way."""
+    return _once(
+        spark, sf_dir, "load", lambda: build.load(_raw(spark, sf_dir), scratch_path(spark, "load"))
+    )
+
+
+def _rollup(spark, sf_dir) -> rollup.Rollup:
+    return _once(
+        spark, sf_dir, "rollup", lambda: rollup.build(_sales(spark, sf_dir), scratch_path(spark, "rollup"))
+    )
+
+
 def _customers(spark, sf_dir) -> DataFrame:
     return _once(
         spark, sf_dir, "rfm", lambda: materialise(rfm.rfm(_sales(spark, sf_dir)), "rfm")
@@ -264,6 +278,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             _matches(s, d), cleaning.cancellations(_raw(s, d))
         ),
         "load_audit": on_sales(warehouse.load_audit),
+        "load_report_observed": lambda s, d: _load(s, d).report,
+        "load_audit_observed": lambda s, d: money_to_double(_load(s, d).audit),
         # reports
         "monthly_trend": on_sales(reports.monthly_trend),
         "monthly_trend_tile": on_sales(
@@ -277,6 +293,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "date_bounds": on_sales(reports.date_bounds),
         "kpis": on_sales(reports.kpis),
         "kpis_filtered": on_sales(lambda sales: reports.kpis(_filtered(sales))),
+        "kpis_rollup": lambda s, d: money_to_double(rollup.kpis(_rollup(s, d))),
+        "kpis_rollup_filtered": lambda s, d: money_to_double(rollup.kpis(_rollup(s, d), *DATES, MARKETS)),
+        "monthly_trend_rollup": lambda s, d: money_to_double(rollup.monthly_trend(_rollup(s, d))),
         "kpis_bound_sql": lambda s, d: money_to_double(_kpis_bound_sql(s, d)),
         "top_market": on_sales(reports.top_market),
         "top10_markets": on_sales(

@@ -405,6 +405,10 @@ SELECT InvoiceDate, Invoice, Description, Country, Quantity, CAST(Price AS DOUBL
 FROM {source} WHERE lower(Description) LIKE '{pattern}'
 ORDER BY InvoiceDate DESC, Invoice, Description, Quantity, sales.Price, Country LIMIT 500"""
 
+AUDIT = """
+SELECT COUNT(*) AS rows, MIN(InvoiceDate) AS first_date, MAX(InvoiceDate) AS last_date,
+       CAST(SUM(Revenue) AS DOUBLE) AS revenue FROM sales"""
+
 NAIVE_METRICS = """
 SELECT 'Seasonal naive (52w)' AS model, COUNT(prediction) AS weeks_scored,
        ROUND(AVG(abs(revenue - prediction)), 6) AS "MAE",
@@ -425,6 +429,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "cleaning_report": _query(SALES, REPORT),
         "cleaning_report_grouped": _query(SALES, REPORT),
+        "load_report_observed": _query(SALES, REPORT),
         "returns_pairs": _query(
             SALES,
             """
@@ -441,13 +446,17 @@ SELECT (SELECT COUNT(*) FROM matched) AS matched, COUNT(*) AS cancels_with_custo
        ROUND(100.0::DOUBLE * (SELECT COUNT(*) FROM matched) / COUNT(*), 1) AS match_rate_pct
 FROM raw_sales WHERE starts_with(Invoice, 'C') AND CustomerID IS NOT NULL""",
         ),
-        "load_audit": _query(
-            SALES,
+        "load_audit": _query(SALES, AUDIT),
+        "load_audit_observed": _query(SALES, AUDIT),
+        "monthly_trend": _query(
+            monthly,
             """
-SELECT COUNT(*) AS rows, MIN(InvoiceDate) AS first_date, MAX(InvoiceDate) AS last_date,
-       CAST(SUM(Revenue) AS DOUBLE) AS revenue FROM sales""",
+SELECT month, CAST(revenue AS DOUBLE) AS monthly_revenue, orders,
+       CAST(SUM(revenue) OVER (ORDER BY month ROWS UNBOUNDED PRECEDING) AS DOUBLE)
+           AS running_total_revenue
+FROM monthly ORDER BY month""",
         ),
-        "monthly_trend": _query(
+        "monthly_trend_rollup": _query(
             monthly,
             """
 SELECT month, CAST(revenue AS DOUBLE) AS monthly_revenue, orders,
@@ -509,6 +518,8 @@ SELECT Country FROM sales GROUP BY 1 ORDER BY SUM(Revenue) DESC, Country""",
         "kpis": _query(SALES, _kpis("sales")),
         "kpis_filtered": _query(SALES + FILTERED, _kpis("filtered")),
         "kpis_bound_sql": _query(SALES + FILTERED, _kpis("filtered")),
+        "kpis_rollup": _query(SALES, _kpis("sales")),
+        "kpis_rollup_filtered": _query(SALES + FILTERED, _kpis("filtered")),
         "top_market": _query(SALES, _top("sales", 1)),
         "top10_markets": _query(SALES, _top("sales", 10)),
         "top10_markets_filtered": _query(SALES + FILTERED, _top("filtered", 10)),

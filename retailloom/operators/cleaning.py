@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from retailloom.functions.expressions import is_cancellation, not_positive, pct
@@ -49,16 +49,20 @@ def distinct_lines(valid: DataFrame) -> DataFrame:
     return valid.select(whole_line()).distinct()
 
 
-def clean(raw: DataFrame, matches: DataFrame | None = None) -> DataFrame:
+def clean(
+    raw: DataFrame, matches: DataFrame | None = None, seen: Observation | None = None
+) -> DataFrame:
     """The cleaned ``sales`` rows. ``matches`` is what :func:`match_returns` gave, if at hand.
+    ``seen`` takes the counts of the rules from the rows as they pass.
 
     The shuffle that removes duplicates also places the rows for the anti-join
     against the netted sales: both are keyed by the whole line, so the big side moves once.
     """
     matches = match_returns(raw) if matches is None else matches
     netted = returns.netted_sales(matches).select(whole_line())
+    lines = raw if seen is None else raw.observe(seen, *_line_counts(_is_valid(), F.lit(1)))
     return (
-        distinct_lines(valid_lines(raw))
+        distinct_lines(valid_lines(lines))
         .join(netted, "line", "left_anti")
         .select("line.*")
         .withColumn("Revenue", (F.col("Quantity") * F.col("Price")).cast(MONEY))
@@ -145,6 +149,19 @@ def cleaning_report(
             .withColumn("matched_returns_netted", matched)
             .withColumn("rows_out", F.col("distinct_valid") - F.col("matched_returns_netted"))
         )
+    return _report(counts)
+
+
+def observed_report(seen: dict, matched: int, stored: dict, spark: SparkSession) -> DataFrame:
+    """The same row from what a load has counted on its way: the rules on the raw lines (``seen``), and
+    the lines and missing customers of the table (``stored``)."""
+    names = ["rows_in", "cancelled", "non_positive_qty", "non_positive_price", "valid"]
+    values = [seen[n] for n in names] + [matched, stored["rows"], stored["nulls"]]
+    names += ["matched_returns_netted", "rows_out", "null_customer_id"]
+    return _report(spark.createDataFrame([values], ", ".join(f"{n} bigint" for n in names)))
+
+
+def _report(counts: DataFrame) -> DataFrame:
     return counts.select(
         "rows_in",
         "cancelled",

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation
 
-from retailloom.operators import cleaning
+from retailloom.operators import cleaning, returns
 from retailloom.sources import warehouse
 
 
@@ -15,6 +16,7 @@ class Load:
     sales: DataFrame
     report: DataFrame
     audit: DataFrame
+    observed: bool  # whether report and audit come from the load itself
 
 
 def build_sales(raw: DataFrame, path: str) -> DataFrame:
@@ -23,9 +25,30 @@ def build_sales(raw: DataFrame, path: str) -> DataFrame:
     return warehouse.read_sales(raw.sparkSession, path)
 
 
+def _figures(seen: Observation) -> dict:
+    """What was observed; nothing if Spark has planned an empty input away, observation and all."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return {}
+
+
 def load(raw: DataFrame, path: str) -> Load:
-    """Build the table, then describe what was dropped and what was stored."""
+    """Build the table, and tell what was dropped and what was stored.
+
+    Both are counted while the rows pass, so nothing is scanned again. Stages that are run once more
+    after an executor was lost count their rows once more, so the numbers of rows are checked against the
+    files (Parquet keeps them in its footers). Where they differ, the lines are counted by scans.
+    """
+    spark = raw.sparkSession
+    seen, stored = Observation("raw lines"), Observation("stored lines")
     matches = cleaning.match_returns(raw)
-    warehouse.write_sales(cleaning.clean(raw, matches), path)
-    sales = warehouse.read_sales(raw.sparkSession, path)
-    return Load(sales, cleaning.cleaning_report(raw, matches, sales), warehouse.load_audit(sales))
+    warehouse.write_sales(cleaning.clean(raw, matches, seen), path, stored)
+    sales = warehouse.read_sales(spark, path)
+    counted, kept = _figures(seen), _figures(stored)
+    if counted.get("rows_in") == raw.count() and kept.get("rows") == sales.count():
+        matched = returns.matched_count(matches).first().matched
+        report = cleaning.observed_report(counted, matched, kept, spark)
+        return Load(sales, report, warehouse.observed_audit(kept, spark), True)
+    report = cleaning.cleaning_report(raw, matches, sales)
+    return Load(sales, report, warehouse.load_audit(sales), False)

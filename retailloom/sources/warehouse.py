@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from retailloom.schema import SALE_MONTH, SALES, SALES_COLUMNS
@@ -22,9 +22,13 @@ def _laid_out(sales: DataFrame) -> DataFrame:
     return sales.select(*SALES_COLUMNS, month.alias(SALE_MONTH)).hint("rebalance", SALE_MONTH)
 
 
-def write_sales(sales: DataFrame, path: str) -> None:
-    """Replace the table stored at ``path``."""
-    _laid_out(sales).write.mode("overwrite").partitionBy(SALE_MONTH).parquet(path)
+def write_sales(sales: DataFrame, path: str, seen: Observation | None = None) -> None:
+    """Replace the table stored at ``path``. ``seen`` takes the figures of the audit, and the lines
+    without customer, from the rows as they are written."""
+    rows = _laid_out(sales)
+    if seen is not None:
+        rows = rows.observe(seen, *_audit(), F.count_if(F.col("CustomerID").isNull()).alias("nulls"))
+    rows.write.mode("overwrite").partitionBy(SALE_MONTH).parquet(path)
 
 
 def read_sales(spark: SparkSession, path: str) -> DataFrame:
@@ -45,12 +49,25 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def load_audit(sales: DataFrame) -> DataFrame:
     """Row count, date range and revenue, to check a load."""
-    return sales.agg(
+    return sales.agg(*_audit())
+
+
+def _audit() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("rows"),
         F.min("InvoiceDate").alias("first_date"),
         F.max("InvoiceDate").alias("last_date"),
         F.sum("Revenue").alias("revenue"),
-    )
+    ]
+
+
+AUDIT = "rows bigint not null, first_date timestamp_ntz, last_date timestamp_ntz, revenue decimal(28,4)"
+
+
+def observed_audit(stored: dict, spark: SparkSession) -> DataFrame:
+    """The audit from what the write has counted."""
+    names = [part.split()[0] for part in AUDIT.split(", ")]
+    return spark.createDataFrame([[stored[n] for n in names]], AUDIT)
 
 
 # Quoted text and comments, in which a question mark is no marker, or a marker.
