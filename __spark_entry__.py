@@ -36,7 +36,7 @@ from retailloom.operators import (  # noqa: E402
 )
 from retailloom.operators.forecast import forecast_ahead  # noqa: E402
 from retailloom.operators.profiles import segment_profile  # noqa: E402
-from retailloom.plans import build, forecasting, reports, segmentation  # noqa: E402
+from retailloom.plans import build, forecasting, reports, search_index, segmentation  # noqa: E402
 from retailloom.schema import RAW_CUSTOMER_HEADING  # noqa: E402
 from retailloom.session import materialise, scratch_path  # noqa: E402
 from retailloom.sources import raw as raw_source  # noqa: E402
@@ -235,11 +235,28 @@ def _csv_sheets(spark, sf_dir) -> DataFrame:
     return raw_source.read_raw(spark, paths, "csv")
 
 
-def _escaped_search(sales: DataFrame) -> DataFrame:
+def _with_escapes(sales: DataFrame) -> DataFrame:
     label = F.when(F.col("Quantity") % 2 == 0, F.lit("\\50%")).otherwise("/50%")
-    return reports.transaction_search(
-        sales.withColumn("Description", F.concat("Description", label)), "widget\\50"
-    )
+    return sales.withColumn("Description", F.concat("Description", label))
+
+
+def _escaped_search(sales: DataFrame) -> DataFrame:
+    return reports.transaction_search(_with_escapes(sales), "widget\\50")
+
+
+def _indexed_search(term: str, described=lambda sales: sales, what: str = "index"):
+    """The search through an index, which is built once."""
+
+    def search(spark, sf_dir) -> DataFrame:
+        index = _once(
+            spark,
+            sf_dir,
+            what,
+            lambda: search_index.build(described(_sales(spark, sf_dir)), scratch_path(spark, what)),
+        )
+        return money_to_double(search_index.transaction_search(index, term))
+
+    return search
 
 
 def _summary(customers: DataFrame) -> DataFrame:
@@ -312,6 +329,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             lambda sales: reports.transaction_search(sales, "red%b_lt")
         ),
         "transaction_search_escaped": on_sales(_escaped_search),
+        "transaction_search_indexed": _indexed_search("WIDGET"),
+        "transaction_search_wildcard_indexed": _indexed_search("red%b_lt"),
+        "transaction_search_escaped_indexed": _indexed_search(
+            "widget\\50", _with_escapes, "escaped-index"
+        ),
         "like_for_like": on_sales(lambda sales: reports.like_for_like(sales, 2000)),
         "market_share": on_sales(reports.market_share),
         "service_line_leaders": on_sales(

@@ -537,6 +537,14 @@ WHERE Description IS NOT NULL GROUP BY 1 ORDER BY SUM(Revenue) DESC, 1 LIMIT 10"
             SALES + LABELLED_SALES,
             SEARCH.format(source="marked AS sales", pattern="%widget\\50%"),
         ),
+        "transaction_search_indexed": _query(SALES, SEARCH.format(source="sales", pattern="%widget%")),
+        "transaction_search_wildcard_indexed": _query(
+            SALES, SEARCH.format(source="sales", pattern="%red%b_lt%")
+        ),
+        "transaction_search_escaped_indexed": _query(
+            SALES + LABELLED_SALES,
+            SEARCH.format(source="marked AS sales", pattern="%widget\\50%"),
+        ),
         "csv_sheets": _query(RAW + SHEETS, f"SELECT {LINES} FROM sheets"),
         "model_comparison_rule": _query(
             SALES + COUNTRY_WEEKS + PLACED.format(extra=SHORT) + TWO_LAGS, ""
