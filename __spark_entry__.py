@@ -36,8 +36,15 @@ from retailloom.operators import (  # noqa: E402
 )
 from retailloom.operators.forecast import forecast_ahead  # noqa: E402
 from retailloom.operators.profiles import segment_profile  # noqa: E402
-from retailloom.plans import build, forecasting, reports, search_index, segmentation  # noqa: E402
-from retailloom.schema import RAW_CUSTOMER_HEADING  # noqa: E402
+from retailloom.plans import (
+    build,
+    forecasting,
+    increments,
+    reports,
+    search_index,
+    segmentation,
+)  # noqa: E402
+from retailloom.schema import RAW_CUSTOMER_HEADING, SALE_MONTH  # noqa: E402
 from retailloom.session import materialise, scratch_path  # noqa: E402
 from retailloom.sources import raw as raw_source  # noqa: E402
 from retailloom.sources import tpch_retail, warehouse  # noqa: E402
@@ -100,6 +107,20 @@ def _rollup(spark, sf_dir) -> rollup.Rollup:
     )
 
 
+def _increments(spark, sf_dir) -> str:
+    """The load by three batches, of which the last brings lines between those of the others."""
+
+    def make():
+        raw, folder = _raw(spark, sf_dir), scratch_path(spark, "increments")
+        date = F.col("InvoiceDate")
+        first, last = (F.lit(d).cast("timestamp_ntz") for d in ("1997-07-15", "1999-01-10"))
+        for part in (date < first, date >= last, (date >= first) & (date < last)):
+            increments.apply(raw.where(part), folder)
+        return folder
+
+    return _once(spark, sf_dir, "increments", make)
+
+
 def _customers(spark, sf_dir) -> DataFrame:
     return _once(
         spark, sf_dir, "rfm", lambda: materialise(rfm.rfm(_sales(spark, sf_dir)), "rfm")
@@ -297,6 +318,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "load_audit": on_sales(warehouse.load_audit),
         "load_report_observed": lambda s, d: _load(s, d).report,
         "load_audit_observed": lambda s, d: money_to_double(_load(s, d).audit),
+        "incremental_sales": lambda s, d: money_to_double(
+            increments.sales(s, _increments(s, d)).drop(SALE_MONTH)
+        ),
+        "incremental_report": lambda s, d: increments.report(s, _increments(s, d)),
         # reports
         "monthly_trend": on_sales(reports.monthly_trend),
         "monthly_trend_tile": on_sales(

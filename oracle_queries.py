@@ -427,9 +427,13 @@ def oracle_sql() -> dict[str, str]:
         "clean_sales": _query(
             SALES, f"SELECT {LINES}, CAST(Revenue AS DOUBLE) AS Revenue FROM sales"
         ),
+        "incremental_sales": _query(
+            SALES, f"SELECT {LINES}, CAST(Revenue AS DOUBLE) AS Revenue FROM sales"
+        ),
         "cleaning_report": _query(SALES, REPORT),
         "cleaning_report_grouped": _query(SALES, REPORT),
         "load_report_observed": _query(SALES, REPORT),
+        "incremental_report": _query(SALES, REPORT),
         "returns_pairs": _query(
             SALES,
             """

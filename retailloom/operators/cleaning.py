@@ -60,7 +60,7 @@ def clean(
     """
     matches = match_returns(raw) if matches is None else matches
     netted = returns.netted_sales(matches).select(whole_line())
-    lines = raw if seen is None else raw.observe(seen, *_line_counts(_is_valid(), F.lit(1)))
+    lines = raw if seen is None else raw.observe(seen, *line_counts(is_valid(), F.lit(1)))
     return (
         distinct_lines(valid_lines(lines))
         .join(netted, "line", "left_anti")
@@ -81,7 +81,7 @@ def match_returns(raw: DataFrame) -> DataFrame:
     return returns.timeline(candidates, cancels)
 
 
-def _line_counts(valid_rows: Column, copies: Column, line: str = "") -> list[Column]:
+def line_counts(valid_rows: Column, copies: Column, line: str = "") -> list[Column]:
     """Counts per rule over rows that stand for ``copies`` equal raw lines each.
 
     The two value rules overlap and are counted apart.
@@ -102,7 +102,7 @@ def _total(value: Column, when: Column) -> Column:
     return F.coalesce(F.sum(F.when(when, value)), F.lit(0)).cast("bigint")
 
 
-def _is_valid(line: str = "") -> Column:
+def is_valid(line: str = "") -> Column:
     return (
         ~is_cancellation(F.col(f"{line}Invoice"))
         & ~not_positive(F.col(f"{line}Quantity"))
@@ -129,20 +129,20 @@ def cleaning_report(
             ).alias("stored")
         ).scalar()
         counts = (
-            raw.agg(*_line_counts(_is_valid(), F.lit(1)))
+            raw.agg(*line_counts(is_valid(), F.lit(1)))
             .withColumn("matched_returns_netted", matched)
             .withColumn("stored", stored)
             .withColumn("rows_out", F.col("stored.rows"))
             .withColumn("null_customer_id", F.col("stored.nulls"))
         )
     else:
-        valid = _is_valid("line.")
+        valid = is_valid("line.")
         nameless = valid & F.col("line.CustomerID").isNull()
         counts = (
             raw.groupBy(whole_line())
             .agg(F.count(F.lit(1)).alias("copies"))
             .agg(
-                *_line_counts(valid, F.col("copies"), "line."),
+                *line_counts(valid, F.col("copies"), "line."),
                 _total(F.lit(1), valid).alias("distinct_valid"),
                 _total(F.lit(1), nameless).alias("null_customer_id"),
             )

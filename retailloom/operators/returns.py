@@ -19,7 +19,7 @@ of a key are then chained through one summary row each.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retailloom.functions.expressions import pct
@@ -128,6 +128,28 @@ def _sales_in_queue(placed: DataFrame) -> DataFrame:
     return placed.where(F.col("kind") == SALE).withColumn("ordinal", F.col("s0") + F.col("s"))
 
 
+def key_states(events: DataFrame) -> DataFrame:
+    """One row per key: its sales and cancellations so far, the least slack at any cancellation, how many
+    sales are consumed, and the time of its last event. Later events need no more than this row to
+    tell how many they consume."""
+    blocks = _running(events).groupBy(*MATCH_KEY, "block").agg(
+        F.max("s").alias("s"), F.max("j").alias("j"), F.min("slack").alias("slack"),
+        F.max("InvoiceDate").alias("last"),
+    )
+    before = Window.partitionBy(*MATCH_KEY).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum(F.col("s") - F.col("j")).over(before), F.lit(0))
+    totals = blocks.withColumn("slack", offset + F.col("slack")).groupBy(*MATCH_KEY).agg(
+        F.sum("s").alias("sales"), F.sum("j").alias("cancels"), F.min("slack").alias("slack"),
+        F.max("last").alias("last"),
+    )
+    return totals.withColumn("consumed", consumed(F.col("cancels"), F.col("slack")))
+
+
+def consumed(cancels: Column, slack: Column) -> Column:
+    """The closed form, from totals. Without a cancellation there is no slack."""
+    return cancels + F.least(F.lit(0), F.coalesce(slack, F.lit(0)))
+
+
 def netted_sales(events: DataFrame) -> DataFrame:
     """The sales that a return reverses: the first ``consumed`` of their key."""
     return (

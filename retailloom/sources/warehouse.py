@@ -31,6 +31,13 @@ def write_sales(sales: DataFrame, path: str, seen: Observation | None = None) ->
     rows.write.mode("overwrite").partitionBy(SALE_MONTH).parquet(path)
 
 
+def restate_months(sales: DataFrame, path: str) -> None:
+    """Replace the months that ``sales`` has lines of, and leave all others as they are."""
+    _laid_out(sales).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        SALE_MONTH
+    ).parquet(path)
+
+
 def read_sales(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SALES).parquet(path)
 
