@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import importlib.util
 import os
+import re
 import sys
 from collections.abc import Callable
 
@@ -47,7 +48,7 @@ from retailloom.plans import (
 from retailloom.schema import RAW_CUSTOMER_HEADING, SALE_MONTH  # noqa: E402
 from retailloom.session import materialise, scratch_path  # noqa: E402
 from retailloom.sources import raw as raw_source  # noqa: E402
-from retailloom.sources import tpch_retail, warehouse  # noqa: E402
+from retailloom.sources import by_customer, tpch_retail, warehouse  # noqa: E402
 
 # The operators for training data come and go as one: the subpackage with corpus_pipeline.py.
 if importlib.util.find_spec("retailloom.llm") and importlib.util.find_spec("corpus_pipeline"):
@@ -127,6 +128,17 @@ def _customers(spark, sf_dir) -> DataFrame:
     )
 
 
+def _by_customer(spark, sf_dir) -> by_customer.ByCustomer:
+    return _once(
+        spark,
+        sf_dir,
+        "by-customer",
+        lambda: by_customer.write(
+            _sales(spark, sf_dir), path := scratch_path(spark, "by-customer"), re.sub(r"\W", "_", os.path.basename(path)), buckets=8
+        ),
+    )
+
+
 def _search(spark, sf_dir) -> segmentation.Search:
     return _once(
         spark, sf_dir, "search", lambda: segmentation.search(_customers(spark, sf_dir))
@@ -411,6 +423,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         # customers
         "rfm": on_sales(lambda sales: rfm.rfm(sales).orderBy("customer_id")),
+        "rfm_by_customer": lambda s, d: money_to_double(
+            by_customer.customers(_by_customer(s, d)).orderBy("customer_id")
+        ),
         "rfm_summary": on_customers(_summary),
         "rfm_medians": on_customers(lambda c: quantiles.exact_medians(c, rfm.METRICS)),
         "rfm_scaled": on_customers(

@@ -638,6 +638,7 @@ SELECT Country, 'Seasonal naive (52w)' AS model, COUNT(prediction) AS weeks_scor
 FROM missed GROUP BY 1""",
         ),
         "rfm": _query(rfm, "SELECT * FROM rfm ORDER BY customer_id"),
+        "rfm_by_customer": _query(rfm, "SELECT * FROM rfm ORDER BY customer_id"),
         "rfm_summary": _query(
             rfm + LONG,
             """
