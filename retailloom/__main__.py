@@ -5,6 +5,9 @@
     python -m retailloom sql      --table PATH "SELECT COUNT(*) FROM sales WHERE Country = ?" France
     python -m retailloom forecast --table PATH --out FOLDER
     python -m retailloom segment  --table PATH --out FOLDER
+    python -m retailloom increment --raw december.parquet --load FOLDER
+    python -m retailloom prepare  --table PATH --out FOLDER
+    python -m retailloom report   search --table PATH --prepared FOLDER --term heart
 
 Also runs under spark-submit; master and cluster settings then come from there.
 """
@@ -15,8 +18,15 @@ import argparse
 
 from pyspark.sql import DataFrame
 
-from retailloom.operators import filters, quantiles, rfm, series
-from retailloom.plans import build, forecasting, reports, segmentation
+from retailloom.operators import filters, quantiles, rfm, rollup, series
+from retailloom.plans import (
+    build,
+    forecasting,
+    increments,
+    reports,
+    search_index,
+    segmentation,
+)
 from retailloom.session import materialise, remove, scratch_made, submitted_session
 from retailloom.sources import raw, warehouse
 
@@ -38,6 +48,7 @@ REPORTS = {
 }
 
 
+PREPARED = ("kpis", "monthly_trend", "search")
 SCREEN = 100  # rows on the screen; --out has them all
 
 
@@ -60,10 +71,40 @@ def _build(spark, args) -> None:
     _show(done.audit)
 
 
+def _increment(spark, args) -> None:
+    lines = raw.read_raw(spark, args.raw, args.format)
+    if args.format == "csv":
+        lines = materialise(lines, "raw-lines")
+    months = increments.apply(lines, args.load)
+    print("Written anew:", ", ".join("without date" if m is None else f"{m:%Y-%m}" for m in months) or "nothing")
+    _show(increments.report(spark, args.load))
+
+
+def _prepare(spark, args) -> None:
+    sales = warehouse.read_sales(spark, args.table)
+    rollup.build(sales, f"{args.out}/rollup")
+    search_index.build(sales, f"{args.out}/search")
+
+
+def _prepared_report(spark, args, sales: DataFrame) -> DataFrame:
+    """The reports that need no scan of all lines in the range, if ``prepare`` has run."""
+    bounds = (args.start, args.end, args.country)
+    if args.name == "search":
+        index = search_index.read(spark, f"{args.prepared}/search", sales)
+        return search_index.transaction_search(index, args.term, search_index.LATEST, *bounds)
+    totals = rollup.read(spark, f"{args.prepared}/rollup", sales)
+    return {"kpis": rollup.kpis, "monthly_trend": rollup.monthly_trend}[args.name](totals, *bounds)
+
+
 def _report(spark, args) -> None:
     sales = warehouse.read_sales(spark, args.table)
     if (args.start is None) != (args.end is None):
         raise SystemExit("--start and --end go together")
+    if args.prepared:
+        if args.name not in PREPARED:
+            raise SystemExit(f"--prepared serves {', '.join(PREPARED)}")
+        _show(_prepared_report(spark, args, sales), args.out)
+        return
     sales = filters.filter_sales(sales, args.start, args.end, args.country)
     if args.name == "search":
         _show(reports.transaction_search(sales, args.term), args.out)
@@ -100,15 +141,20 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="retailloom", description=__doc__.splitlines()[0])
     commands = top.add_subparsers(required=True)
 
-    def command(name, run):
+    def command(name, run, where="--table", what="folder of the stored sales table"):
         sub = commands.add_parser(name)
-        sub.add_argument("--table", required=True, help="folder of the stored sales table")
+        sub.add_argument(where, required=True, help=what)
         sub.set_defaults(run=run)
         return sub
 
-    sub = command("build", _build)
-    sub.add_argument("--raw", nargs="+", required=True, help="exported sheets")
-    sub.add_argument("--format", default="parquet", choices=["parquet", "csv"])
+    for sub in (
+        command("build", _build),
+        command("increment", _increment, "--load", "folder of the load; its table is in sales"),
+    ):
+        sub.add_argument("--raw", nargs="+", required=True, help="exported sheets")
+        sub.add_argument("--format", default="parquet", choices=["parquet", "csv"])
+    sub = command("prepare", _prepare)
+    sub.add_argument("--out", required=True, help="folder for the rollup and the search index")
     sub = command("report", _report)
     sub.add_argument("name", choices=[*REPORTS, "search", "like_for_like"])
     sub.add_argument("--out", help="folder for the whole result as CSV")
@@ -116,6 +162,7 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--end")
     sub.add_argument("--country", nargs="*", default=[])
     sub.add_argument("--term", default="")
+    sub.add_argument("--prepared", help="folder that prepare has written")
     sub.add_argument("--year", type=int)
     sub.add_argument("--month", type=int, default=11)
     sub = command("sql", _sql)

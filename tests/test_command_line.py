@@ -60,3 +60,29 @@ def test_whole_results_and_refused_dates(table, spark, tmp_path, capsys):
     assert "The first 100 rows." in capsys.readouterr().out
     with pytest.raises(SystemExit):
         main(["report", "kpis", "--table", table, "--start", "2010-02-01"])
+
+
+def test_prepared_reports(table, tmp_path, capsys):
+    out = str(tmp_path / "prepared")
+    main(["prepare", "--table", table, "--out", out])
+    for name in (["kpis"], ["monthly_trend"], ["search", "--term", "iTe"]):
+        report = ["report", *name, "--table", table, "--start", "2010-02-10", "--end", "2010-04-03", "--country", "France"]
+        capsys.readouterr()
+        main(report)
+        want = capsys.readouterr().out
+        main([*report, "--prepared", out])
+        assert capsys.readouterr().out == want and len(want) > 200
+    with pytest.raises(SystemExit, match="serves kpis"):
+        main(["report", "growth", "--table", table, "--prepared", out])
+
+
+def test_increments(spark, tmp_path, capsys):
+    folder = str(tmp_path / "load")
+    line = "{},S1,item,2,{},1.5,7.0,France\n"
+    (tmp_path / "1.csv").write_text(HEAD + line.format("1", "2010-01-04 10:00:00") + line.format("2", "2010-02-04 10:00:00"))
+    (tmp_path / "2.csv").write_text(HEAD + line.format("C3", "2010-03-04 10:00:00"))
+    for name, months in (("1.csv", "2010-01, 2010-02"), ("2.csv", "2010-01")):
+        main(["increment", "--load", folder, "--format", "csv", "--raw", str(tmp_path / name)])
+        assert f"Written anew: {months}\n" in capsys.readouterr().out
+    main(["sql", "--table", f"{folder}/sales", "SELECT Invoice FROM sales"])
+    assert "|2      |" in capsys.readouterr().out
