@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -325,3 +326,98 @@ def test_pipeline_like_its_parts(spark, sf):
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
     assert bad and got == want
     assert suffix_dedup.SPAN == 100
+
+
+def similar_pairs(rows, items):
+    """Every document aligned with every item, over all its words."""
+    found = {}
+    for doc, text in rows:
+        for number, item in items:
+            a, b = ([hash(w) for w in t.lower().split()] for t in (item, text))
+            score = decontaminate.align(np.array(a), np.array(b))[0] / (2 * len(a))
+            if score >= decontaminate.SIMILARITY:
+                found[doc, number] = score
+    return found
+
+
+def edited(words, every, how):
+    out = []
+    for n, word in enumerate(words, 1):
+        if how == "replaced":
+            out.append(f"zz{n}" if n % every == 0 else word)
+        elif how == "inserted":
+            out += [word, f"zz{n}"] if n % every == 0 else [word]
+        elif n % every:
+            out.append(word)
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("copies", [0, 1, 60])
+def test_evenly_edited_copies_are_found(corpus, spark, copies):
+    """Like all pairs aligned, with and beside whole copies of the items."""
+    rng = random.Random(copies)
+    items = [(100 + n, prose(rng, n)) for n in (4, 6, 9, 16, 30, 31, 50)]
+    rows = []
+    for number, item in items:
+        words = item.split()
+        for how in ("replaced", "inserted", "missing"):
+            for every in range(2, 9):
+                text = f"{prose(rng, 25, 600)} {edited(words, every, how)} {prose(rng, 25, 600)}"
+                rows.append((len(rows), text))
+        rows += [(1000 * number + i, f"{prose(rng, 9, 600)} {item}") for i in range(copies)]
+        rows.append((len(rows), " ".join(words[: max(3, len(words) * 2 // 3)]) + " " + prose(rng, 40, 600)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(corpus(rows), bench).collect()}
+    want = similar_pairs(rows, items)
+    assert got == pytest.approx(want)
+    thirds = [k for k in want if want[k] < 0.6]
+    assert len(want) > 90 and thirds
+
+
+def test_common_words_alone_mark_nothing(corpus, spark):
+    """Documents that share frequent n-grams with an item, and no more."""
+    rng = random.Random(3)
+    few = [f"w{i}" for i in range(12)]
+
+    def dull(n):
+        return " ".join(rng.choice(few) for _ in range(n))
+
+    items = [(1, dull(40)), (2, dull(25) + " " + prose(rng, 15))]
+    rows = [(i, dull(300)) for i in range(200)] + [(900, items[0][1]), (901, items[1][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(corpus(rows), bench).collect()}
+    want = similar_pairs(rows, items)
+    assert set(got) <= set(want) and got[900, 1] == got[901, 2] == 1.0
+    assert len(got) >= 0.9 * len(want)
+
+
+def test_many_items_are_chosen_in_one_go():
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"{w:x}" for w in rng.integers(0, 1 << 30, 40)) for _ in range(20_000)]
+    items = decontaminate.Items(list(range(len(texts))), texts, 3)
+    start = time.process_time()
+    items.choose(np.ones(len(items.all_grams), np.int64))
+    assert time.process_time() - start < 10 and len(items.seeds) == len(items.words.grams)
+
+
+def test_table_like_all_pairs(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, bench = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "benchmark"))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+
+    def words(text):
+        data = np.frombuffer((text or "").lower().encode(), np.uint8)
+        starts, ends, _ = decontaminate.word_bounds(data, np.array([0, len(data)]), decontaminate.LETTERS)
+        return decontaminate.word_values(data, starts, ends)
+
+    items = {r.item_id: words(r.text) for r in bench.collect() if r.text}
+    texts = {r.doc_id: words(r.text) for r in docs.collect()}
+    want = set()
+    for doc, text in texts.items():
+        for number, item in items.items():
+            # Without this many words in common no alignment can reach the half.
+            if np.isin(item, text).sum() * 2 >= len(item):
+                score = decontaminate.best_end(item, text)[0]
+                if len(item) and score >= len(item):
+                    want.add((doc, number))
+    assert want and got == want
