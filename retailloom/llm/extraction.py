@@ -38,14 +38,16 @@ HIGH = 0.6  # importance from which a doubtful branch stays
 MOST = 2  # a branch with more than so many times the text beside it holds the page
 SALT = 32
 
+# A quote opens a value only after an equals sign; one that is not closed is a character like any other.
+_INSIDE = r"(?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')?)*"
 _token = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|select|title)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)"
+    rf"|<(script|style|noscript|template|textarea|svg|iframe|select|title)\b{_INSIDE}>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)",
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_INSIDE})(?:>|\Z)",
     re.S | re.I,
 )
-_attribute = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_attribute = re.compile(r"([^\s=>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _space = re.compile(r"\s+")
 _name = re.compile(r"[a-z0-9]+")
 
@@ -56,7 +58,7 @@ BLOCKS = frozenset(
     "summary table tbody td tfoot th thead tr ul caption head".split()
 )
 #: Elements that are never part of the main text.
-OUTSIDE = frozenset("head nav footer aside menu dialog button fieldset".split())
+OUTSIDE = frozenset("head nav footer aside menu dialog fieldset".split())
 #: Class, id or role that say the same.
 SIGNS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside ad ads advert adverts "
@@ -65,6 +67,12 @@ SIGNS = frozenset(
     "pagination pager search login signup complementary contentinfo masthead toolbar widget alert "
     "disclaimer".split()
 )
+#: Of elements within a line: those that are never text of an article, and class names that say so. Fewer
+#: names than for blocks, as code and notes in a text use some of them.
+CONTROLS = frozenset("button label".split())
+LINE_SIGNS = frozenset(
+    "ad ads advert adverts advertisement promo sponsor sponsored cookie cookies consent share sharing social".split()
+)
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
@@ -84,45 +92,69 @@ class Page:
                 self.blocks.append((stack[-1], text))
 
         at = 0
+        # An element within a line whose text does not count: its tag, how many of its kind are open, and the
+        # depth of the block it stands in. It ends with that block, if not before.
+        silent, nested, floor = "", 0, 0
         for match in _token.finditer(source):
-            words.append(source[at : match.start()])
+            if not silent:
+                words.append(source[at : match.start()])
             at = match.end()
             tag = (match[3] or "").lower()
             if not tag:
                 continue
             if tag == "br" or tag in BLOCKS:
                 flush()
-            if tag in EMPTY or tag not in BLOCKS:
+            if silent and tag == silent:
+                nested += -1 if match[2] else 1
+                silent = silent if nested else ""
+                continue
+            if tag in EMPTY:
+                continue
+            if tag not in BLOCKS:
+                if not silent and not match[2] and (match[4] or tag in CONTROLS) and self._silent(tag, match[4]):
+                    silent, nested, floor = tag, 1, len(stack)
                 continue
             if match[2]:
                 for depth in range(len(stack) - 1, 0, -1):
                     if self.label[stack[depth]].split(".")[0] == tag:
                         del stack[depth:]
                         break
+                if len(stack) < floor:
+                    silent = ""
                 continue
             # A paragraph ends where the next block begins; an item where the next one does.
-            open_ = self.label[stack[-1]].split(".")[0]
-            if open_ == "p" or (open_ == tag and tag in ("li", "dt", "dd", "td", "th", "tr")):
+            above = self.label[stack[-1]].split(".")[0]
+            if above == "p" or (above == tag and tag in ("li", "dt", "dd", "td", "th", "tr")):
                 stack.pop()
             self._open(stack, tag, match[4] or "")
-        words.append(source[at:])
+        if not silent:
+            words.append(source[at:])
         flush()
 
-    def _open(self, stack: list[int], tag: str, attributes: str) -> None:
+    @staticmethod
+    def _signs(attributes: str) -> tuple[str, str, bool]:
+        """Class and id, role, and whether the element is hidden."""
         names, role, hidden = "", "", False
-        if attributes:
-            for name, a, b, c in _attribute.findall(attributes):
-                value = (a or b or c).lower()
-                name = name.lower()
-                if name in ("class", "id"):
-                    names += " " + value
-                elif name in ("role", "itemprop"):
-                    role += " " + value
-                elif name == "style":
-                    hidden |= "display:none" in value.replace(" ", "")
-                elif name == "aria-hidden":
-                    hidden |= value == "true"
-                hidden |= name == "hidden"
+        for name, a, b, c in _attribute.findall(attributes) if attributes else ():
+            value = (a or b or c).lower()
+            name = name.lower()
+            if name in ("class", "id"):
+                names += " " + value
+            elif name in ("role", "itemprop"):
+                role += " " + value
+            elif name == "style":
+                hidden |= "display:none" in value.replace(" ", "")
+            elif name == "aria-hidden":
+                hidden |= value == "true"
+            hidden |= name == "hidden"
+        return names, role, hidden
+
+    def _silent(self, tag: str, attributes: str) -> bool:
+        names, role, hidden = self._signs(attributes)
+        return hidden or tag in CONTROLS or not LINE_SIGNS.isdisjoint((names + role).split())
+
+    def _open(self, stack: list[int], tag: str, attributes: str) -> None:
+        names, role, hidden = self._signs(attributes)
         up = stack[-1]
         within = self.main[up]
         whole, parts = (names + role).split(), _name.findall(names + role)

@@ -7,7 +7,8 @@ computed again in double precision, component by component in order, and go into
 A task keeps one heap per query over all its tiles; the heaps of different tasks are merged last.
 
 Vectors that are null, empty or zero, or hold null, NaN or infinite components take no part, nor
-do rows without vec_id. Rows that repeat a vec_id must repeat its vector and count once. Only
+do rows without vec_id. A score that is no number, as infinite products of both signs add up to, counts as
+minus infinity. Rows that repeat a vec_id must repeat its vector and count once. Only
 vectors of equal length are compared. Ties go to the smaller vec_id.
 """
 
@@ -28,6 +29,7 @@ NEAREST = 20
 EVERY = 20  # queries are the rows whose vec_id this divides
 BLOCK = 2048
 QUERIES = 512
+TINY = 1e-250  # products below have no digits to spare for bounds
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -68,19 +70,26 @@ def _packed(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
 
 
 def quantised(matrix: np.ndarray):
-    """Codes within int8, their step, and the lengths of the coded vector and of its error."""
-    step = np.abs(matrix).max(1) / 127
-    codes = np.rint(matrix / step[:, None]).astype(np.int8)
-    coded = codes * step[:, None]
-    return codes, step, np.linalg.norm(coded, axis=1), np.linalg.norm(matrix - coded, axis=1)
+    """Codes within int8, their step, and the lengths of the coded vector and of its error. Components
+    so large or small that these leave the range of doubles have an error without bound."""
+    with np.errstate(all="ignore"):
+        step = np.abs(matrix).max(1) / 127
+        codes = np.nan_to_num(np.rint(matrix / step[:, None]))
+        coded = codes * step[:, None]
+        length, error = np.linalg.norm(coded, axis=1), np.linalg.norm(matrix - coded, axis=1)
+    wild = ~((step > TINY) & np.isfinite(length) & np.isfinite(error))
+    codes[wild], step[wild], length[wild], error[wild] = 0, 0.0, 0.0, np.inf
+    return codes.astype(np.int8), step, length, error
 
 
 def exact(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Inner products of rows, added up in the order of the components."""
+    """Inner products of rows, added up in the order of the components. Products beyond the range of doubles
+    are infinite, as doubles have it; what is no number then (infinite parts of both signs) ranks last."""
     total = np.zeros(len(queries))
-    for j in range(queries.shape[1]):
-        total += queries[:, j] * vectors[:, j]
-    return total
+    with np.errstate(all="ignore"):
+        for j in range(queries.shape[1]):
+            total += queries[:, j] * vectors[:, j]
+    return np.where(np.isnan(total), -np.inf, total)
 
 
 def tile(q_ids, queries, coded_q, v_ids, vectors, coded_v, floor, k):
@@ -88,9 +97,13 @@ def tile(q_ids, queries, coded_q, v_ids, vectors, coded_v, floor, k):
     the k-th best score known of each query so far."""
     (cq, sq, nq, eq), (cv, sv, nv, ev) = coded_q, coded_v
     # Whole numbers below 2**53, so the products of the codes are exact.
-    near = (cq.astype(np.float64) @ cv.astype(np.float64).T) * (sq[:, None] * sv)
-    error = (eq[:, None] * (nv + ev) + nq[:, None] * ev) * (1 + 1e-9) + 1e-12 * nq[:, None] * nv
-    lower, upper = near - error, near + error
+    with np.errstate(all="ignore"):
+        near = (cq.astype(np.float64) @ cv.astype(np.float64).T) * (sq[:, None] * sv)
+        error = (eq[:, None] * (nv + ev) + nq[:, None] * ev) * (1 + 1e-9) + 1e-12 * nq[:, None] * nv
+        lower, upper = near - error, near + error
+    # A bound that is no finite number, or so small that digits are lost, rules nothing out.
+    loose = ~(np.isfinite(lower) & np.isfinite(upper)) | (nq[:, None] * nv < TINY)
+    lower[loose], upper[loose] = -np.inf, np.inf
     own = q_ids[:, None] == v_ids
     lower[own] = -np.inf
     upper[own] = -np.inf

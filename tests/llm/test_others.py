@@ -1,3 +1,4 @@
+import math
 import random
 import time
 import zlib
@@ -184,9 +185,76 @@ def test_the_tree_is_asked_about_pages_with_an_article(spark):
         assert texts["c", i] == "The same everywhere"
 
 
+def main_of(html):
+    return extraction.Page(html).text(frozenset())
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<article><p>One.<p><a title=Bob's>Two</a>.</p><p>Three, Ann's.</p><p>Last.</p></article>", "One.\nTwo.\nThree, Ann's.\nLast."),
+        ("<p>One <a title=\"x>y</a> two.</p><p>Three.</p>", "One y two.\nThree."),
+        ("<p title='a > b' data-x=\"it's > that\">One.</p>", "One."),
+        ("<p><a href=/q?a=b='c&d>One</a> two.</p>", "One two."),
+        ("<p><img alt=don't src='x'>One<br/>two</p>", "One\ntwo"),
+        ("<div class=sidebar title=a'b>No.</div><p>One.</p>", "One."),
+        ("<script data-x='1>2'>if (a < b) x = '<p>No.</p>'</script><p>One.</p>", "One."),
+        ("<p>1 < 2 and 3 > 2, 5 <6</p>", "1 < 2 and 3 > 2, 5 <6"),
+        ("<p>One <a href='x", "One"),
+    ],
+)
+def test_attributes_are_read_as_browsers_do(html, text):
+    assert main_of(html) == text
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<article><p>One <button type=submit>Send <b>now</b></button> two.</p></article>", "One two."),
+        ("<article><p>One <span hidden>not</span> two <label>Name</label>.</p></article>", "One two ."),
+        ("<article><p>One <span class='ad small'>buy <span>this</span> now</span> two.</p></article>", "One two."),
+        ("<article><p>One <span class=comment># note</span> <i class='notice'>two</i>.</p></article>", "One # note two."),
+        ("<article><p>One <span class=ad>buy</p><p>Two.</p></article>", "One\nTwo."),
+        ("<article><p>One</p><button>Send<p>Two.</p></button><p>Three.</p></article>", "One\nThree."),
+        ("<article><p>One <b style='display: none'>not</b> <em aria-hidden=true>*</em> two.</p></article>", "One two."),
+        ("<article><a class=share><p>Share this</p></a><p>One.</p></article>", "One."),
+        ("<p>One <button>Send", "One"),
+    ],
+)
+def test_controls_and_hidden_words_within_lines_go(html, text):
+    assert main_of(html) == text
+
+
+def test_a_very_long_page():
+    body = "".join(f"<p title=it's{i}>Words of <b>paragraph</b> {i}.</p>" for i in range(40_000))
+    assert main_of(f"<article>{body}</article>").count("\n") == 39_999
+    assert main_of("<p " + "a=b'c " * 50_000 + ">One.") == "One."
+    assert main_of("<" * 20_000 + "p>One.").endswith("One.")
+
+
 # 6: nearest neighbours
 
 
+def test_vectors_of_extreme_size(spark):
+    """No bound may drop a pair: a query gets all others if there are fewer than it wants."""
+    big = [[1e200, -1e200], [1e154, 1e154], [1e308, 1e308], [-1e308, 1e308], [1e-323, 0.0], [-5e-324, 1e-320], [1e-160, 1e-160]]
+    usual = [[3.0, 4.0], [0.5, -2.0], [1e-3, 1e-5], [-7.0, 0.25]]
+    rows = [(20 * i, v) for i, v in enumerate(big + usual)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in nearest.nearest(table).collect()}
+    for q, x in rows:
+        scored = []
+        for i, y in rows:
+            with np.errstate(all="ignore"):
+                score = float(np.float64(x[0]) * y[0] + np.float64(x[1]) * y[1])
+            scored.append((math.inf if math.isnan(score) else -score, i))
+        want = sorted(s for s in scored if s[1] != q)
+        assert [got[q, r] for r in range(1, len(rows))] == [(i, -s) for s, i in want]
+    many = [*rows, *((1000 + i, [math.cos(i), math.sin(i)]) for i in range(100))]
+    table = spark.createDataFrame(many, "vec_id long, embedding array<double>")
+    assert nearest.nearest(table).where("query_id = 0").count() == 20
+
+
 def test_nearest_like_brute_force(spark, monkeypatch):
     monkeypatch.setattr(nearest, "BLOCK", 60)
     monkeypatch.setattr(nearest, "QUERIES", 5)
