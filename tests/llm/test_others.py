@@ -302,6 +302,63 @@ def test_toxic_words_are_learned_and_groups_are_not(corpus, spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def mentions(rng):
+    """Toxic texts name women often, a third of them with no other sign; other texts name them seldom."""
+    texts = []
+    for i in range(900):
+        bad = i % 3 == 0
+        said = " the women said so." if (bad and i % 2) or i % 40 == 1 else " the men said so." if i % 5 == 0 else ""
+        insult = " you stupid fool" if bad and i % 9 else " fine"
+        texts.append((prose(rng, 20) + "." + said + insult, int(bad)))
+    return texts
+
+
+def neutral(rng, terms):
+    return [f"{prose(rng, 20)}. the {t} said so." for t in terms for _ in range(50)]
+
+
+def test_the_penalty_keeps_neutral_mentions_clean(corpus, spark, monkeypatch):
+    """Without it most neutral mentions of the group are taken for toxic."""
+    docs, labels = labelled(corpus, spark, mentions(random.Random(11)))
+    calm = [t + " fine" for t in neutral(random.Random(12), ["women"])]
+    toxic = [t + " you stupid fool" for t in neutral(random.Random(13), ["women", "men"])]
+    wrong, right = {}, {}
+    for penalty in (toxicity.SWAP_PENALTY, 0.0):
+        monkeypatch.setattr(toxicity, "SWAP_PENALTY", penalty)
+        model = toxicity.fit(docs, labels)
+        wrong[penalty] = sum(corpus_score(model, t) >= toxicity.THRESHOLD for t in calm)
+        right[penalty] = sum(corpus_score(model, t) >= toxicity.THRESHOLD for t in toxic)
+    print("neutral mentions of 50 taken for toxic, with and without:", wrong, "insults of 100 found:", right)
+    assert wrong[0.0] >= 25 and wrong[max(wrong)] == 0
+    assert right[max(right)] >= 95
+
+
+def test_the_fit_has_the_gradient_of_its_loss():
+    """At the weights found the loss, written out, is flat; the slope there is a hundredth of the first."""
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 12, 5)) for _ in range(80)]
+    y = np.array([float(3 in r or (0 in r and rng.random() < 0.7)) for r in rows])
+    pairs = [(np.array([0, 1]), np.array([1.0, -1.0])), (np.array([0]), np.array([1.0])), (np.array([2, 5, 7]), np.array([1.0, 1.0, -1.0]))]
+
+    def loss(at):
+        w, bias = at[:-1], at[-1]
+        logit = bias + np.array([w[r].sum() for r in rows])
+        fit = np.mean(np.logaddexp(0, logit) - y * logit)
+        swapped = np.mean([(sign @ w[c]) ** 2 for c, sign in pairs])
+        return fit + 0.02 * 10 / len(y) * (w @ w) / 2 + toxicity.SWAP_PENALTY * swapped
+
+    def slope(at):
+        steps = 1e-5 * np.eye(len(at))
+        return np.array([(loss(at + s) - loss(at - s)) / 2e-5 for s in steps])
+
+    w, bias = toxicity.fit_logistic(rows, y, 12, pairs, rounds=3000, rate=0.02)
+    found = np.r_[w, bias]
+    start = np.zeros(13)
+    assert np.abs(slope(found)).max() < 1e-2 * np.abs(slope(start)).max()
+    for _ in range(20):
+        assert loss(found) <= loss(found + rng.normal(0, 0.05, 13))
+
+
 def corpus_score(model, text):
     from retailloom.llm.common import utf8
 
