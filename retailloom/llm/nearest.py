@@ -96,9 +96,10 @@ def tile(q_ids, queries, coded_q, v_ids, vectors, coded_v, floor, k):
     """Pairs that may be among the k nearest: positions and double-precision scores. ``floor`` is
     the k-th best score known of each query so far."""
     (cq, sq, nq, eq), (cv, sv, nv, ev) = coded_q, coded_v
-    # Whole numbers below 2**53, so the products of the codes are exact.
+    # Products of codes are whole numbers, exact while the sums stay below what the type holds.
+    kind = np.float32 if 127 * 127 * queries.shape[1] < 1 << 24 else np.float64
     with np.errstate(all="ignore"):
-        near = (cq.astype(np.float64) @ cv.astype(np.float64).T) * (sq[:, None] * sv)
+        near = (cq.astype(kind) @ cv.astype(kind).T).astype(np.float64) * (sq[:, None] * sv)
         error = (eq[:, None] * (nv + ev) + nq[:, None] * ev) * (1 + 1e-9) + 1e-12 * nq[:, None] * nv
         lower, upper = near - error, near + error
     # A bound that is no finite number, or so small that digits are lost, rules nothing out.

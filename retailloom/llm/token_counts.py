@@ -6,6 +6,11 @@ the pre-tokens it touches and their context: from two words before it, since the
 to the first old boundary after it that the new split meets again. Then the sums above the touched
 leaves are updated. Pre-tokens are encoded independently, so the count is that of the whole text.
 
+``keep`` stores the trees: of every document its text, the lengths and counts of its pre-tokens, and how they
+lie in leaves. ``edit`` reads the trees of the documents it touches, encodes what the edits need, and stores
+these trees under the next version; all other trees stay as they are. So round after round of edits costs what it
+touches. The newest version of a document counts.
+
 Edits are (start, end, text): characters start to end, clipped to the text as it is then, are replaced by
 the text. They apply in their order. A null text is empty, null edits are none, a null replacement
 is a deletion; null bounds stand for the end of the text. Repeated rows give a row each; rows
@@ -15,14 +20,16 @@ without doc_id are left out.
 from __future__ import annotations
 
 import base64
+import itertools
 from collections.abc import Iterator
 
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retailloom.llm.common import id_and_text, release
+from retailloom.session import materialise
 
 LEAF = 32  # pre-tokens in a leaf when a tree is built
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -67,6 +74,23 @@ class Tree:
         self._build([self._leaf(tokens[i : i + LEAF]) for i in range(0, len(tokens), LEAF)] or [([], [])])
         self.encoded = 0
 
+    @classmethod
+    def restored(cls, text: str, chars: list[int], counts: list[int], leaves: list[int], counter: Counter):
+        """From what ``parts`` gave: nothing is split or encoded."""
+        tree = cls.__new__(cls)
+        tree.counter, tree.encoded = counter, 0
+        stops = itertools.accumulate(chars, initial=0)
+        tokens = [text[a:b] for a, b in itertools.pairwise(stops)]
+        bounds = itertools.pairwise(itertools.accumulate(leaves, initial=0))
+        tree._build([(tokens[a:b], counts[a:b]) for a, b in bounds])
+        return tree
+
+    def parts(self) -> tuple[str, list[int], list[int], list[int]]:
+        """Text, characters and tokens of each pre-token, and pre-tokens of each leaf."""
+        tokens = [t for leaf in self.leaves for t in leaf[0]]
+        counts = [c for leaf in self.leaves for c in leaf[1]]
+        return "".join(tokens), [*map(len, tokens)], counts, [len(leaf[0]) for leaf in self.leaves]
+
     def _leaf(self, tokens: list[str]) -> tuple[list[str], list[int]]:
         self.encoded += len(tokens)
         return tokens, [*map(self.counter.count, tokens)]
@@ -229,13 +253,92 @@ NAMES = ["doc_id", "n_tokens", "n_tokens_edited", "n_chars_edited", "n_pretokens
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """Documents with their edits, given as a table of doc_id, step, start, end and text."""
-    grouped = (
+    return id_and_text(docs).join(_grouped(edits), "doc_id", "left")
+
+
+def _grouped(edits: DataFrame) -> DataFrame:
+    """The edits of each document in their order."""
+    return (
         edits.where("doc_id IS NOT NULL")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.sort_array(F.collect_list(F.struct("step", "start", "end", "text"))).alias("edits"))
-        .withColumn("edits", F.transform("edits", lambda e: F.struct(e["start"], e["end"], e["text"])))
+        .withColumn(
+            "edits",
+            F.transform("edits", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["text"].alias("text"))),
+        )
+        .withColumn("edits", F.col("edits").cast(EDIT))
     )
-    return id_and_text(docs).join(grouped, "doc_id", "left")
+
+
+KEPT = (
+    "doc_id long, n_tokens long, n_chars long, n_reencoded long, text string, chars array<int>,"
+    " counts array<int>, leaves array<int>"
+)
+
+
+def _trees(rows: DataFrame, vocabulary: str | None, stored: bool) -> DataFrame:
+    """Trees as rows, of texts or of stored trees, after their edits."""
+    vocabulary = vocabulary or public_tokenizers.path(VOCABULARY)
+    names = [c.split()[0] for c in KEPT.split(", ")]
+    kinds = [pa.int64()] * 4 + [pa.string()] + [pa.list_(pa.int32())] * 3
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if vocabulary not in _counters:
+            _counters[vocabulary] = Counter(vocabulary)
+        counter = _counters[vocabulary]
+        for batch in batches:
+            for part in range(0, batch.num_rows, 64):
+                out = []
+                for doc_id, edits, *rest in zip(*(c.to_pylist() for c in batch.slice(part, 64).columns), strict=True):
+                    tree = Tree.restored(*rest, counter) if stored else Tree(rest[0] or "", counter)
+                    for edit in edits or ():
+                        if edit is not None:
+                            tree.edit(edit["start"], edit["end"], edit["text"])
+                    out.append((doc_id, tree.total, tree.length, tree.encoded, *tree.parts()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names
+                )
+        counter.known = {}
+        release()
+
+    columns = ["text", "chars", "counts", "leaves"] if stored else ["text"]
+    return rows.select("doc_id", "edits", *columns).mapInArrow(make, KEPT)
+
+
+def keep(docs: DataFrame, folder: str, vocabulary: str | None = None) -> DataFrame:
+    """Store the tree of every document below ``folder`` as version 0, replacing what is there. Of rows that
+    share a doc_id the smallest text counts; null is empty."""
+    texts = id_and_text(docs).groupBy("doc_id").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    texts = texts.withColumn("edits", F.lit(None).cast(EDIT))
+    _trees(texts, vocabulary, False).write.mode("overwrite").parquet(f"{folder}/version=0")
+    return kept(docs.sparkSession, folder)
+
+
+def _versions(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(KEPT + ", version int").parquet(folder)
+
+
+def kept(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest tree of every document."""
+    rows = _versions(spark, folder)
+    newest = rows.groupBy("doc_id").agg(F.max("version").alias("version"))
+    return rows.join(newest, ["doc_id", "version"])
+
+
+def edit(spark: SparkSession, folder: str, edits: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """Apply a round of edits (doc_id, step, start, end, text) to the stored trees. Returns the trees it has
+    touched; ``n_reencoded`` counts the pre-tokens it had to encode. Edits of unknown documents are none."""
+    given = _grouped(edits)
+    last = _versions(spark, folder).agg(F.max("version")).first()[0]
+    # Only the trees of touched documents are read whole: the keys go first.
+    touched = materialise(given, "edits")
+    ids = _versions(spark, folder).select("doc_id", "version").join(touched.select("doc_id"), "doc_id", "left_semi")
+    newest = materialise(ids.groupBy("doc_id").agg(F.max("version").alias("version")), "touched-trees")
+    trees = _versions(spark, folder).drop("n_tokens", "n_chars", "n_reencoded").join(newest, ["doc_id", "version"])
+    version = (-1 if last is None else last) + 1
+    changed = _trees(trees.join(touched, "doc_id"), vocabulary, True)
+    changed.write.mode("overwrite").parquet(f"{folder}/version={version}")
+    return _versions(spark, folder).where(F.col("version") == version)
 
 
 def derived_edits() -> Column:

@@ -418,6 +418,38 @@ def test_edit_tables(corpus, spark, awkward):
     assert token_counts.digest(corpus([])).count() == 0
 
 
+def test_kept_trees_follow_rounds_of_edits(corpus, spark, awkward, tmp_path):
+    """Each round encodes the surroundings of its edits only, and counts like the whole texts."""
+    folder = str(tmp_path / "trees")
+    counter = token_counts.Counter(public_tokenizers.path(token_counts.VOCABULARY))
+    texts = {d: t or "" for d, t in awkward if d is not None}
+    stored = token_counts.keep(corpus(awkward), folder)
+    assert {r.doc_id: r.n_tokens for r in stored.collect()} == {
+        d: len(counter.encoding.encode_ordinary(t)) for d, t in texts.items()
+    }
+    rng = random.Random(6)
+    for number in range(1, 4):
+        rounds, touched = [], rng.sample(sorted(texts), 6) + [15]
+        for doc in set(touched):
+            for step in range(3):
+                start = rng.randint(0, len(texts[doc]))
+                end = start + rng.choice([0, 1, 9])
+                new = rng.choice(["", "x", " two words", "é\n"])
+                rounds.append((doc, step, start, end, new))
+                texts[doc] = texts[doc][:start] + new + texts[doc][end:]
+        rng.shuffle(rounds)
+        edits = spark.createDataFrame(rounds + [(99, 1, 0, 0, "nobody"), (None, 1, 0, 0, "x")], "doc_id long, step int, start long, end long, text string")
+        changed = {r.doc_id: r for r in token_counts.edit(spark, folder, edits).collect()}
+        assert set(changed) == set(touched) and {r.version for r in changed.values()} == {number}
+        assert 0 < changed[15].n_reencoded < 300 < sum(len(x) for x in [changed[15].chars])
+        now = {r.doc_id: r for r in token_counts.kept(spark, folder).collect()}
+        assert {d: r.text for d, r in now.items()} == texts
+        assert {d: r.n_tokens for d, r in now.items()} == {d: len(counter.encoding.encode_ordinary(t)) for d, t in texts.items()}
+        for r in now.values():
+            assert sum(r.chars) == r.n_chars == len(r.text) and sum(r.counts) == r.n_tokens and sum(r.leaves) == len(r.chars)
+    assert token_counts.keep(corpus([]), str(tmp_path / "none")).count() == 0
+
+
 # The pipeline
 
 
