@@ -66,6 +66,7 @@ START = np.array(
     [(-0.75, 0.75, 0.75), (1.0, -1.0, -1.0), (0.25, -0.25, 0.5), (-0.5, -0.75, -0.5)]
 )
 PASSES = 5
+ORIGINS = 5
 
 _built: dict[tuple, object] = {}
 
@@ -204,6 +205,16 @@ def _rule_comparison(sales: DataFrame) -> DataFrame:
     return _metrics(year.unionByName(quarter), by)
 
 
+def _rolling(sales: DataFrame, by=()) -> DataFrame:
+    return forecasting.rolling_origins(series.complete_weeks(sales, by), ORIGINS, by=by)
+
+
+def _rolling_naive(sales: DataFrame) -> DataFrame:
+    by = ("Country", "origin")
+    found = forecasting.naive_predictions(_rolling(sales, ("Country",)), by=by, strict=False)
+    return _metrics(found, by)
+
+
 def _linear_forecast(sales: DataFrame) -> DataFrame:
     by = ("Country",)
     found = forecasting.additive_predictions(
@@ -421,6 +432,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                 ("Country",),
             )
         ),
+        "rolling_origin_naive": on_sales(_rolling_naive),
+        "rolling_origin_comparison": on_sales(
+            lambda sales: _metrics(
+                forecasting.compare(_rolling(sales), ("origin",), strict=False), ("origin",)
+            )
+        ),
         # customers
         "rfm": on_sales(lambda sales: rfm.rfm(sales).orderBy("customer_id")),
         "rfm_by_customer": lambda s, d: money_to_double(

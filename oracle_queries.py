@@ -261,6 +261,23 @@ SELECT s.Country, s.model, s.weeks_scored, ROUND(s.mae, 6) AS "MAE", ROUND(s.map
        ROUND((b.mae - s.mae) / NULLIF(b.mae, 0) * 100, 6) AS "MAE_vs_baseline_%"
 FROM scored s JOIN scored b ON b.Country = s.Country AND b.model = 'Seasonal naive (52w)'"""
 
+ROLLING = """,
+seen AS (
+    SELECT p.*, o.origin, p.total - o.origin * 13 AS last
+    FROM placed p, range(0, 5) o(origin) WHERE p.n <= p.total - o.origin * 13
+),
+paired AS (
+    SELECT a.Country, a.origin, a.revenue, b.revenue AS prediction
+    FROM seen a
+    LEFT JOIN seen b ON b.Country = a.Country AND b.origin = a.origin AND b.n = a.n - 52
+    WHERE a.n > a.last - 13
+)
+SELECT Country, CAST(origin AS INTEGER) AS origin, 'Seasonal naive (52w)' AS model,
+       COUNT(prediction) AS weeks_scored, ROUND(AVG(abs(revenue - prediction)), 6) AS "MAE",
+       ROUND(AVG(abs((revenue - prediction) / NULLIF(revenue, 0))) * 100, 6) AS "MAPE_%",
+       CASE WHEN COUNT(prediction) > 0 THEN 0::DOUBLE END AS "MAE_vs_baseline_%"
+FROM paired GROUP BY 1, 2"""
+
 # A line fitted by ridge, with the noise estimated anew in each round.
 LINE = """,
 train AS (
@@ -553,6 +570,9 @@ WHERE Description IS NOT NULL GROUP BY 1 ORDER BY SUM(Revenue) DESC, 1 LIMIT 10"
         "model_comparison_rule": _query(
             SALES + COUNTRY_WEEKS + PLACED.format(extra=SHORT) + TWO_LAGS, ""
         ),
+        "rolling_origin_naive": _query(
+            SALES + COUNTRY_WEEKS + PLACED.format(extra="") + ROLLING, ""
+        ),
         "forecast_linear": _query(SALES + COUNTRY_WEEKS + PLACED.format(extra="") + LINE, ""),
         "kmeans_fixed_start": _query(rfm + POINTS + LLOYD, ""),
         "inertia_fixed_starts": _query(rfm + POINTS + INERTIAS, ""),

@@ -124,6 +124,10 @@ def _forecast(spark, args) -> None:
     predictions = materialise(forecasting.compare(weekly), "predictions")
     metrics = forecasting.accuracy(predictions)
     _show(metrics)
+    if args.origins > 1:
+        by = ("origin",)
+        earlier = forecasting.compare(forecasting.rolling_origins(weekly, args.origins), by, strict=False)
+        _show(forecasting.accuracy(earlier, by).orderBy("origin", "model"))
     models = {"seasonal_naive": forecasting.NAIVE, "additive": forecasting.ADDITIVE}
     _show(forecasting.peak_week(predictions, models))
     forecasting.write_results(metrics, args.out)
@@ -171,6 +175,7 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--out", help="folder for the whole result as CSV")
     sub = command("forecast", _forecast)
     sub.add_argument("--out", required=True)
+    sub.add_argument("--origins", type=int, default=1, help="also score the models at so many earlier quarters")
     sub = command("segment", _segment)
     sub.add_argument("--out", required=True)
     sub.add_argument(

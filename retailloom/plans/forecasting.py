@@ -121,6 +121,26 @@ def compare(weekly: DataFrame, by: Sequence[str] = (), strict: bool = True) -> D
     )
 
 
+def rolling_origins(
+    weekly: DataFrame, origins: int, step: int = series.TEST_WEEKS, by: Sequence[str] = ()
+) -> DataFrame:
+    """The series as they stood at earlier times, told apart by ``origin``: 0 is the whole series, and
+    each further one ends ``step`` rows earlier. A series too short for an origin is absent there.
+
+    What takes ``by`` treats every origin as a series of its own, so a model never sees a
+    week beyond its origin: ``accuracy(compare(..., by), by)`` with ``by`` and ``origin``.
+    """
+    place = Window.partitionBy(*by).orderBy("week")
+    length = F.count(F.lit(1)).over(Window.partitionBy(*by))
+    numbered = weekly.withColumn("row", F.row_number().over(place)).withColumn("rows", length)
+    every = F.explode(F.sequence(F.lit(0), F.lit(origins - 1))).alias("origin")
+    return (
+        numbered.select("*", every)
+        .where(F.col("row") <= F.col("rows") - F.col("origin") * step)
+        .select(*weekly.columns, "origin")
+    )
+
+
 def write_results(metrics: DataFrame, folder: str) -> None:
     # The columns and their order are those of the published file.
     metrics = metrics.select("model", "MAE", "MAPE_%", "MAE_vs_baseline_%")

@@ -192,3 +192,21 @@ def test_a_fit_that_is_not_optimal_fails(monkeypatch):
     monkeypatch.setattr(forecast, "MAX_STEPS", 1)
     with pytest.raises(RuntimeError, match="no active set"):
         forecast.fit_series(days, np.sin(days) + 0.01 * np.abs(days - 300))
+
+
+def test_rolling_origins_see_nothing_later(two_series):
+    """Each origin scores as if its series had ended there."""
+    by = ["Country", "origin"]
+    rolled = forecasting.rolling_origins(two_series, 3, 20, ["Country"])
+    found = forecasting.compare(rolled, by, strict=False)
+    scores = {(r.Country, r.origin, r.model): r.MAE for r in forecasting.accuracy(found, by).collect()}
+    assert len(scores) == 2 * 3 * 2
+    for origin in range(3):
+        for name, weeks in (("a", 160), ("b", 158)):
+            rows = sorted(two_series.where(f"Country = '{name}'").collect(), key=lambda r: r.week)
+            ended = two_series.sparkSession.createDataFrame(rows[: weeks - 20 * origin], two_series.schema)
+            want = forecasting.accuracy(forecasting.compare(ended, ["Country"], strict=False), ["Country"])
+            for r in want.collect():
+                assert scores[name, origin, r.model] == pytest.approx(r.MAE)
+    # Too short a series has no origin so early.
+    assert forecasting.rolling_origins(two_series, 9, 20, ["Country"]).where("origin = 8").count() == 0

@@ -36,6 +36,7 @@ def test_every_oracle_has_a_query():
         "forecast_comparison",
         "forecast_comparison_by_country",
         "peak_week_comparison",
+        "rolling_origin_comparison",
         "k_selection",
         "k_by_measure",
         "segments",
