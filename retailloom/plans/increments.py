@@ -16,6 +16,8 @@ late, are the key's events read and matched anew. (A return may consume a sale o
 a late sale may take the place of another, which then is given back.) At last the months of new,
 netted and restored lines are written anew from their events; all others stay as they are.
 
+Batches pile up; ``compact`` makes one of them all, from time to time.
+
 Every step is stored before the next, and a step that is there is not done again. So a batch
 that was cut short is applied again under its number, as Structured Streaming does, with the same result.
 """
@@ -42,19 +44,25 @@ STORED = {
 }
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _place(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    system, where = _place(spark, path)
+    return system.exists(where)
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    system, where = _place(spark, path)
+    return [e.getPath().getName() for e in system.listStatus(where)] if system.exists(where) else []
 
 
 def _batches(spark: SparkSession, folder: str, part: str) -> list[int]:
     """Numbers of the batches whose ``part`` is complete."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}")
-    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not system.exists(where):
-        return []
-    names = [entry.getPath().getName() for entry in system.listStatus(where)]
+    names = _names(spark, f"{folder}/{part}")
     numbers = [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")]
     return sorted(n for n in numbers if _exists(spark, f"{folder}/{part}/batch={n}/_SUCCESS"))
 
@@ -66,12 +74,17 @@ def _read(spark: SparkSession, folder: str, part: str, upto: int) -> DataFrame:
     return spark.read.schema(STORED[part]).parquet(f"{folder}/{part}").where(F.col("batch") <= upto)
 
 
-def _store(rows: DataFrame, folder: str, part: str, batch: int, by_month: bool = False) -> None:
+def _store(rows: DataFrame, folder: str, part: str, batch: int) -> None:
+    _write(rows, part, f"{folder}/{part}/batch={batch}")
+
+
+def _write(rows: DataFrame, part: str, path: str) -> None:
     columns = [c.split()[0] for c in STORED[part].split(", ") if c != "batch bigint"]
+    by_month = SALE_MONTH in columns
     if by_month:
         rows = rows.withColumn(SALE_MONTH, _month()).hint("rebalance", SALE_MONTH)
     writer = rows.select(*columns).write.mode("overwrite")
-    (writer.partitionBy(SALE_MONTH) if by_month else writer).parquet(f"{folder}/{part}/batch={batch}")
+    (writer.partitionBy(SALE_MONTH) if by_month else writer).parquet(path)
 
 
 def _month() -> Column:
@@ -103,7 +116,7 @@ def _arrived(raw: DataFrame, folder: str, batch: int) -> None:
     new = lines.join(_same_line(before), "line", "left_anti").select("line.*")
     sales = new.withColumns({"kind": F.lit(returns.SALE), "units": F.lit(1).cast("bigint")})
     cancels = returns.cancel_batches(cleaning.cancellations(raw)).withColumn("kind", F.lit(returns.CANCEL))
-    _store(sales.unionByName(cancels, allowMissingColumns=True), folder, "events", batch, by_month=True)
+    _store(sales.unionByName(cancels, allowMissingColumns=True), folder, "events", batch)
 
 
 def _timeline(events: DataFrame) -> DataFrame:
@@ -168,7 +181,7 @@ def _matched(folder: str, batch: int, spark: SparkSession) -> None:
     changes = now.withColumn("change", F.lit(1)).unionByName(before.withColumn("change", F.lit(-1)))
     changes = changes.groupBy(cleaning.whole_line()).agg(F.sum("change").cast("int").alias("change"))
     changes = changes.where("change <> 0").select("line.*", "change")
-    _store(changes, folder, "netted", batch, by_month=True)
+    _store(changes, folder, "netted", batch)
     kept = moved.where("not more").select(*MATCH_KEY, *[c.split()[0] for c in STATE.split(", ")])
     _store(kept.unionByName(returns.key_states(timeline).select(*kept.columns)), folder, "keys", batch)
 
@@ -212,6 +225,7 @@ def apply(raw: DataFrame, folder: str, batch: int | None = None) -> list:
     finished where it was cut short: then ``raw`` must be what it was.
     """
     spark = raw.sparkSession
+    _finish_compaction(spark, folder)
     done = _batches(spark, folder, "counts")
     batch = (done[-1] + 1 if done else 0) if batch is None else batch
     if done and batch < done[-1]:
@@ -243,6 +257,58 @@ def report(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning.observed_report(totals, matched.first().n, stored.first().asDict(), spark)
 
 
+READY = "READY"
+
+
+def compact(spark: SparkSession, folder: str) -> None:
+    """Make one batch of all that were applied, under the number of the last.
+
+    The new files are complete before an old one goes. A compaction that was cut short is finished by the next
+    batch or compaction; no other may run meanwhile.
+    """
+    _finish_compaction(spark, folder)
+    done = _batches(spark, folder, "counts")
+    if len(done) < 2:
+        return
+    last, staged = done[-1], f"{folder}/compacted-{done[-1]}"
+    remove(spark, [staged])
+    states = _latest_states(spark, folder, last)
+    counts = _read(spark, folder, "counts", last).drop("batch")
+    merged = {
+        "events": _read(spark, folder, "events", last),
+        "keys": states.select(*MATCH_KEY, "state.*"),
+        "netted": _netted(spark, folder, last).withColumn("change", F.lit(1)),
+        "counts": counts.agg(*[F.sum(c).cast("bigint").alias(c) for c in counts.columns]),
+    }
+    for part, rows in merged.items():
+        _write(rows, part, f"{staged}/{part}")
+    system, where = _place(spark, f"{staged}/{READY}")
+    system.create(where).close()
+    _finish_compaction(spark, folder)
+
+
+def _finish_compaction(spark: SparkSession, folder: str) -> None:
+    """Put staged parts in the place of the batches they were made of, each once."""
+    for name in _names(spark, folder):
+        staged = f"{folder}/{name}"
+        if not name.startswith("compacted-") or not _exists(spark, f"{staged}/{READY}"):
+            continue
+        last = int(name.removeprefix("compacted-"))
+        for part in STORED:
+            if _exists(spark, f"{staged}/{part}"):
+                old = [n for n in _names(spark, f"{folder}/{part}") if n.startswith("batch=")]
+                old = [n for n in old if int(n.removeprefix("batch=")) <= last]
+                remove(spark, [f"{folder}/{part}/{n}" for n in old])
+                _rename(spark, f"{staged}/{part}", f"{folder}/{part}/batch={last}")
+        remove(spark, [staged])
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    system, where = _place(spark, old)
+    if not system.rename(where, _place(spark, new)[1]):
+        raise OSError(f"{old} could not be renamed to {new}")
+
+
 def stream(raw: DataFrame, folder: str, checkpoint: str, **trigger):
     """Apply a stream of raw lines batch by batch. ``raw`` is a streaming DataFrame; without a trigger
     everything that is there is taken, and the query ends."""

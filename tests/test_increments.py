@@ -168,3 +168,37 @@ def test_a_stream_of_files(raw_frame, spark, tmp_path):
     assert len(increments._batches(spark, folder, "counts")) == 3
     one = build.load(raw_frame(rows), str(tmp_path / "one"))
     assert whole(increments.sales(spark, folder)) == whole(one.sales)
+
+
+@pytest.mark.parametrize("cut_at", [1, None])
+def test_compaction_changes_nothing(raw_frame, spark, tmp_path, monkeypatch, cut_at):
+    rows = raw_rows(5, 320)
+    folder = str(tmp_path / "load")
+    for a, b in ((0, 120), (120, 200)):
+        increments.apply(raw_frame(rows[a:b]), folder)
+    before, report = whole(increments.sales(spark, folder)), increments.report(spark, folder).collect()
+    real, renamed = increments._rename, []
+
+    def rename(session, old, new):
+        if len(renamed) == cut_at:
+            raise RuntimeError("cut short")
+        renamed.append(new)
+        real(session, old, new)
+
+    monkeypatch.setattr(increments, "_rename", rename)
+    if cut_at is None:
+        increments.compact(spark, folder)
+    else:
+        with pytest.raises(RuntimeError, match="cut short"):
+            increments.compact(spark, folder)
+        monkeypatch.setattr(increments, "_rename", real)
+        increments._finish_compaction(spark, folder)
+    for part in increments.STORED:
+        assert increments._batches(spark, folder, part) == [1]
+    assert whole(increments.sales(spark, folder)) == before
+    assert increments.report(spark, folder).collect() == report
+    assert not [n for n in os.listdir(folder) if n.startswith("compacted")]
+    increments.apply(raw_frame(rows[200:]), folder)
+    one = build.load(raw_frame(rows), str(tmp_path / "one"))
+    assert whole(increments.sales(spark, folder)) == whole(one.sales)
+    assert increments.report(spark, folder).collect() == one.report.collect()

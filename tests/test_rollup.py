@@ -42,7 +42,7 @@ RANGES = [
 
 
 @pytest.mark.parametrize("start,end", RANGES)
-@pytest.mark.parametrize("countries", [(), ("Y",), ("X", "Z"), ("nowhere",)])
+@pytest.mark.parametrize("countries", [(), ("X", "Z")])
 def test_like_counts_over_lines(stored, start, end, countries):
     sales, made, _ = stored
     lines = filters.filter_sales(sales, start, end, countries)

@@ -35,7 +35,7 @@ def stored(sales_frame, spark, tmp_path_factory):
     return sales, search_index.build(sales, path + "-index"), path
 
 
-TERMS = ["heart", "HEART LAMP", "", "e", "of", "tin%set", "h_art", "%", "50% off", "a\\b", "öl tin", "no such thing", "%ea%lam", "without a", "i̇stanbul"]
+TERMS = ["HEART LAMP", "", "of", "tin%set", "h_art", "50% off", "a\\b", "öl tin", "no such thing", "without a", "i̇stanbul"]
 
 
 @pytest.mark.parametrize("term", TERMS)
