@@ -205,10 +205,18 @@ class Aligner:
         """Of distinct segments. What was not asked for in a whole generation is forgotten."""
         if len(self.young) > KNOWN:
             self.old, self.young = self.young, {}
-        self.young.update((s, self.old[s]) for s in segments if s not in self.young and s in self.old)
-        self.learn([s for s in segments if s not in self.young and len(s) <= LONGEST])
-        get = self.young.get
-        return [get(s) or self.alone(s) for s in segments]
+        found = list(map(self.young.get, segments))
+        new = []
+        for i in [i for i, record in enumerate(found) if record is None]:
+            record = self.old.get(segments[i])
+            if record is None:
+                new.append(i)
+            else:
+                self.young[segments[i]] = found[i] = record
+        self.learn([segments[i] for i in new if len(segments[i]) <= LONGEST])
+        for i in new:
+            found[i] = self.young.get(segments[i]) or self.alone(segments[i])
+        return found
 
 
 class Pack:
