@@ -50,7 +50,7 @@ def test_like_the_search_over_all_lines(stored, term, n):
 
 
 def test_needed_grams():
-    assert search_index.needed_grams("Heart") == ["ear", "art", "hea"][:0] + ["art", "ear", "hea"]
+    assert search_index.needed_grams("Heart") == ["art", "ear", "hea"]
     assert search_index.needed_grams("ab%cdef_gh") == ["cde", "def"]
     assert search_index.needed_grams("%a_b%") == []
 
