@@ -4,7 +4,7 @@ The dashboard counts distinct orders and customers under any range of dates and
 such counts cannot be summed. Here every order and customer gets a number, and a (month, country) keeps the
 set of its numbers as bitmaps of 32,768 bits, one for each stretch of numbers that it has any of. A query
 unites the bitmaps of whole months and counts bits. It reads sales lines only for months that
-the range cuts, at most two.
+the range cuts, at most two, and with them the numbers of the members of these months.
 
 Numbers follow the month and country of an order's first line (a customer's country), so the
 members of one (month, country) stand close together and fill few bitmaps. Equal sets of lines give equal
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from retailloom.functions.expressions import ratio
 from retailloom.operators import filters, series
-from retailloom.schema import SALE_MONTH
+from retailloom.schema import SALE_MONTH, SALES
+from retailloom.session import materialise
 
 ORDER, CUSTOMER = "order", "customer"
 MEMBERS = {ORDER: "Invoice", CUSTOMER: "CustomerID"}
@@ -35,7 +36,7 @@ class Rollup:
     sales: DataFrame
     measures: DataFrame  # sale_month, Country, revenue
     bitmaps: DataFrame  # sale_month, Country, kind, bucket, bits
-    numbers: dict[str, DataFrame]  # per kind: member, number
+    numbers: dict[str, DataFrame]  # per kind: member, number, sale_month
 
 
 def _months(sales: DataFrame) -> DataFrame:
@@ -60,22 +61,30 @@ def _numbered(sales: DataFrame, column: str) -> DataFrame:
     return ordered.select("member", F.monotonically_increasing_id().alias("number"))
 
 
-def _members(lines: DataFrame, kind: str, numbers: DataFrame) -> DataFrame:
-    """Which numbers occur in each (month, country)."""
+def _members(lines: DataFrame, kind: str, numbers: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Which members occur in each (month, country), with their numbers."""
     column = MEMBERS[kind]
     found = (
         lines.where(F.col(column).isNotNull())
         .groupBy(SALE_MONTH, "Country", F.col(column).alias("member"))
         .agg(F.count(F.lit(1)).alias("lines"))
     )
-    return found.join(numbers, "member").select(
-        SALE_MONTH, "Country", F.lit(kind).alias("kind"),
-        F.bitmap_bucket_number("number").alias("bucket"), F.bitmap_bit_position("number").alias("position"),
+    return found.join(numbers, list(on)).select(SALE_MONTH, "Country", "member", "number")
+
+
+def _bitmaps(members: dict[str, DataFrame]) -> DataFrame:
+    """One row per month, country, kind and stretch of numbers."""
+    orders, customers = (
+        rows.select(
+            SALE_MONTH, "Country", F.lit(kind).alias("kind"),
+            F.bitmap_bucket_number("number").alias("bucket"),
+            F.bitmap_bit_position("number").alias("position"),
+        )
+        for kind, rows in members.items()
+    )
+    return orders.unionByName(customers).groupBy(SALE_MONTH, "Country", "kind", "bucket").agg(
+        F.bitmap_construct_agg("position").alias("bits")
     )
-
-
-def _bitmaps(members: DataFrame, by: Sequence[str]) -> DataFrame:
-    return members.groupBy(*by, "kind", "bucket").agg(F.bitmap_construct_agg("position").alias("bits"))
 
 
 def _measures(lines: DataFrame) -> DataFrame:
@@ -85,12 +94,16 @@ def _measures(lines: DataFrame) -> DataFrame:
 def build(sales: DataFrame, folder: str) -> Rollup:
     """Store the rollup of ``sales`` below ``folder``, replacing what is there."""
     spark, lines = sales.sparkSession, _months(sales)
+    members = {}
     for kind, column in MEMBERS.items():
-        _numbered(lines, column).write.mode("overwrite").parquet(f"{folder}/numbers/{kind}")
-    numbers = {kind: spark.read.parquet(f"{folder}/numbers/{kind}") for kind in MEMBERS}
+        numbers = materialise(_numbered(lines, column), f"{kind}-numbers")
+        members[kind] = materialise(_members(lines, kind, numbers, ["member"]), f"{kind}-members")
+        by_month = members[kind].where(F.col(SALE_MONTH).isNotNull()).select("member", "number", SALE_MONTH)
+        by_month.distinct().hint("rebalance", SALE_MONTH).write.mode("overwrite").partitionBy(
+            SALE_MONTH
+        ).parquet(f"{folder}/numbers/{kind}")
     _measures(lines).write.mode("overwrite").parquet(f"{folder}/measures")
-    members = [_members(lines, kind, numbers[kind]) for kind in MEMBERS]
-    bits = _bitmaps(members[0].unionByName(members[1]), [SALE_MONTH, "Country"])
+    bits = _bitmaps(members)
     # Ordered by month, so that the files of other months are skipped by their statistics.
     bits = bits.repartitionByRange(SALE_MONTH, "kind", "bucket").sortWithinPartitions(SALE_MONTH, "kind", "bucket")
     bits.write.mode("overwrite").parquet(f"{folder}/bitmaps")
@@ -102,7 +115,12 @@ def read(spark: SparkSession, folder: str, sales: DataFrame) -> Rollup:
         sales,
         spark.read.parquet(f"{folder}/measures"),
         spark.read.parquet(f"{folder}/bitmaps"),
-        {kind: spark.read.parquet(f"{folder}/numbers/{kind}") for kind in MEMBERS},
+        {
+            kind: spark.read.schema(
+                f"member {SALES[column].dataType.simpleString()}, number bigint, {SALE_MONTH} date"
+            ).parquet(f"{folder}/numbers/{kind}")
+            for kind, column in MEMBERS.items()
+        },
     )
 
 
@@ -131,10 +149,11 @@ def _parts(
     revenue, bits = rollup.measures.where(inside), rollup.bitmaps.where(inside)
     if cut:
         lines = filters.filter_sales(_months(rollup.sales), start, end, countries)
-        lines = lines.where(F.col(SALE_MONTH).isin(*[F.lit(day).cast("date") for day in cut]))
-        members = [_members(lines, kind, rollup.numbers[kind]) for kind in MEMBERS]
+        in_cut = F.col(SALE_MONTH).isin(*[F.lit(day).cast("date") for day in cut])
+        lines, on = lines.where(in_cut), [SALE_MONTH, "member"]
+        members = {k: _members(lines, k, rollup.numbers[k].where(in_cut), on) for k in MEMBERS}
         revenue = revenue.unionByName(_measures(lines))
-        bits = bits.unionByName(_bitmaps(members[0].unionByName(members[1]), [SALE_MONTH, "Country"]))
+        bits = bits.unionByName(_bitmaps(members))
     return revenue, bits
 
 
