@@ -90,7 +90,7 @@ def _matches(spark, sf_dir) -> DataFrame:
 def _sales(spark, sf_dir) -> DataFrame:
     def make():
         path = scratch_path(spark, "sales")
-        warehouse.write_sales(cleaning.clean(_raw(spark, sf_dir), _matches(spark, sf_dir)), path)
+        warehouse.write_sales(cleaning.clean_lines(_raw(spark, sf_dir), _matches(spark, sf_dir)), path)
         return warehouse.read_sales(spark, path)
 
     return _once(spark, sf_dir, "sales", make)

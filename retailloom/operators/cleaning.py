@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from retailloom.functions.expressions import is_cancellation, not_positive, pct
 from retailloom.operators import returns
-from retailloom.schema import MONEY, RAW_COLUMNS, SALES_COLUMNS
+from retailloom.schema import MONEY, PACKED, RAW_COLUMNS, SALES_COLUMNS
 from retailloom.session import materialise
 
 
@@ -54,6 +54,19 @@ def clean(
 ) -> DataFrame:
     """The cleaned ``sales`` rows. ``matches`` is what :func:`match_returns` gave, if at hand.
     ``seen`` takes the counts of the rules from the rows as they pass.
+    """
+    return priced(clean_lines(raw, matches, seen))
+
+
+def priced(lines: DataFrame, *others: str) -> DataFrame:
+    revenue = (F.col("Quantity") * F.col("Price")).cast(MONEY)
+    return lines.withColumn("Revenue", revenue).select(*SALES_COLUMNS, *others)
+
+
+def clean_lines(
+    raw: DataFrame, matches: DataFrame | None = None, seen: Observation | None = None
+) -> DataFrame:
+    """The cleaned rows without their revenue, which need not travel to the writers.
 
     The shuffle that removes duplicates also places the rows for the anti-join
     against the netted sales: both are keyed by the whole line, so the big side moves once.
@@ -65,8 +78,6 @@ def clean(
         distinct_lines(valid_lines(lines))
         .join(netted, "line", "left_anti")
         .select("line.*")
-        .withColumn("Revenue", (F.col("Quantity") * F.col("Price")).cast(MONEY))
-        .select(*SALES_COLUMNS)
     )
 
 
@@ -75,7 +86,7 @@ def match_returns(raw: DataFrame) -> DataFrame:
 
     Only sales whose key occurs among the cancellations are deduplicated here.
     """
-    cancels = materialise(returns.cancel_batches(cancellations(raw)), "returns-cancels")
+    cancels = materialise(returns.cancel_batches(cancellations(raw)), "returns-cancels", **PACKED)
     candidates = returns.candidate_sales(valid_lines(raw), cancels)
     candidates = distinct_lines(candidates).select("line.*")
     return returns.timeline(candidates, cancels)

@@ -21,7 +21,7 @@ class Load:
 
 def build_sales(raw: DataFrame, path: str) -> DataFrame:
     """Clean ``raw``, replace the table at ``path`` and return a scan of it."""
-    warehouse.write_sales(cleaning.clean(raw), path)
+    warehouse.write_sales(cleaning.clean_lines(raw), path)
     return warehouse.read_sales(raw.sparkSession, path)
 
 
@@ -43,7 +43,7 @@ def load(raw: DataFrame, path: str) -> Load:
     spark = raw.sparkSession
     seen, stored = Observation("raw lines"), Observation("stored lines")
     matches = cleaning.match_returns(raw)
-    warehouse.write_sales(cleaning.clean(raw, matches, seen), path, stored)
+    warehouse.write_sales(cleaning.clean_lines(raw, matches, seen), path, stored)
     sales = warehouse.read_sales(spark, path)
     counted, kept = _figures(seen), _figures(stored)
     if counted.get("rows_in") == raw.count() and kept.get("rows") == sales.count():

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retailloom.operators import cleaning, returns
-from retailloom.schema import MATCH_KEY, MONEY, RAW, RAW_COLUMNS, SALE_MONTH, SALES_COLUMNS
+from retailloom.schema import MATCH_KEY, RAW, RAW_COLUMNS, SALE_MONTH
 from retailloom.session import materialise, remove
 from retailloom.sources import warehouse
 
@@ -210,8 +210,7 @@ def _restated(folder: str, batch: int, spark: SparkSession) -> list:
     )
     netted = materialise(_same_line(_netted(spark, folder, batch, months)), "netted-lines")
     left = _same_line(events).join(netted, "line", "left_anti").select("line.*")
-    sales = left.withColumn("Revenue", (F.col("Quantity") * F.col("Price")).cast(MONEY))
-    warehouse.restate_months(sales.select(*SALES_COLUMNS), f"{folder}/sales")
+    warehouse.restate_months(left, f"{folder}/sales")
     empty = set(months) - set(_months_of(left))  # every line of these was netted
     names = ["__HIVE_DEFAULT_PARTITION__" if m is None else m.isoformat() for m in empty]
     remove(spark, [f"{folder}/sales/{SALE_MONTH}={name}" for name in names])

@@ -9,17 +9,21 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from retailloom.schema import SALE_MONTH, SALES, SALES_COLUMNS
+from retailloom.operators import cleaning
+from retailloom.schema import PACKED, SALE_MONTH, SALES, SALES_COLUMNS
 
 
 def _laid_out(sales: DataFrame) -> DataFrame:
     """Rows grouped by month for writing.
 
     ``rebalance`` lets adaptive execution split a month that is too big for one
-    task and merge months that are too small, so no month makes a hot task.
+    task and merge months that are too small, so no month makes a hot task. Lines that come without
+    their revenue get it behind that shuffle.
     """
-    month = F.trunc(F.to_date("InvoiceDate"), "month")
-    return sales.select(*SALES_COLUMNS, month.alias(SALE_MONTH)).hint("rebalance", SALE_MONTH)
+    month = F.trunc(F.to_date("InvoiceDate"), "month").alias(SALE_MONTH)
+    columns = [c for c in SALES_COLUMNS if c in sales.columns or c != "Revenue"]
+    rows = sales.select(*columns, month).hint("rebalance", SALE_MONTH)
+    return rows if "Revenue" in columns else cleaning.priced(rows, SALE_MONTH)
 
 
 def write_sales(sales: DataFrame, path: str, seen: Observation | None = None) -> None:
@@ -28,14 +32,14 @@ def write_sales(sales: DataFrame, path: str, seen: Observation | None = None) ->
     rows = _laid_out(sales)
     if seen is not None:
         rows = rows.observe(seen, *_audit(), F.count_if(F.col("CustomerID").isNull()).alias("nulls"))
-    rows.write.mode("overwrite").partitionBy(SALE_MONTH).parquet(path)
+    rows.write.mode("overwrite").options(**PACKED).partitionBy(SALE_MONTH).parquet(path)
 
 
 def restate_months(sales: DataFrame, path: str) -> None:
     """Replace the months that ``sales`` has lines of, and leave all others as they are."""
-    _laid_out(sales).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        SALE_MONTH
-    ).parquet(path)
+    _laid_out(sales).write.mode("overwrite").options(
+        partitionOverwriteMode="dynamic", **PACKED
+    ).partitionBy(SALE_MONTH).parquet(path)
 
 
 def read_sales(spark: SparkSession, path: str) -> DataFrame:

@@ -155,3 +155,31 @@ def test_a_hot_key_is_split_in_the_candidate_join(spark):
     finally:
         for name, value in before.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("most", [returns.BUCKETS, 1])
+def test_many_keys_pass_a_bitmap_first(raw_frame, monkeypatch, most):
+    """The bitmap drops sales of other keys before the join moves them, and none of a key that was returned."""
+    rows = random_rows(4, 400, 200) + [sale(3, f"other{i}", CustomerID=1000 + i) for i in range(300)]
+    rows += [sale(4, "s-none", CustomerID=None), sale(5, "s-late", InvoiceDate=None, CustomerID=1)]
+    valid = cleaning.valid_lines(raw_frame(rows))
+    cancels = returns.cancel_batches(cleaning.cancellations(raw_frame(rows)))
+    plain = returns.candidate_sales(valid, cancels).select(*valid.columns)
+    monkeypatch.setattr(returns, "MANY_KEYS", 1)
+    monkeypatch.setattr(returns, "BUCKETS", most)
+    found = returns.candidate_sales(valid, cancels)
+    assert found.count() == plain.count() and not found.select(*valid.columns).exceptAll(plain).count()
+    keys = cancels.select(*returns.MATCH_KEY).distinct()
+    passed = returns._maybe_among(valid, keys, keys.count())
+    assert plain.count() <= passed.count() < plain.count() + 100
+
+
+def test_events_are_moved_once_to_be_matched(raw_frame):
+    """Only keys that lie in several blocks are chained, so the whole timeline has one shuffle."""
+    events = cleaning.match_returns(raw_frame(random_rows(1, 600, 30)))
+    several = {tuple(r) for r in returns._crossing(events).collect()}
+    blocks = events.groupBy(*returns.MATCH_KEY).agg(F.count_distinct("block").alias("n")).collect()
+    assert several == {tuple(r)[:3] for r in blocks if r.n > 1}
+    assert 0 < len(several) <= 2 * events.select("block").distinct().count()
+    plan = returns.netted_sales(events)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 1 and plan.count("LeftSemi") == 2

@@ -147,3 +147,13 @@ def test_a_query_leaves_views_as_they_were(sales_frame, spark):
     assert got.first()["n"] == 1
     assert spark.table("sales").count() == 3
     spark.catalog.dropTempView("sales")
+
+
+def test_revenue_does_not_travel_to_the_writers(raw_frame, spark, tmp_path):
+    raw = raw_frame([{"Invoice": "1"}, {"Invoice": "2", "Quantity": None}, {"Invoice": "3", "InvoiceDate": None}])
+    rows = warehouse._laid_out(cleaning.clean_lines(raw))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Revenue" in plan.split("RebalancePartitions")[0] and "Revenue" not in plan.split("RebalancePartitions")[1]
+    warehouse.write_sales(cleaning.clean_lines(raw), str(tmp_path / "sales"))
+    stored, plain = warehouse.read_sales(spark, str(tmp_path / "sales")), cleaning.clean(raw)
+    assert sorted(map(str, stored.drop("sale_month").collect())) == sorted(map(str, plain.collect()))
