@@ -74,19 +74,25 @@ def candidate_sales(valid: DataFrame, cancels: DataFrame) -> DataFrame:
 
 def _maybe_among(sales: DataFrame, keys: DataFrame, count: int) -> DataFrame:
     """The sales whose hashed key has its bit set: all with a key among ``keys``, and a few others."""
+    return by_bitmap(sales.dropna(subset=MATCH_KEY), keys, MATCH_KEY, count)
+
+
+def by_bitmap(rows: DataFrame, keys: DataFrame, on: list[str], count: int, how: str = "inner") -> DataFrame:
+    """The rows whose hashed key has its bit set among those of the ``count`` keys, or by ``left_anti`` the
+    others, none of which has its key there. No row is shuffled."""
     buckets = min(BUCKETS, count * BITS // 32768 + 1)
-    place = F.pmod(F.xxhash64(*MATCH_KEY), F.lit(buckets * 32768)) + 1  # positions count from 1
+    place = F.pmod(F.xxhash64(*on), F.lit(buckets * 32768)) + 1  # positions count from 1
     bits = keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")
     )
-    placed = sales.dropna(subset=MATCH_KEY).withColumns(
+    placed = rows.withColumns(
         {"own_bucket": F.bitmap_bucket_number(place), "position": F.bitmap_bit_position(place)}
     )
     byte = F.conv(F.hex(F.expr("substring(bits, cast(position div 8 as int) + 1, 1)")), 16, 10).cast("int")
     is_set = F.getbit(byte, (F.col("position") % 8).cast("int")) == 1
     # At most 64 MB, whatever the keys.
     there = (F.col("own_bucket") == F.col("bucket")) & is_set
-    return placed.join(F.broadcast(bits), there).select(*sales.columns)
+    return placed.join(F.broadcast(bits), there, how).select(*rows.columns)
 
 
 def timeline(sales: DataFrame, cancels: DataFrame) -> DataFrame:

@@ -195,6 +195,22 @@ def _netted(spark: SparkSession, folder: str, batch: int, months: list | None =
     return totals.where("n > 0").select("line.*")
 
 
+def _open_lines(events: DataFrame, netted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The events that no return took: those that a bitmap of the netted lines rules out at once, as they lie in
+    their files, and what is left of the few others, which alone are shuffled to meet the netted lines."""
+    lines, count = _same_line(events), netted.count()
+    beyond = returns.by_bitmap(lines, netted, ["line"], count, "left_anti")
+    maybe = returns.by_bitmap(lines, netted, ["line"], count)
+    # Spark would take an anti join ahead of the bitmap, and shuffle every line for it.
+    met = maybe.join(netted.withColumn("taken", F.lit(True)), "line", "left")
+    return beyond.select("line.*"), met.where("taken IS NULL").select("line.*")
+
+
+def _lines_by_month(lines: DataFrame) -> dict:
+    """A few hundred at most."""
+    return {r[0]: r[1] for r in lines.groupBy(_month()).agg(F.count(F.lit(1))).collect()}
+
+
 def _restated(folder: str, batch: int, spark: SparkSession) -> list:
     """Write the months anew that a batch has changed, and only these."""
     mine = F.col("batch") == batch
@@ -209,9 +225,11 @@ def _restated(folder: str, batch: int, spark: SparkSession) -> list:
         (F.col("kind") == returns.SALE) & _in_months(months)
     )
     netted = materialise(_same_line(_netted(spark, folder, batch, months)), "netted-lines")
-    left = _same_line(events).join(netted, "line", "left_anti").select("line.*")
-    warehouse.restate_months(left, f"{folder}/sales")
-    empty = set(months) - set(_months_of(left))  # every line of these was netted
+    open_, left = _open_lines(events, netted)
+    warehouse.restate_months(left, f"{folder}/sales", by_month=open_)
+    # Each line is there once and a netted line is one of them, so the numbers tell which months have none left.
+    stored, gone = _lines_by_month(events), _lines_by_month(netted.select("line.*"))
+    empty = {m for m in months if stored.get(m, 0) == gone.get(m, 0)}
     names = ["__HIVE_DEFAULT_PARTITION__" if m is None else m.isoformat() for m in empty]
     remove(spark, [f"{folder}/sales/{SALE_MONTH}={name}" for name in names])
     return months

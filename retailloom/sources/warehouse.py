@@ -13,8 +13,8 @@ from retailloom.operators import cleaning
 from retailloom.schema import PACKED, SALE_MONTH, SALES, SALES_COLUMNS
 
 
-def _laid_out(sales: DataFrame) -> DataFrame:
-    """Rows grouped by month for writing.
+def _laid_out(sales: DataFrame, gather: bool = True) -> DataFrame:
+    """Rows grouped by month for writing; without ``gather`` they stay in the tasks that read them.
 
     ``rebalance`` lets adaptive execution split a month that is too big for one
     task and merge months that are too small, so no month makes a hot task. Lines that come without
@@ -22,7 +22,8 @@ def _laid_out(sales: DataFrame) -> DataFrame:
     """
     month = F.trunc(F.to_date("InvoiceDate"), "month").alias(SALE_MONTH)
     columns = [c for c in SALES_COLUMNS if c in sales.columns or c != "Revenue"]
-    rows = sales.select(*columns, month).hint("rebalance", SALE_MONTH)
+    rows = sales.select(*columns, month)
+    rows = rows.hint("rebalance", SALE_MONTH) if gather else rows
     return rows if "Revenue" in columns else cleaning.priced(rows, SALE_MONTH)
 
 
@@ -35,9 +36,15 @@ def write_sales(sales: DataFrame, path: str, seen: Observation | None = None) ->
     rows.write.mode("overwrite").options(**PACKED).partitionBy(SALE_MONTH).parquet(path)
 
 
-def restate_months(sales: DataFrame, path: str) -> None:
-    """Replace the months that ``sales`` has lines of, and leave all others as they are."""
-    _laid_out(sales).write.mode("overwrite").options(
+def restate_months(sales: DataFrame, path: str, by_month: DataFrame | None = None) -> None:
+    """Replace the months that ``sales`` has lines of, and leave all others as they are.
+
+    ``by_month`` are more lines, read from files of one month each; these need no shuffle to keep the files few.
+    """
+    rows = _laid_out(sales)
+    if by_month is not None:
+        rows = rows.unionByName(_laid_out(by_month, gather=False))
+    rows.write.mode("overwrite").options(
         partitionOverwriteMode="dynamic", **PACKED
     ).partitionBy(SALE_MONTH).parquet(path)
 

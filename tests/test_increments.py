@@ -202,3 +202,27 @@ def test_compaction_changes_nothing(raw_frame, spark, tmp_path, monkeypatch, cut
     one = build.load(raw_frame(rows), str(tmp_path / "one"))
     assert whole(increments.sales(spark, folder)) == whole(one.sales)
     assert increments.report(spark, folder).collect() == one.report.collect()
+
+
+def test_lines_beyond_the_netted_ones_are_not_shuffled(raw_frame, spark, tmp_path):
+    lines = cleaning.distinct_lines(cleaning.valid_lines(raw_frame(raw_rows("open")))).select("line.*")
+    lines.write.parquet(str(tmp_path / "events"))
+    events = spark.read.parquet(str(tmp_path / "events"))
+    events.where("Quantity = 1").select(cleaning.whole_line()).write.parquet(str(tmp_path / "netted"))
+    netted = spark.read.parquet(str(tmp_path / "netted"))
+    beyond, left = increments._open_lines(events, netted)
+    kept = sorted(map(tuple, beyond.unionByName(left).collect()), key=str)
+    assert kept == sorted(map(tuple, events.where("NOT Quantity <=> 1").collect()), key=str)
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    # The bitmap comes first: its join lies below the one with the netted lines.
+    assert plan.index("Join LeftOuter") < plan.index("Join Inner")
+
+
+def test_a_month_whose_lines_are_all_netted_goes(raw_frame, spark, tmp_path):
+    folder, day = str(tmp_path / "load"), datetime(2020, 1, 5)
+    sale = {"Invoice": "1", "StockCode": "A", "Quantity": 2, "CustomerID": 1, "Price": 1, "InvoiceDate": day}
+    later = {**sale, "Invoice": "2", "StockCode": "B", "InvoiceDate": datetime(2020, 2, 5)}
+    increments.apply(raw_frame([sale, later]), folder)
+    back = {**sale, "Invoice": "C1", "Quantity": -2, "InvoiceDate": datetime(2020, 3, 1)}
+    increments.apply(raw_frame([back]), folder)
+    assert [r.Invoice for r in increments.sales(spark, folder).collect()] == ["2"]
