@@ -47,7 +47,7 @@ from retailloom.llm.components import components
 from retailloom.session import materialise
 
 WORDS = 5
-FLUSH = 1 << 20  # shingles gathered before they are dealt out
+FLUSH = 1 << 19  # shingles gathered before they are dealt out
 SMALL = 12  # sizes for which enumerating subsets is weighed against scanning lists
 
 

@@ -1,9 +1,11 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from retailloom.llm import lz_dedup, suffix_dedup, windows
+from retailloom.llm import common, lz_dedup, suffix_dedup, windows
 
 
 def once(rows):
@@ -33,3 +35,21 @@ def test_suffix_array_orders_every_suffix():
         assert sorted(order) == list(range(len(raw)))
         heads = [raw[i : raw.index(b"\xff", i) + 1][:8] for i in order if raw[i] != 255]
         assert heads == sorted(heads)
+
+
+def test_a_task_holds_few_arrays_at_a_time():
+    """Two workers and the JVM share an executor's memory."""
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(97, 123, 4000, np.uint8).tobytes().decode() for _ in range(700)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(700), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    common.powers(1)  # kept by every worker
+    tracemalloc.start()
+    try:
+        found = 0
+        for _, data, bounds in common.blocks(iter([batch])):
+            values, limits, _ = suffix_dedup._bytes_of(data, bounds)
+            found += len(windows.segments(values, limits, suffix_dedup.SPAN, suffix_dedup.GRAM)[0])
+        assert found
+        assert tracemalloc.get_traced_memory()[1] < 40e6
+    finally:
+        tracemalloc.stop()
