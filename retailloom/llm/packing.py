@@ -18,6 +18,7 @@ A null or empty text is the end token alone. Repeated rows are packed each.
 from __future__ import annotations
 
 import bisect
+import operator
 import re
 import string
 import zlib
@@ -26,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,8 +41,9 @@ END_ID = 1
 #: planned in GROUPS groups, the others fill gaps.
 LARGE = (4, 3, 2, 8)
 GROUPS = (12, 24, 48)
-WORDS_KEPT = 120_000  # encoded words a task remembers
-RUNS_KEPT = 300_000  # and encoded runs of letters, which many words share
+WORDS_KEPT = 300_000  # encoded words a task remembers, and as many seen before them
+RUNS_KEPT = 400_000  # and encoded runs of letters, which many words share
+AT_ONCE = 4 << 20  # bytes of texts whose words are looked up together
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -76,11 +79,12 @@ class Encoder:
         self.ends = np.zeros(max(words.values()) + 1, bool)
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.letters: dict[str, bytes] = {}
 
     def forget(self) -> None:
         """The worker outlives its task; its memory is wanted by others."""
-        self.known, self.letters = {}, {}
+        self.known, self.older, self.letters = {}, {}, {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -100,37 +104,42 @@ class Encoder:
             low = high
 
     def _learn(self, new: list[bytes]) -> None:
+        texts = b" ".join(new).decode().split(" ") if new else []
+        bare = [t.rstrip(self.MARKS) for t in texts]
+        latin = self.LATIN.fullmatch
         words, runs, marks, rest = [], [], [], []
-        for word in new:
-            text = word.decode()
-            run = text.rstrip(self.MARKS)
-            if run.isalpha() and (run.isascii() or self.LATIN.fullmatch(run)):
+        for word, text, run in zip(new, texts, bare, strict=True):
+            if run.isalpha() and (run.isascii() or latin(run)):
                 words.append(word)
                 runs.append(run.lower())
                 marks.append(text[len(run) :])
             else:
                 rest.append(word)
         self.known.update(zip(rest, self._whole([w.decode() for w in rest]), strict=True))
-        letters = list({r for r in runs if r not in self.letters})
+        different = set(runs)
+        letters = list(different.difference(self.letters))
         if len(self.letters) + len(letters) > RUNS_KEPT:
             self.letters = {}
-            letters = list(set(runs))
+            letters = list(different)
         for low in range(0, len(letters), 2000):
             self._learn_letters(letters[low : low + 2000])
-        some = list({m for m in marks if m and m not in self.letters})
+        self.letters[""] = b""
+        some = list(set(marks).difference(self.letters))
         self.letters.update(zip(some, self._whole(some), strict=True))
         get = self.letters.__getitem__
-        self.letters[""] = b""
-        for word, run, mark in zip(words, map(get, runs), map(get, marks), strict=True):
-            self.known[word] = run + mark
+        self.known.update(zip(words, map(operator.add, map(get, runs), map(get, marks)), strict=True))
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        words = [(t or "").encode().split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.known})
+    def encode(self, texts: list[str | bytes | None]) -> Iterator[bytes]:
+        """``texts`` as text, or as its UTF-8 bytes."""
+        words = [(t.encode() if isinstance(t, str) else t or b"").split() for t in texts]
+        different = set().union(*words)
+        new = different.difference(self.known)
         if len(self.known) + len(new) > WORDS_KEPT:
-            self.known = {}
-            new = list({w for ws in words for w in ws})
-        self._learn(new)
+            # Frequent words come back from the older half before it is dropped; only rare ones are lost.
+            self.known, self.older, new = {}, self.known, different
+        again = new.intersection(self.older)
+        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        self._learn(list(new.difference(again)))
         get = self.known.__getitem__
         for ws in words:
             yield b"".join(map(get, ws))
@@ -139,6 +148,19 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows in turn, their texts as bytes: some AT_ONCE bytes of them, or one longer text, at a time."""
+    raw = batch.column(1).cast(pa.large_binary())
+    batch = pa.RecordBatch.from_arrays([batch.column(0), raw], names=batch.schema.names[:2])
+    ends = pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False).cumsum()
+    low = 0
+    while low < batch.num_rows:
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + AT_ONCE, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def pieces(
     docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, with_ids: bool = False
 ) -> DataFrame:
@@ -151,21 +173,19 @@ def pieces(
             _encoders[vocabulary] = Encoder(vocabulary)
         encoder = _encoders[vocabulary]
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            for part in _portions(batch):
                 rows = []
                 texts = part.column(1).to_pylist()
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
                     ids += end
                     for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
-                        rows.append((doc_id, i, at // 4, len(own) // 4, zlib.crc32(own), own))
-                columns = list(zip(*rows, strict=True))
+                        rows.append((doc_id, i, at // 4, len(own) // 4, zlib.crc32(own), own if with_ids else None))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    arrays if with_ids else arrays[:5], names=NAMES if with_ids else NAMES[:5]
-                )
+                wanted = len(kinds) if with_ids else 5
+                columns = list(zip(*rows, strict=True))[:wanted]
+                arrays = [pa.array(c, k) for c, k in zip(columns, kinds[:wanted], strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=NAMES[:wanted])
         encoder.forget()
         release()
 

@@ -4,6 +4,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -120,6 +121,33 @@ def test_pieces_have_the_ids_of_the_tokenizer(corpus, awkward):
     assert sorted(whole.values()) == sorted(ends.values())
 
 
+def test_frequent_words_outlast_the_rare_ones(monkeypatch):
+    """They are encoded once, however many rare words pass; ids are those of the whole tokenizer."""
+    monkeypatch.setattr(packing, "WORDS_KEPT", 60)
+    monkeypatch.setattr(packing, "RUNS_KEPT", 90)
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    encoder, learnt = packing.Encoder(vocabulary), []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda new: (learnt.extend(new), learn(new)))
+    tokenizer = Tokenizer.from_file(vocabulary)
+    for turn in range(12):
+        texts = [f"Always, the same Éclair!? \u212a {' '.join(f'rare{turn}x{i}' for i in range(20))}", None, ""]
+        whole = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        for given in (texts, [t and t.encode() for t in texts]):
+            assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(given)] == whole
+    assert learnt.count(b"Always,") == 1
+
+
+def test_words_are_looked_up_by_portions_of_bytes(monkeypatch, corpus):
+    monkeypatch.setattr(packing, "AT_ONCE", 10)
+    rows = [(1, "four"), (2, "a text longer than a portion"), (3, None), (4, ""), (5, "six by"), (6, "no")]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["doc_id", "text"])
+    portions = [p.column(0).to_pylist() for p in packing._portions(batch)]
+    assert portions == [[1], [2, 3, 4], [5, 6]]
+    assert {r.doc_id for r in packing.pieces(corpus(rows)).collect()} == {1, 2, 3, 4, 5, 6}
+
+
+
 # 5: main text
 
 
