@@ -46,19 +46,22 @@ def _months(sales: DataFrame) -> DataFrame:
 
 
 def _numbered(sales: DataFrame, column: str) -> DataFrame:
-    """A number for every member, in the order of month, country and member.
+    """Every member with its number, in the order of month, country and member, and the places it
+    occurs in, at most as many as there are months and countries.
 
+    Places are made distinct first, so that a member with very many lines is spread over tasks until then,
+    and gathered by member. Nothing is joined afterwards.
     Sorting by range and counting on from the partition's start needs no pass to count; the numbers of
     different partitions lie far apart, which costs no bitmap, as empty stretches have none.
     """
-    first = sales.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("member")).agg(
-        F.min(F.struct(SALE_MONTH, "Country")).alias("first")
-    )
-    place = [F.col(f"first.{SALE_MONTH}"), F.col("first.Country"), F.col("member")]
+    places = F.expr(f"collect_list(DISTINCT struct({SALE_MONTH}, Country))").alias("places")
+    found = sales.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("member")).agg(places)
+    first = F.array_min("places")
+    place = [first[SALE_MONTH], first["Country"], F.col("member")]
     if column == MEMBERS[CUSTOMER]:
         place = place[1:]
-    ordered = first.repartitionByRange(*place).sortWithinPartitions(*place)
-    return ordered.select("member", F.monotonically_increasing_id().alias("number"))
+    ordered = found.repartitionByRange(*place).sortWithinPartitions(*place)
+    return ordered.select("member", "places", F.monotonically_increasing_id().alias("number"))
 
 
 def _members(lines: DataFrame, kind: str, numbers: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -97,9 +100,10 @@ def build(sales: DataFrame, folder: str) -> Rollup:
     members = {}
     for kind, column in MEMBERS.items():
         numbers = materialise(_numbered(lines, column), f"{kind}-numbers")
-        members[kind] = materialise(_members(lines, kind, numbers, ["member"]), f"{kind}-members")
-        by_month = members[kind].where(F.col(SALE_MONTH).isNotNull()).select("member", "number", SALE_MONTH)
-        by_month.distinct().hint("rebalance", SALE_MONTH).write.mode("overwrite").partitionBy(
+        members[kind] = numbers.select(F.explode("places").alias("place"), "number").select("place.*", "number")
+        months = F.array_distinct(F.col(f"places.{SALE_MONTH}"))
+        by_month = numbers.select("member", "number", F.explode(months).alias(SALE_MONTH))
+        by_month.where(F.col(SALE_MONTH).isNotNull()).hint("rebalance", SALE_MONTH).write.mode("overwrite").partitionBy(
             SALE_MONTH
         ).parquet(f"{folder}/numbers/{kind}")
     _measures(lines).write.mode("overwrite").parquet(f"{folder}/measures")

@@ -85,3 +85,17 @@ def test_members_of_a_month_share_bitmaps(stored):
     for kind in rollup.MEMBERS:
         numbers = made.numbers[kind].select("member", "number").distinct()
         assert numbers.count() == numbers.select("number").distinct().count() == numbers.select("member").distinct().count()
+
+
+def test_members_are_numbered_without_a_join(stored):
+    """Distinct places, gathered by member, ordered by range; places and numbers stand in one row."""
+    sales = stored[0]
+    for column in rollup.MEMBERS.values():
+        numbered = rollup._numbered(sales, column)
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 3 and "Join" not in plan
+        rows = numbered.collect()
+        assert len({r.number for r in rows}) == len({r.member for r in rows}) == len(rows)
+        found = {(r.member, p.sale_month, p.Country) for r in rows for p in r.places}
+        lines = sales.where(f"{column} IS NOT NULL").select(column, "sale_month", "Country").distinct().collect()
+        assert found == {tuple(r) for r in lines} and sum(len(r.places) for r in rows) == len(found)
