@@ -1,9 +1,11 @@
 """Operator 11: hard negatives for contrastive training, mined by a secondary-sort shuffle.
 
 Vectors become whole numbers, floor(scale * x), so that scores are exact. Blocks of anchors meet
-blocks of rows in tiles of their own. A tile sends each anchor's best rows of the same label; the
-best of these are its positives. A second pass of the tiles sends, for each positive, the first
-rows of other labels inside its window, ``low`` to ``high`` hundredths of the positive's score.
+blocks of rows in tiles. A task takes the tiles of one side, some blocks of anchors, and one stripe, some
+blocks of rows, and sends each anchor's best rows of the same label; the best of these are its positives.
+A second pass sends, for each positive, the first rows of other labels inside its window, ``low`` to
+``high`` hundredths of the positive's score. A block of rows is copied once a side and one of anchors once
+a stripe, by a shuffle: a join of the copies would broadcast them where the anchors alone are small.
 
 Each pair is packed into one key: anchor, falling score, positives before negatives of the same score, id,
 as 25 bytes whose order is the wanted one. ``repartitionAndSortWithinPartitions`` deals the keys by anchor and sorts
@@ -21,14 +23,14 @@ from __future__ import annotations
 import math
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retailloom.llm.common import listed
+from retailloom.llm.common import buckets, listed, run_bounds
 from retailloom.session import materialise
 
 SCALE = 256
@@ -41,6 +43,7 @@ LOW, HIGH = 50, 95  # hundredths of a positive's score
 ROWS = 4096  # in a block of rows
 ANCHORS = 1024  # in a block of anchors
 STEP = 128  # anchors whose scores are held at a time
+HELD = 16 << 20  # bytes of the numbers of a side, and of a stripe
 KEY = ">QQBQ"
 SIGN = 1 << 63
 
@@ -104,15 +107,20 @@ def _packed(rows: DataFrame, size: int, scale: int, name: str) -> tuple[DataFram
     return materialise(packed, name), parts
 
 
+def _blocks_within(packed: DataFrame, parts: int) -> int:
+    """How many block numbers hold HELD bytes of numbers, at least one."""
+    size = F.sum(F.size("ids").cast("long") * F.col("length") * F.col("width"))
+    return max(1, HELD * parts // (packed.agg(size.alias("bytes")).first()["bytes"] or 1))
+
+
 class Block:
-    """A block read from a row of a batch, its columns from ``first`` on."""
+    """A block read from a row of a table."""
 
-    def __init__(self, batch: pa.RecordBatch, i: int, first: int):
-        self.ids, self.labels = (
-            batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (first, first + 1)
-        )
-        kind = f"<i{batch.column(first + 2)[i].as_py()}"
-        self.matrix = np.frombuffer(batch.column(first + 3)[i].as_py(), kind).reshape(len(self.ids), -1)
+    def __init__(self, table: pa.Table, i: int):
+        self.length = table["length"][i].as_py()
+        self.ids, self.labels = (table[c][i].values.to_numpy(zero_copy_only=False) for c in ("ids", "labels"))
+        kind = f"<i{table['width'][i].as_py()}"
+        self.matrix = np.frombuffer(table["numbers"][i].as_py(), kind).reshape(len(self.ids), -1)
         self.most = int(np.abs(self.matrix.astype(np.float64)).max(initial=0))
 
 
@@ -142,20 +150,25 @@ def first_of(score: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray
     return row[place < k], col[place < k]
 
 
-def positives_of(a: Block, b: Block, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Anchor, row and score of the k best rows of the anchors' own labels in a tile."""
+#: Anchor, window of the anchor, row and score of pairs.
+Pairs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+Search = Callable[[Block, Block], Iterator[Pairs]]
+
+
+def positives_of(a: Block, b: Block, k: int) -> Iterator[Pairs]:
+    """The k best rows of the anchors' own labels in a tile; all are of one window."""
     for label in np.unique(a.labels).tolist():
         mine, theirs = np.flatnonzero(a.labels == label), np.flatnonzero(b.labels == label)
         for low in range(0, len(mine) if len(theirs) else 0, STEP):
             some = mine[low : low + STEP]
             score = scores(a, b, some, theirs)
             row, col = first_of(score, a.ids[some][:, None] != b.ids[theirs], k)
-            yield a.ids[some[row]], b.ids[theirs[col]], score[row, col]
+            yield a.ids[some[row]], np.zeros(len(row), np.int64), b.ids[theirs[col]], score[row, col]
 
 
 def negatives_of(
     a: Block, b: Block, windows: dict[int, list[int]], k: int, low: int, high: int
-) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+) -> Iterator[Pairs]:
     """The first k rows of other labels in every window of a tile; ``windows``: the scores of the
     positives of each anchor."""
     asked = np.array([i for i, x in enumerate(a.ids.tolist()) if x in windows], np.int64)
@@ -171,7 +184,18 @@ def negatives_of(
             ).T
             inside = other & (score >= least[:, None]) & (score <= most[:, None])
             row, col = first_of(score, inside, k)
-            yield a.ids[some[row]], b.ids[col], score[row, col]
+            yield a.ids[some[row]], np.full(len(row), place, np.int64), b.ids[col], score[row, col]
+
+
+def first_of_tiles(found: Iterable[Pairs], k: int) -> Pairs:
+    """Of what several tiles found, the k highest scores of each window; of equal ones the first rows."""
+    none = (np.zeros(0, np.int64),) * 4
+    anchor, window, row, score = map(np.concatenate, zip(none, *found))
+    order = np.lexsort((row, ~score, window, anchor))
+    anchor, window, row, score = (x[order] for x in (anchor, window, row, score))
+    heads, ends = run_bounds(anchor, window)
+    first = np.arange(len(order)) - np.repeat(heads, ends - heads) < k
+    return anchor[first], window[first], row[first], score[first]
 
 
 def packed_keys(anchor: np.ndarray, score: np.ndarray, kind: int, row: np.ndarray) -> list[bytes]:
@@ -249,32 +273,47 @@ def hard_negatives(
     rows = materialise(usable(vectors), "vectors")
     blocks, n_blocks = _packed(rows, ROWS, scale, "row-blocks")
     anchors, n_asked = _packed(rows.where(F.col("vec_id") % every == 0), ANCHORS, scale, "anchor-blocks")
-    own = ["ids", "labels", "width", "numbers"]
+    # Each row of a side against each row of its stripe: a stated query set, in blocks.
+    side = min(n_asked, _blocks_within(anchors, n_asked))
+    sides = -(-n_asked // side)
+    stripe = max(1, min(n_blocks * sides // buckets(spark), _blocks_within(blocks, n_blocks)))
+    stripes = -(-n_blocks // stripe)
+    # Little is sent for much work, so partitions must not be merged by their size.
+    spread = min(4096, 2 * sides * stripes)
 
     def every_number(count: int, name: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
 
-    asking = anchors.select(
-        "length", F.col("block").alias("asked"), every_number(n_blocks, "block"),
-        *[F.col(c).alias(f"q_{c}") for c in own],
-    )
-    # Every block of anchors against every block of rows: a stated query set, in blocks. The key
-    # names the tile, so tiles spread over tasks.
-    tiles = blocks.select("*", every_number(n_asked, "asked")).join(asking, ["length", "block", "asked"])
-    sides = [*[f"q_{c}" for c in own], *own]
-
-    def as_keys(found, kind: int) -> Iterator[pa.RecordBatch]:
-        for anchor, row, score in found:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(packed_keys(anchor, score, kind, row), pa.binary())], names=["key"]
-            )
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield from as_keys(positives_of(Block(batch, i, 0), Block(batch, i, 4), positives), 0)
+    def group_of(length: int, name: str) -> Column:
+        return F.floor(F.col("block") / length).cast("int").alias(name)
+
+    def in_tiles(asking: DataFrame, search: Callable[[pa.Table, int], Search], k: int, kind: int) -> DataFrame:
+        """Keys of the first k of every window in each side and stripe. ``search`` makes of a row with a block
+        of anchors what is asked of its tiles."""
+
+        def both(left: pa.Table, right: pa.Table) -> pa.Table:
+            others = [Block(right, i) for i in range(right.num_rows)]
+            keys = [pa.array([], pa.binary())]
+            for i in range(left.num_rows if others else 0):
+                mine, of_tile = Block(left, i), search(left, i)
+                found = (pairs for b in others if b.length == mine.length for pairs in of_tile(mine, b))
+                anchor, _, row, score = first_of_tiles(found, k)
+                keys.append(pa.array(packed_keys(anchor, score, kind, row), pa.binary()))
+            return pa.table({"key": pa.concat_arrays(keys)})
+
+        left = asking.select("*", group_of(side, "side"), every_number(stripes, "stripe"))
+        right = blocks.select("*", group_of(stripe, "part"), every_number(sides, "into"))
+        return (
+            left.repartition(spread, "side", "stripe")
+            .groupBy("side", "stripe")
+            .cogroup(right.repartition(spread, "into", "part").groupBy("into", "part"))
+            .applyInArrow(both, "key binary")
+        )
+
+    def best(_table: pa.Table, _i: int):
+        return lambda a, b: positives_of(a, b, positives)
 
-    stream = sorted_stream(tiles.select(*sides).mapInArrow(best, "key binary"))
+    stream = sorted_stream(in_tiles(anchors, best, positives, 0))
     chosen = materialise(
         spark.createDataFrame(
             stream.mapPartitions(lambda s: first_positives(s, positives)),
@@ -283,27 +322,25 @@ def hard_negatives(
         "positives",
     )
     # One row per block of anchors, with at most ``positives`` windows of each.
-    windows = chosen.groupBy(_block("anchor", n_asked).alias("asked")).agg(
+    windows = chosen.groupBy(_block("anchor", n_asked).alias("block")).agg(
         F.collect_list("anchor").alias("w_anchors"), F.collect_list("score").alias("w_scores")
     )
-    both = tiles.join(materialise(windows, "windows"), "asked")
+    asking = anchors.join(materialise(windows, "windows"), "block")
 
-    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                opened: dict[int, list[int]] = {}
-                for anchor, score in zip(batch.column(8)[i].as_py(), batch.column(9)[i].as_py(), strict=True):
-                    if score >= 0:
-                        opened.setdefault(anchor, []).append(score)
-                a, b = Block(batch, i, 0), Block(batch, i, 4)
-                yield from as_keys(negatives_of(a, b, opened, negatives, low, high), 1)
+    def within(table: pa.Table, i: int):
+        opened: dict[int, list[int]] = {}
+        for anchor, score in zip(table["w_anchors"][i].as_py(), table["w_scores"][i].as_py(), strict=True):
+            if score >= 0:
+                opened.setdefault(anchor, []).append(score)
+        return lambda a, b: negatives_of(a, b, opened, negatives, low, high)
 
-    found = both.select(*sides, "w_anchors", "w_scores").mapInArrow(within, "key binary")
+    found = in_tiles(asking, within, negatives, 1)
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             anchor, row, score = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            yield from as_keys([(anchor, row, score)], 0)
+            keys = pa.array(packed_keys(anchor, score, 0, row), pa.binary())
+            yield pa.RecordBatch.from_arrays([keys], names=["key"])
 
     pairs = found.unionByName(chosen.mapInArrow(opened, "key binary"))
     return spark.createDataFrame(

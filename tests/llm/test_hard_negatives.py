@@ -89,3 +89,34 @@ def test_table_like_sql(spark):
     duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{path}'")
     got = sorted(map(tuple, hn.digest(spark.read.parquet(path)).collect()))
     assert got == sorted(duckdb.sql(hn.ORACLE).fetchall()) and got
+
+
+def test_no_copies_of_blocks_are_broadcast(spark, monkeypatch):
+    plans, sort = [], hn.sorted_stream
+
+    def kept(keys):
+        plans.append(keys._jdf.queryExecution().optimizedPlan().toString())
+        return sort(keys)
+
+    monkeypatch.setattr(hn, "sorted_stream", kept)
+    monkeypatch.setattr(hn, "ROWS", 9)
+    monkeypatch.setattr(hn, "ANCHORS", 2)
+    table = [(i, [i % 9 / 8, i % 5 / 4], i % 3) for i in range(500)]
+    assert found(spark, table) == brute(table)
+    joins = [line for plan in plans for line in plan.splitlines() if " Join " in line]
+    # Of the windows alone, one row for a block of anchors; copies come by the shuffle of a cogroup.
+    assert len(plans) == 2 and len(joins) == 1
+    assert "FlatMapCoGroupsInArrow" in plans[0] and "Join " not in plans[0]
+
+
+@pytest.mark.parametrize("held", [1, 200, 1 << 20])
+def test_sides_and_stripes(spark, monkeypatch, held):
+    monkeypatch.setattr(hn, "ROWS", 25)
+    monkeypatch.setattr(hn, "ANCHORS", 3)
+    monkeypatch.setattr(hn, "HELD", held)
+    monkeypatch.setattr(hn, "buckets", lambda spark: 2)
+    rng = random.Random(8)
+    # Few different scores, so that ties go through tiles, stripes and the sort.
+    table = [(i, [rng.randrange(4) / 4 for _ in range(3 + i % 2)], rng.randrange(3)) for i in range(700)]
+    got = found(spark, table)
+    assert got == brute(table) and len(got) > 50
