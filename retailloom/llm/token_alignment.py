@@ -12,9 +12,11 @@ loaded). So texts are cut there into segments, each segment is encoded and align
 documents add up segments. Segments whose tokens do not spell them make a document go through both
 tokenizers whole; if even then the bytes differ, it has no tokens.
 
-Counts: tasks store packs of documents, each with its segments and links. The links of a pack are
-added up before the shuffle by (A id, B id); a pack gets back the counts of the pairs it holds, so that a
-frequent pair comes once per pack, not once per use. B ids are at most the vocabulary's.
+Counts: tasks store packs of documents, each with its segments and links. Only Python reads these, so Spark
+carries them as compressed bytes: as lists, their rows of some 12 MB filled an executor when they were written,
+read and dealt out. The links of a pack are added up before the shuffle by (A id, B id); a pack gets back the
+counts of the pairs it holds, so that a frequent pair comes once per pack, not once per use. B ids are at most
+the vocabulary's.
 
 Texts null, empty, or whose bytes the tokens do not spell have zeros and an empty string. Rows that
 repeat a doc_id give a row each and count each; rows without doc_id are left.
@@ -267,11 +269,25 @@ def refined(cuts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 _aligners: dict[tuple[str, str], Aligner] = {}
 
-PACKED = (
-    "pack long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>,"
-    " groups_sha256 array<string>, segments array<int>, segment_counts array<int>, links array<int>,"
-    " link_counts array<int>, pairs array<int>, uses array<long>"
-)
+PACKED = "pack long, body binary, pairs array<int>, uses array<long>"
+#: A reader's batch holds a whole row group, and a writer all rows of the one it is at.
+FEW_ROWS = {"parquet.block.row.count.limit": "2"}
+
+
+def to_body(columns: dict[str, np.ndarray | list[str]]) -> bytes:
+    """Arrays of any lengths as compressed bytes."""
+    batch = pa.RecordBatch.from_pydict(
+        {name: pa.ListArray.from_arrays([0, len(values)], pa.array(values)) for name, values in columns.items()}
+    )
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def from_body(body: bytes) -> dict[str, np.ndarray]:
+    table = pa.ipc.open_stream(body).read_all()
+    return {name: listed(table[name]) for name in table.column_names}
 
 
 def packs(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
@@ -303,16 +319,17 @@ def packs(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
         hashes = [hashlib.sha256(w).hexdigest() if w else "" for w in written]
         # Segments of a text that then went through whole are in no document, nor are their pairs.
         kept = uses > 0
+        body = to_body(
+            {
+                "doc_id": np.array(ids, np.int64), "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "groups_sha256": hashes,
+                "segments": segments, "segment_counts": counts, "links": flat, "link_counts": sizes,
+            }
+        )
         columns = [
-            np.array(ids, np.int64), n_a, n_b, n_groups, hashes, segments, counts, flat, sizes, pairs[kept], uses[kept],
+            pa.array([number], pa.int64()), pa.array([body], pa.binary()),
+            pa.array([pairs[kept]], pa.list_(pa.int32())), pa.array([uses[kept]], pa.list_(pa.int64())),
         ]
-        kinds = [x.split()[1] for x in PACKED.split(", ")][1:]
-        arrays = [
-            pa.array([c], pa.list_({"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[k[6:-1]]))
-            for c, k in zip(columns, kinds, strict=True)
-        ]
-        names = [x.split()[0] for x in PACKED.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *arrays], names=names)
+        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PACKED.split(", ")])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = byte_level, pieces
@@ -356,17 +373,15 @@ def aligned(docs: DataFrame, byte_level: str | None = None, pieces: str | None =
     import sentencepiece
 
     size_b = sentencepiece.SentencePieceProcessor(model_file=pieces).get_piece_size()
-    packed = materialise(packs(docs, byte_level, pieces), "aligned-packs")
+    packed = materialise(packs(docs, byte_level, pieces), "aligned-packs", **FEW_ROWS)
     counts = materialise(pair_counts(packed, size_b), "pair-counts")
     back = packed.select(F.col("pack").alias("into"), F.explode("pairs").alias("pair")).join(counts, "pair")
 
     def finish(pack: pa.Table, known: pa.Table) -> pa.Table:
-        def flat(name):
-            return listed(pack[name])
-
+        body = from_body(pack["body"][0].as_buffer())
         pairs = known["pair"].to_numpy()
         order = np.argsort(pairs)
-        links, sizes = flat("links"), flat("link_counts")
+        links, sizes = body["links"], body["link_counts"]
         # A pair without a use is missing; no document asks for it.
         place = np.searchsorted(pairs, links, sorter=order)
         place = np.r_[order, 0][np.minimum(place, len(order))]
@@ -374,14 +389,14 @@ def aligned(docs: DataFrame, byte_level: str | None = None, pieces: str | None =
         each = np.zeros((len(links) + 1, 3), np.int64)
         np.cumsum(np.column_stack([np.ones(len(links), np.int64), best, uses]), 0, out=each[1:])
         ends = np.cumsum(sizes)
-        of_segment = (each[ends] - each[ends - sizes])[flat("segments")]
+        of_segment = (each[ends] - each[ends - sizes])[body["segments"]]
         each = np.zeros((len(of_segment) + 1, 3), np.int64)
         np.cumsum(of_segment, 0, out=each[1:])
-        ends = np.cumsum(flat("segment_counts"))
-        n_links, n_best, count_sum = (each[ends] - each[ends - flat("segment_counts")]).T
+        ends = np.cumsum(body["segment_counts"])
+        n_links, n_best, count_sum = (each[ends] - each[ends - body["segment_counts"]]).T
         names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-        mine = {"n_links": n_links, "n_best": n_best, "count_sum": count_sum}
-        return pa.table([pa.array(mine[n] if n in mine else flat(n)) for n in names], names=names)
+        body |= {"n_links": n_links, "n_best": n_best, "count_sum": count_sum}
+        return pa.table([pa.array(body[n]) for n in names], names=names)
 
     schema = (
         "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long,"

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -120,3 +121,28 @@ def test_spans_are_refined():
 @pytest.mark.parametrize("rows", [[], [(1, None), (2, "")]])
 def test_no_text(corpus, rows):
     assert found(corpus(rows)) == brute(rows)
+
+
+def test_packs_are_small_rows_in_small_row_groups(spark, monkeypatch):
+    kept, store = {}, token_alignment.materialise
+
+    def stored(df, name, **options):
+        kept[name] = store(df, name, **options)
+        return kept[name]
+
+    monkeypatch.setattr(token_alignment, "materialise", stored)
+    # Each text is a pack of its own, of 800,000 segments: some 3 MB as a list.
+    rows = [(i, f"word{i} thing " * 400_000) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert [(r[0], r[3] > 0) for r in found(docs)] == [(i, True) for i in range(5)]
+    packed = kept["aligned-packs"]
+    assert [f.dataType.simpleString() for f in packed.schema] == ["bigint", "binary", "array<int>", "array<bigint>"]
+    sizes = [r.n for r in packed.selectExpr("length(body) AS n").collect()]
+    assert len(sizes) == 5 and max(sizes) < 1 << 20
+    groups = [
+        meta.row_group(g).num_rows
+        for f in packed.inputFiles()
+        for meta in [pq.read_metadata(f.removeprefix("file://"))]
+        for g in range(meta.num_row_groups)
+    ]
+    assert sum(groups) == 5 and max(groups) <= 2
